@@ -1,0 +1,366 @@
+"""Each operator against a brute-force version on small fixtures, and its edge cases."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+import tiktoken
+import xxhash
+
+from marginalia.llm import bpe, components, decontaminate, embedding_dedup, line_dedup, pii, pretokens, quality, queries, quotes, simhash, substring_dedup, textkit, toxicity
+
+SF = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+DOCS = "doc_id long, text string, n_lines string, component_id string, base int"
+
+
+def corpus():
+    rnd = random.Random(5)
+    words = [f"w{i}" for i in range(400)] + ["Ünï", "漢字", "É."]
+    texts = [" ".join(rnd.choice(words) for _ in range(rnd.choice([0, 1, 3, 40, 120, 400]))) for _ in range(60)]
+    passage = " ".join(rnd.choice(words) for _ in range(70))
+    texts += [f"{' '.join(rnd.choice(words) for _ in range(rnd.randint(0, 60)))} {passage}\n{' '.join(rnd.choice(words) for _ in range(9))}" for _ in range(8)]
+    base = " ".join(rnd.choice(words) for _ in range(300)).split()
+    for _ in range(20):
+        w = list(base)
+        w[rnd.randrange(300)] = rnd.choice(words)
+        texts.append(" ".join(w))
+    texts += ["", None, "   \n\t ", "and " * 300, "A\n a\t\nB\n\n", "x" * 5000, passage, passage, "one line\n" + " Shared LINE \n" * 3]
+    texts += [f"shared line\nown {i}\n\n" for i in range(12)]
+    return [(i * 3 + 1, t) for i, t in enumerate(texts)]
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, t, "clash", "clash", 1) for i, t in rows], DOCS)
+
+
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def roots(nodes, links):
+    up = {n: n for n in nodes}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        up[max(a, b)] = min(a, b)
+    return {n: find(n) for n in nodes}
+
+
+def test_components(spark):
+    rnd = random.Random(2)
+    links = [(i, i + 1) for i in range(40)] + [(100 + rnd.randrange(50), 100 + rnd.randrange(50)) for _ in range(40)] + [(7, 7), (None, 3)]
+    got = {r["node"]: r["component"] for r in components.connected(spark.createDataFrame(links, "a long, b long")).collect()}
+    real = [(a, b) for a, b in links if a is not None and a != b]
+    assert got == roots({x for p in real for x in p}, real)
+    assert components.connected(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def fingerprint(text, k=4):
+    w = (text or "").translate({c: c + 32 for c in range(65, 91)})
+    w = WORD.findall(w)
+    sh = [" ".join(w[i : i + k]) for i in range(len(w) - k + 1)] if len(w) >= k else [" ".join(w)] if w else []
+    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in sh]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+@pytest.mark.parametrize("block", [4096, 3])
+def test_simhash(spark, monkeypatch, block):
+    rows = corpus()
+    rows += [rows[0], (None, "a b c d")]
+    real = simhash.fingerprint_links
+    monkeypatch.setattr(simhash, "fingerprint_links", lambda fps, bits: real(fps, bits, block))
+    got = {(r["doc_id"], r["fp"] % (1 << 64)): r["component_id"] for r in simhash.simhash_components(frame(spark, rows)).collect()}
+    fps = {i: fingerprint(t) for i, t in rows if i is not None}
+    assert set(got) == {(i, f) for i, f in fps.items()} | {(None, fingerprint("a b c d"))}
+    ids = list(fps)
+    want = roots(ids, [(a, b) for x, a in enumerate(ids) for b in ids[:x] if (fps[a] ^ fps[b]).bit_count() <= 4])
+    assert {k[0]: v for k, v in got.items() if k[0] is not None} == want
+    assert got[(None, fingerprint("a b c d"))] is None
+    assert simhash.simhash_components(empty(spark)).count() == 0
+    assert simhash.keep_one(frame(spark, rows)).columns == ["doc_id", "text", "n_lines", "component_id", "base"]
+
+
+def test_simhash_long_document():
+    counts = np.array([70_000, 0, 3])
+    h = np.random.default_rng(1).integers(0, 1 << 63, 70_003).astype(np.uint64)
+    got = simhash._majority(h, counts)
+    for i, part in enumerate((h[:70_000], h[:0], h[70_000:])):
+        assert int(got[i]) == sum(1 << b for b in range(64) if 2 * int(((part >> np.uint64(b)) & np.uint64(1)).sum()) > len(part))
+
+
+def test_manhattan_cells_lose_no_link():
+    rnd = random.Random(3)
+    masks = simhash._cell_masks(4)
+    packed = lambda x: (x & 0x5555555555555555) + (x >> 1 & 0x5555555555555555)
+    for _ in range(300):
+        a = rnd.getrandbits(64)
+        b = a
+        for k in rnd.sample(range(64), rnd.randint(0, 4)):
+            b ^= 1 << k
+        assert any(packed(a) & m == packed(b) & m for m in masks)
+
+
+def test_line_dedup(spark):
+    rows = corpus() + [(None, "shared line")]
+    key = lambda line: line.strip(" \t\n\x0b\x0c\r").translate({c: c + 32 for c in range(65, 91)})
+    seen = defaultdict(int)
+    for _, t in rows:
+        for k in {key(x) for x in (t or "").split("\n")}:
+            seen[k] += 1
+    got = sorted(((r["doc_id"], r["n_lines"], r["n_dropped"], r["text"]) for r in line_dedup.drop_common_lines(frame(spark, rows)).collect()), key=repr)
+    want = []
+    for i, t in rows:
+        lines = (t or "").split("\n")
+        kept = [x for x in lines if not (key(x) and seen[key(x)] >= 10)]
+        want.append((i, len(lines), len(lines) - len(kept), "\n".join(kept)))
+    assert got == sorted(want, key=repr)
+    assert any(w[2] for w in want)
+    assert line_dedup.drop_common_lines(empty(spark)).count() == 0
+
+
+def test_substring_dedup(spark):
+    rows = corpus()
+    rows.append(rows[3])
+    got = sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["text"]) for r in substring_dedup.remove_repeats(frame(spark, [*rows, (None, "a b")])).collect()), key=repr)
+    words = [(i, WORD.findall(t or "")) for i, t in rows]
+    least = {}
+    for i, w in words:
+        for k in range(len(w) - 49):
+            least[tuple(w[k : k + 50])] = min(i, least.get(tuple(w[k : k + 50]), i))
+    want = [(None, 2, 0, "a b")]
+    for i, w in words:
+        gone = {p for k in range(len(w) - 49) if least[tuple(w[k : k + 50])] < i for p in range(k, k + 50)}
+        want.append((i, len(w), len(gone), " ".join(x for p, x in enumerate(w) if p not in gone)))
+    assert got == sorted(want, key=repr)
+    assert sum(w[2] > 0 for w in want) > 20
+    assert substring_dedup.remove_repeats(empty(spark)).count() == 0
+
+
+def test_embedding_dedup(spark):
+    rnd = np.random.default_rng(4)
+    base = rnd.normal(size=(30, 16))
+    vec = [b + rnd.normal(size=16) * s for b in base for s in (0.0, 0.03, 0.06, 0.1, 0.15)]
+    rows = [(i, [float(x) for x in np.float32(v)], i % 2) for i, v in enumerate(vec)]
+    rows += [(1000 + i, rows[0][1], 0) for i in range(5)] + [(2000, None, 0), (2001, [0.0] * 16, 0), (2002, [float("nan")] * 16, 1), (2003, [1.0, None], 1), (2004, rows[0][1], None), (None, rows[0][1], 0), (2005, [1.0, 2.0], 0), (2006, [2.0, 4.0], 0), (2007, [], 0), (0, rows[0][1], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.embedding_components(df).collect()), key=repr)
+
+    def able(r):
+        return r[0] is not None and r[2] is not None and r[1] and all(x is not None and np.isfinite(x) for x in r[1]) and any(r[1])
+
+    n, links = [0] * len(rows), []
+    for a, r in enumerate(rows):
+        for b in range(a):
+            q = rows[b]
+            if able(r) and able(q) and r[2] == q[2] and len(r[1]) == len(q[1]):
+                x, y = np.float32(r[1]).astype(float), np.float32(q[1]).astype(float)
+                if x @ y / np.sqrt((x @ x) * (y @ y)) >= 0.98:
+                    n[a] += 1
+                    n[b] += 1
+                    links.append((r[0], q[0]))
+    root = roots({r[0] for r in rows if r[0] is not None}, links)
+    want = [(r[0], n[a], root.get(r[0]), r[0] is not None and root[r[0]] == r[0]) for a, r in enumerate(rows)]
+    assert got == sorted(want, key=repr)
+    assert embedding_dedup.embedding_components(df.limit(0)).count() == 0
+
+
+def test_embedding_blocks(spark):
+    rnd = np.random.default_rng(6)
+    vec = [b + rnd.normal(size=6) * 0.05 for b in rnd.normal(size=(60, 6)) for _ in range(5)]
+    rows = [(i, [float(x) for x in np.float32(v)], "a", 1) for i, v in enumerate(vec)]
+    df = spark.createDataFrame(rows, "cls long, embedding array<float>, label string, n long")
+    total = lambda block: {r["cls"]: r["s"] for r in embedding_dedup.embedding_links(df, 0.98, 4, block).groupBy("cls").agg({"n_links": "sum"}).withColumnRenamed("sum(n_links)", "s").collect()}
+    u = np.array([np.float32(v) for v in vec]).astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    want = ((u @ u.T) >= 0.98).sum(1) - 1
+    assert {k: v for k, v in total(16).items() if v} == {i: int(x) for i, x in enumerate(want) if x}
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    import public_tokenizers as p
+
+    ranks = queries.default_ranks()
+    return ranks, tiktoken.Encoding("own", pat_str=p.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_bpe(spark, tokenizer):
+    ranks, enc = tokenizer
+    rnd = random.Random(1)
+    rows = corpus() + [(9000 + i, "".join(rnd.choice(" \n\t 'sreé9²!漢😀aAB") for _ in range(30))) for i in range(80)] + [(None, "null id"), (9001, "again")]
+    got = bpe.encode(frame(spark, rows), ranks)
+    got = got.withColumn("back", bpe.decode(got["ids"], ranks)).collect()
+    assert sorted(((r["doc_id"], r["n_tokens"], [int(x) for x in np.frombuffer(bytes(r["ids"]), "<u4")], bytes(r["back"])) for r in got), key=repr) == sorted(((i, len(t), t, (x or "").encode()) for i, x in rows for t in [enc.encode_ordinary(x or "")]), key=repr)
+    assert bpe.encode(empty(spark), ranks).count() == 0
+
+
+def test_long_word_merges(tokenizer):
+    ranks, enc = tokenizer
+    for w in ("ab" * 400, "the" * 200, "é" * 333, "x"):
+        assert bpe.heap_merges(w.encode(), ranks) == enc.encode_ordinary(w)
+
+
+def test_pretoken_pattern():
+    import public_tokenizers as p
+    import regex
+
+    rnd = random.Random(8)
+    texts = ["".join(rnd.choice(" \n  '''sttrevmlldxé9²!?… 　漢😀ſ’") for _ in range(rnd.randint(0, 25))) for _ in range(3000)] + [None, ""]
+    import pyarrow as pa
+
+    data, start, first, _ = pretokens.split(pa.array(texts))
+    raw = data.tobytes()
+    for i, t in enumerate(texts):
+        assert [raw[start[k] : start[k + 1]].decode() for k in range(first[i], first[i + 1])] == regex.findall(p.PATTERN, t or "")
+
+
+def base_spans(text):
+    out = []
+    for kind, pattern in (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)"), ("card", r"[0-9](?:[\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")):
+        for m in re.finditer(pattern, text):
+            d = [int(c) for c in m[0] if c in "0123456789"]
+            luhn = sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(reversed(d))) % 10 == 0
+            if kind == "email" or kind == "ip" and all(int(x) <= 255 for x in m[0].split(".")) or kind == "card" and 13 <= len(d) <= 19 and luhn or kind == "phone" and 9 <= len(d) <= 15:
+                out.append((kind, m.start(), m.end()))
+    return out
+
+
+def test_pii(spark):
+    rnd = random.Random(7)
+    seeds = ["4111 1111 1111 1111", "4111-1111-1111-1111 ", "+1 (269) 555-3296", "a.b@c.d.e", "a@b.c@d.e", "x@y", "1.2.3.4.5.6.7.8", "300.1.1.1", "0001.2.3.4", "é", " - ", "--", "0 1 2", "+44 20 7946 0958", "😀", "a@b.c_d@e.f", "٣", "12", "4111111111111111", "@"]
+    texts = ["".join(rnd.choice(seeds) for _ in range(rnd.randint(0, 8))) for _ in range(400)] + ["".join(rnd.choice("0123 -.+@ab(") for _ in range(40)) for _ in range(400)] + [None, "", "9" * 3000]
+    found = pii.find_pii(frame(spark, list(enumerate(texts)))).collect()
+    for r in found:
+        assert [(s["kind"], s["start"], s["end"]) for s in r["base"]] == base_spans(r["text"] or ""), r["text"]
+    added = lambda t: [(s["kind"], t[s["start"] : s["end"]]) for s in pii.find_pii(frame(spark, [(1, t)])).first()["added"]]
+    assert added("Konto GB82 WEST 1234 5698 7654 32, or GB82 WEST 1234 5698 7654 33.") == [("iban", "GB82 WEST 1234 5698 7654 32")]
+    assert added("SSN 123-45-6789 but order 123-45-6788" + "." * 50 + " 123-45-6787")[0] == ("ssn", "123-45-6789")
+    assert added("+1 (269) 555-3296 4524132264652876") == [("card", "4524132264652876"), ("phone", "+1 (269) 555-3296")]
+    assert pii.find_pii(empty(spark)).count() == 0
+
+
+def test_quotes(spark):
+    rows = [
+        (1, 0, "user", "Is the bridge open today?"), (1, 1, "bot", "> Is the BRIDGE  open today?\nYes, until nine in the evening."), (1, 2, "user", "What about the ferry to the island?"),
+        (1, 3, "user", ">> Is the bridge open today?\n> Yes, until nine in the evening.\nThanks a lot for that."), (1, 4, "bot", "> What about the ferry to the island?\nIt runs each hour."), (1, 5, "bot", "> never said by anyone here\nHm."),
+        (2, 0, "user", "Is the bridge open today?"), (2, 1, None, None), (None, 0, "user", "> Is the bridge open today?"), (3, 0, "u", "> own words here too\nown words here too"),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r["conv_id"], r["turn"]): (r["parent_turn"], r["thread_turn"], r["body"]) for r in quotes.reply_threads(df).collect()}
+    assert got[(1, 1)] == (0, 0, "Yes, until nine in the evening.")
+    assert got[(1, 3)] == (1, 0, "Thanks a lot for that.")
+    assert got[(1, 4)] == (2, 2, "It runs each hour.")
+    assert got[(1, 5)] == (None, 5, "Hm.")
+    assert got[(2, 1)] == (None, 1, "") and got[(2, 0)][0] is None and got[(None, 0)] == (None, 0, "") and got[(3, 0)][:2] == (None, 0)
+    assert len(got) == len(rows) and quotes.reply_threads(df.limit(0)).count() == 0
+
+
+ITEM = "Maria has 12 apples and gives 5 kg of flour to her brother John before the shop in Lisbon closes at night."
+
+
+def test_decontamination(spark):
+    items = spark.createDataFrame([(1, ITEM), (2, "Two short words"), (3, None), (4, "How many trains leave the station daily?")], "item_id long, text string")
+    again = ITEM.replace("12", "900").replace("5 kg", "31 miles").replace("John", "Peter")
+    other = "Maria has 12 apples and gives 5 kg of flour to her brother John before the dog barks at ten cats outside."
+    filler = "Some other words stand here. "
+    rows = [(1, filler + ITEM), (2, filler + again + filler), (3, filler * 30), (4, None), (5, ""), (6, "how many trains leave the station daily"), (None, ITEM), (1, filler + ITEM), (7, "12 " * 500), (8, "How many trains leave Lisbon daily?")]
+    twice = "Anna pays 7 euros and Anna pays 9 euros before the small shop near the old bridge closes"
+    items2 = spark.createDataFrame([(9, "Anna pays 7 euros and Anna pays 7 euros before the small shop near the old bridge closes")], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["n_changed"] for r in decontaminate.contaminated_pairs(frame(spark, rows), items).collect()}
+    assert set(got) == {(1, 1), (2, 1), (6, 4)}
+    assert got[(1, 1)] == 0 and got[(2, 1)] >= 2
+    assert decontaminate.contaminated_pairs(frame(spark, [(1, other)]), items, coverage=0.9).count() == 0
+    assert decontaminate.contaminated_pairs(frame(spark, [(1, twice)]), items2).count() == 0
+    few = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated_pairs(frame(spark, rows), items, block_windows=5).collect()}
+    assert few == set(got)
+    assert decontaminate.contaminated_pairs(empty(spark), items).count() == 0 and decontaminate.contaminated_pairs(frame(spark, rows), items.limit(0)).count() == 0
+    assert decontaminate.clean_documents(frame(spark, rows), items).count() == 6
+
+
+def fold(i):
+    return zlib.crc32(str(i).encode()) % 5
+
+
+def learned(spark):
+    rnd = random.Random(3)
+    words = [f"w{i}" for i in range(60)]
+    sentence = lambda extra=(): " ".join(rnd.sample(words, 8) + list(extra)) + "."
+    docs, labels = [], []
+    for i in range(900):
+        bad, junk = rnd.random() < 0.3, rnd.random() < 0.3
+        s = [sentence([rnd.choice(["nastyest", "vileword"])]) if bad and k == 1 else sentence() for k in range(3)]
+        text = " ".join(s) if not junk else "WORD!! " * 40 + s[0] + (s[1] if bad else "")
+        docs.append((i, text))
+        labels.append((i, int(not junk), int(bad)))
+    docs += [(5000, ""), (5001, None), (None, "w1 w2."), (0, docs[0][1])]
+    return frame(spark, docs), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), {r[0]: r for r in labels}
+
+
+def test_quality_held_out(spark):
+    docs, labels, truth = learned(spark)
+    got = quality.quality_scores(docs, labels).collect()
+    assert len(got) == 904 and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in got)
+    out = [r for r in got if r["held_out"] and r["doc_id"] in truth]
+    assert all(fold(r["doc_id"]) == 0 for r in out)
+    assert np.mean([r["predicted"] == truth[r["doc_id"]][1] for r in out]) > 0.95
+    assert {r["score"] for r in quality.quality_scores(docs, labels.limit(0)).collect()} == {0.5}
+    assert quality.quality_scores(docs.limit(0), labels).count() == 0
+
+
+def test_pool_adjacent():
+    assert quality.pool_adjacent(np.array([1.0, 1, 2, 1]), np.array([0.0, 1, 0, 1])).tolist() == [0, pytest.approx(1 / 3), pytest.approx(1 / 3), 1]
+
+
+def test_toxicity_held_out(spark):
+    docs, labels, truth = learned(spark)
+    got = toxicity.toxicity_scores(docs, labels).collect()
+    assert len(got) == 904 and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in got)
+    out = [r for r in got if r["held_out"] and r["doc_id"] in truth]
+    assert np.mean([r["predicted"] == truth[r["doc_id"]][2] for r in out]) > 0.95
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in got:
+        for s in r["spans"]:
+            part = text[r["doc_id"]].encode()[s["start"] : s["end"]].decode()
+            assert "." not in part
+    flagged = [s for r in got if r["doc_id"] in truth and truth[r["doc_id"]][2] for s in [text[r["doc_id"]].encode()[x["start"] : x["end"]].decode() for x in r["spans"]]]
+    assert np.mean(["nastyest" in s or "vileword" in s for s in flagged]) > 0.95
+    assert max(r["score"] for r in toxicity.toxicity_scores(docs, labels.limit(0)).collect()) < 1e-9
+    assert toxicity.toxicity_scores(docs.limit(0), labels).count() == 0
+
+
+def test_cover_and_pack():
+    assert textkit.cover(np.array([1, 3]), 2, 6).tolist() == [False, True, True, True, True, False]
+    a, b = textkit.unpack(textkit.pack(np.array([1, 300], np.uint32), np.array([-5], np.int64)), (np.uint32, 2), (np.int64, 1))
+    assert a.tolist() == [1, 300] and b.tolist() == [-5]
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = {r["doc_id"] for r in docs.select("doc_id").collect()}
+    table = docs
+    for name, stage in corpus_pipeline.STAGES:
+        table = stage(spark, table, SF)
+        ids = {r["doc_id"] for r in table.collect()}
+        assert ids <= kept and len(ids) == table.count()
+        if name != "bpe":
+            assert table.columns == corpus_pipeline.COLUMNS
+        if name == "simhash":
+            before = docs
+        kept = ids
+    out = {r["doc_id"]: r["decoded_sha256"] for r in corpus_pipeline.run(spark, SF).collect()}
+    assert set(out) == kept
+    lines = {r["doc_id"]: r["text"] for r in line_dedup.drop_common_lines(docs.where(docs["doc_id"].isin(list(kept)))).collect()}
+    same = sum(hashlib.sha256(lines[i].encode()).hexdigest() == h for i, h in out.items())
+    assert same > 0.5 * len(out)
