@@ -3,9 +3,10 @@
 A fingerprint's bits are cut into 32 segments of two; its embedding is the number
 of set bits in each segment. The Manhattan distance of two embeddings never
 exceeds the Hamming distance of the fingerprints, so it is a lower bound. The
-segments are dealt into max_bits + 3 groups: if the Manhattan distance is at
-most max_bits, at least three groups agree in every count, so each pair shares
-one of the grid cells that fix three groups. Cells are joined, and candidates
+segments are dealt into max_bits + AGREE groups: if the Manhattan distance is at
+most max_bits, at least AGREE groups agree in every count, so each pair shares
+one of the grid cells that fix AGREE groups. More of them make more rows, but cells
+in which fewer strangers meet. Cells are joined, and candidates
 are verified on the fingerprints. Inside a cell only a spanning forest of the
 links is given out, and cells over BLOCK members are dealt to pairs of blocks:
 large groups of near copies cost no rows for their pairs.
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, written
 from .components import connected
 
-SHINGLE_WORDS, MAX_BITS, SEED, BLOCK = 4, 4, 42, 4096
+SHINGLE_WORDS, MAX_BITS, SEED, BLOCK, AGREE = 4, 4, 42, 4096, 4
 _LANES = np.uint64(0x0001000100010001)
 
 
@@ -79,9 +80,9 @@ def fingerprint(text: Column, words: int = SHINGLE_WORDS) -> Column:
 
 
 def _cell_masks(max_bits: int) -> list[int]:
-    """Over embeddings packed in two bits a segment: a mask for each choice of three groups of segments."""
-    groups = [sum(3 << (2 * s) for s in part.tolist()) for part in np.array_split(np.arange(32), max_bits + 3)]
-    return [a | b | c for a, b, c in combinations(groups, 3)]
+    """Over embeddings packed in two bits a segment: a mask for each choice of AGREE groups of segments."""
+    groups = [sum(3 << (2 * s) for s in part.tolist()) for part in np.array_split(np.arange(32), max_bits + AGREE)]
+    return [sum(chosen) for chosen in combinations(groups, AGREE)]
 
 
 def _signed(x: int) -> int:

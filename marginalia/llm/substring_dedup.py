@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -133,9 +134,26 @@ def anchor_hits(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return dealt.repartitionById(parts, F.col("bucket")).sortWithinPartitions("bucket", "kind").mapInArrow(_match, "doc_id long, pos int")
 
 
+def _digests(words: bytes) -> tuple[int, int]:
+    """Two 64-bit hashes of a row's words, as signed numbers."""
+    d = xxhash.xxh3_128_digest(words)
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+
+
+def _whole(text: pa.Array) -> pa.Array:
+    w = [_digests(b" ".join((t or "").encode().split())) for t in text.to_pylist()]
+    return pa.StructArray.from_arrays([pa.array([x[k] for x in w], pa.int64()) for k in (0, 1)], names=["version", "check"])
+
+
 def _squeezed(text: pa.Array) -> pa.Array:
+    """The words of each row, joined by one space and compressed, and their first hash."""
     codec = pa.Codec("zstd", compression_level=1)
-    return pa.array([None if t is None else len(b := t.encode()).to_bytes(8, "little") + codec.compress(b, asbytes=True) for t in text.to_pylist()], pa.binary())
+    z, version = [], []
+    for t in text.to_pylist():
+        b = b" ".join((t or "").encode().split())
+        z.append(len(b).to_bytes(8, "little") + codec.compress(b, asbytes=True))
+        version.append(_digests(b)[0])
+    return pa.StructArray.from_arrays([pa.array(z, pa.binary()), pa.array(version, pa.int64())], names=["z", "version"])
 
 
 def _text(data: bytes | None) -> str:
@@ -146,8 +164,17 @@ def _windows_of(words: int):
     """Around hits: (key, check, doc_id, version, pos) of the windows of ``words`` words that hold a hit."""
     block = words // 2
 
-    def run(batches):
+    def pieces(batches):
+        """Rows, as many as have about CHUNK_BYTES of text."""
         for batch in batches:
+            sizes = np.array([int.from_bytes(z[:8], "little") for z in batch.column("z").to_pylist()], np.int64)
+            part = (np.cumsum(sizes) - sizes) // tk.CHUNK_BYTES
+            edges = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(part) else []
+            for s, e in zip(edges[:-1], edges[1:], strict=True):
+                yield batch.slice(s, e - s)
+
+    def run(batches):
+        for batch in pieces(batches):
             places = batch.column("places").to_pylist()
             texts = pa.array([_text(z) for z in batch.column("z").to_pylist()], pa.large_string())
             data, off = tk.buffers(texts)
@@ -173,21 +200,25 @@ def _windows_of(words: int):
 
 
 def _removed(words: int):
-    @F.arrow_udf("struct<n_words:bigint,n_removed:bigint,text:string>")
-    def run(z: pa.Array, version: pa.Array, marks: pa.Array) -> pa.Array:
+    def run(z: pa.Array, version: pa.Array, marks: pa.Array, copies: pa.Array) -> pa.Array:
         total, gone, kept = [], [], []
-        for data, v, m in zip(z.to_pylist(), version.to_pylist(), marks.to_pylist(), strict=True):
-            w = _text(data).encode().split()
-            total.append(len(w))
+        for data, v, m, c in zip(z.to_pylist(), version.to_pylist(), marks.to_pylist(), copies.to_pylist(), strict=True):
+            text = _text(data)
+            n = text.count(" ") + 1 if text else 0
             own = next((x["pos"] for x in m or () if x["version"] == v), None)
-            if own:
-                lost = tk.cover(np.array(own, np.int64), words, len(w))
-                w = [x for x, bad in zip(w, lost.tolist(), strict=True) if not bad]
-            gone.append(total[-1] - len(w))
-            kept.append(b" ".join(w).decode())
+            left = n
+            if c and v in c and n >= words:
+                text, left = "", 0
+            elif own:
+                lost = tk.cover(np.array(own, np.int64), words, n)
+                w = [x for x, bad in zip(text.split(" "), lost.tolist(), strict=True) if not bad]
+                text, left = " ".join(w), len(w)
+            total.append(n)
+            gone.append(n - left)
+            kept.append(text)
         return pa.StructArray.from_arrays([pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=["n_words", "n_removed", "text"])
 
-    return run
+    return F.arrow_udf(run, "struct<n_words:bigint,n_removed:bigint,text:string>")
 
 
 def remove_repeats(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -206,10 +237,15 @@ def remove_repeats(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id",
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     hits = anchor_hits(rows.where("doc_id is not null and text is not null"), words)
     places = hits.groupBy(F.col("doc_id").alias("id")).agg(F.collect_set("pos").alias("places"))
-    moved = rows.select("doc_id", F.xxhash64("text").alias("version"), F.arrow_udf(_squeezed, "binary")("text").alias("z")).repartition("doc_id")
-    windows = moved.join(places, moved["doc_id"] == places["id"]).select("doc_id", "version", "z", "places").mapInArrow(_windows_of(words), "key long, check int, doc_id long, version long, pos int")
+    wholes = rows.where("doc_id is not null").select("doc_id", F.arrow_udf(_whole, "struct<version:bigint,check:bigint>")("text").alias("h")).select("doc_id", "h.version", "h.check")
+    firsts = wholes.groupBy("version", "check").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("version", "check", "first")
+    copies = wholes.join(firsts, ["version", "check"]).where("doc_id > first").groupBy(F.col("doc_id").alias("copy_id")).agg(F.collect_set("version").alias("copies"))
+    moved = rows.select("doc_id", F.arrow_udf(_squeezed, "struct<z:binary,version:bigint>")("text").alias("s")).select("doc_id", "s.version", "s.z").repartition("doc_id")
+    places = places.join(copies, places["id"] == copies["copy_id"], "left").select("id", "places", "copies")
+    near = moved.join(places, moved["doc_id"] == places["id"]).where(~F.coalesce(F.array_contains("copies", F.col("version")), F.lit(False)))
+    windows = near.select("doc_id", "version", "z", "places").mapInArrow(_windows_of(words), "key long, check int, doc_id long, version long, pos int")
     least = windows.groupBy("key", "check").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("key", "check", "least")
     marked = windows.join(least, ["key", "check"]).where("doc_id > least")
     by_row = marked.groupBy("doc_id", "version").agg(F.collect_set("pos").alias("pos")).groupBy(F.col("doc_id").alias("marked_id")).agg(F.collect_list(F.struct("version", "pos")).alias("marks"))
-    out = moved.join(by_row, moved["doc_id"] == by_row["marked_id"], "left").select("doc_id", _removed(words)("z", "version", "marks").alias("r"))
+    out = moved.join(by_row, moved["doc_id"] == by_row["marked_id"], "left").join(copies, moved["doc_id"] == copies["copy_id"], "left").select("doc_id", _removed(words)("z", "version", "marks", "copies").alias("r"))
     return out.select("doc_id", "r.n_words", "r.n_removed", "r.text")
