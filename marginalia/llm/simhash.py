@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, written
+from .common import bounded_batches, shuffle_partitions, written
 from .components import connected
 
 SHINGLE_WORDS, MAX_BITS, SEED, BLOCK, AGREE = 4, 4, 42, 4096, 4
@@ -148,7 +148,8 @@ def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS, block: int = BLO
     low, high = F.col("fp").bitwiseAND(odd), F.shiftrightunsigned(F.col("fp"), 1).bitwiseAND(odd)
     packed = low.bitwiseXOR(high).bitwiseOR(F.shiftleft(low.bitwiseAND(high), 1))  # their sum in each two bits
     cells = F.explode(F.array(*[F.struct(F.lit(c).alias("combo"), F.col("packed").bitwiseAND(F.lit(_signed(m))).alias("cell")) for c, m in enumerate(_cell_masks(max_bits))]))
-    rows = fps.select("fp").distinct().withColumn("packed", packed).select("fp", cells.alias("k")).select("k.combo", "k.cell", "fp")
+    spread = fps.select("fp").repartition(shuffle_partitions(fps.sparkSession), "fp").distinct()  # few bytes, but many rows to come
+    rows = spread.withColumn("packed", packed).select("fp", cells.alias("k")).select("k.combo", "k.cell", "fp")
     shared = rows.groupBy("combo", "cell").agg(F.count("*").alias("n")).where("n > 1")
     parts = F.ceil(F.col("n") / block).cast("int")
     own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")

@@ -4,9 +4,10 @@ A repeat of 50 words holds a whole block of 25 words that is aligned to multiple
 of 25 in the reference document. So aligned blocks are the index, and every
 rolling window of 25 words probes it. Blocks and windows are dealt to buckets by
 their hash, packed into a few bytes each, and matched there in arrays. Hits are
-extended to exact repeats: the 50-word windows around them are hashed to 96
-bits, the smallest document of each is found by an aggregation, and windows
-that a smaller document has are marked; overlapping marks join to maximal repeats.
+extended to exact repeats: the 50-word windows around them are dealt in the same
+way, each bucket first learns the smallest document of each window, then marks
+those of larger ones; overlapping marks join to maximal repeats. Rows whose whole
+word sequence a smaller document has are set aside before that.
 """
 
 from __future__ import annotations
@@ -21,37 +22,43 @@ from . import textkit as tk
 from .common import bounded_batches, shuffle_partitions
 
 WORDS = 50
-_MERGE_AT = 1 << 20
+_MERGE_AT, _GROUP_BYTES = 1 << 20, 4 << 20
 
 
-def _deal(batch: pa.RecordBatch, block: int, buckets: int) -> pa.RecordBatch:
-    """Rows (bucket, kind, docs, windows, data): kind 0 aligned blocks, kind 1 every rolling window."""
-    ids = np.asarray(batch.column("doc_id"))
-    data, off = tk.buffers(batch.column("text"))
-    start, end, first = tk.spans(data, off, ~tk.BLANK)
-    w = tk.rolling(tk.span_hashes(data, start, end), block)
-    row = np.repeat(np.arange(len(ids)), np.diff(first))[: len(w)]
-    at = np.arange(len(w))
-    fine = at + block <= first[1:][row] if len(w) else np.zeros(0, bool)
-    w, row, pos = w[fine], row[fine], (at - first[row])[fine] if len(w) else at
-    bucket = ((w >> np.uint64(32)) % np.uint64(buckets)).astype(np.uint32)
-    tag = (w & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+_DEALT = "bucket int, kind int, docs int, windows int, data binary"
+
+
+def _deal(bucket: np.ndarray, tag: np.ndarray, row: np.ndarray, pos: np.ndarray, ids: np.ndarray, versions: np.ndarray, index: np.ndarray) -> pa.RecordBatch:
+    """Rows of _DEALT, one for each bucket and kind: of kind 0 the tags in ``index``, of kind 1 all of them."""
     out: dict[str, list] = {c: [] for c in ("bucket", "kind", "docs", "windows", "data")}
-    for kind, keep in ((0, np.flatnonzero(pos % block == 0)), (1, np.arange(len(w)))):
+    for kind, keep in ((0, index), (1, np.arange(len(tag)))):
         order = keep[np.argsort(bucket[keep], kind="stable")]
         b = bucket[order]
         edges = np.flatnonzero(np.r_[True, b[1:] != b[:-1], True]) if len(b) else np.zeros(0, np.int64)
         r, t, p = row[order], tag[order], pos[order].astype(np.uint32)
         for s, e in zip(edges[:-1], edges[1:], strict=True):
             runs = np.flatnonzero(np.r_[True, r[s + 1 : e] != r[s : e - 1]])
+            who = r[s:e][runs]
             out["bucket"].append(int(b[s]))
             out["kind"].append(kind)
             out["docs"].append(len(runs))
             out["windows"].append(int(e - s))
-            out["data"].append(tk.pack(ids[r[s:e][runs]], np.diff(np.r_[runs, e - s]).astype(np.uint32), t[s:e], p[s:e]))
+            out["data"].append(tk.pack(ids[who], versions[who], np.diff(np.r_[runs, e - s]).astype(np.uint32), t[s:e], p[s:e]))
     return pa.RecordBatch.from_arrays([pa.array(out[c], k) for c, k in zip(out, (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=list(out))
 
 
+def _deal_anchors(data: np.ndarray, off: np.ndarray, ids: np.ndarray, block: int, buckets: int) -> pa.RecordBatch:
+    """Every rolling window of ``block`` words, the aligned ones as the index, with 32 bits beside the bucket."""
+    start, end, first = tk.spans(data, off, ~tk.BLANK)
+    w = tk.rolling(tk.span_hashes(data, start, end), block)
+    row = np.repeat(np.arange(len(ids)), np.diff(first))[: len(w)]
+    at = np.arange(len(w))
+    fine = at + block <= first[1:][row] if len(w) else np.zeros(0, bool)
+    w, row, pos = w[fine], row[fine], (at - first[row])[fine] if len(w) else at
+    bucket = ((w >> np.uint64(32)) % np.uint64(buckets)).astype(np.uint32)
+    return _deal(bucket, (w & np.uint64(0xFFFFFFFF)).astype(np.uint32), row, pos, ids, np.zeros(len(ids), np.int64), np.flatnonzero(pos % block == 0))
+
+
 class _Index:
     """Of one bucket: for each tag of an aligned block its smallest and largest document, and a place in it."""
 
@@ -66,7 +73,7 @@ class _Index:
             self.merge()
 
     def merge(self) -> None:
-        tag, lo, hi, pos, n = (np.concatenate(x) for x in zip(*self.parts, strict=True)) if self.parts else (np.zeros(0, np.uint32), *[np.zeros(0, np.int64)] * 2, np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        tag, lo, hi, pos, n = (np.concatenate(x) for x in zip(*self.parts, strict=True)) if self.parts else (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 2, np.zeros(0, np.uint32), np.zeros(0, np.int64))
         order = np.argsort(tag, kind="stable")
         tag, lo, hi, pos, n = tag[order], lo[order], hi[order], pos[order], n[order]
         s = np.flatnonzero(np.r_[True, tag[1:] != tag[:-1]]) if len(tag) else np.zeros(0, np.int64)
@@ -90,48 +97,63 @@ class _Index:
         self.shared[k[hit]] = True
         return doc[hit], pos[hit]
 
+    def smallest(self, tag: np.ndarray) -> np.ndarray:
+        """The smallest document of each tag, which all are in the index."""
+        return self.lo[np.searchsorted(self.tag, tag)]
+
     def owners(self) -> tuple[np.ndarray, np.ndarray]:
         own = self.shared & ~self.always
         return self.lo[own], self.pos[own]
 
 
-def _match(batches):
+def _bucketwise(batches, tag_type: type, probe, finish):
+    """Feeds each bucket's kind 0 to an index and then its kind 1 to ``probe``; at its end ``finish``."""
     at, index, probing = None, _Index(), False
-    rows = lambda doc, pos: pa.RecordBatch.from_arrays([pa.array(doc.astype(np.int64)), pa.array(pos.astype(np.int32))], names=["doc_id", "pos"])
     for batch in batches:
         for bucket, kind, docs, windows, data in zip(*(batch.column(c).to_pylist() for c in ("bucket", "kind", "docs", "windows", "data")), strict=True):
             if bucket != at:
                 if probing:
-                    yield rows(*index.owners())
+                    yield from finish(index)
                 at, index, probing = bucket, _Index(), False
-            ids, n, tag, pos = tk.unpack(data, (np.int64, docs), (np.uint32, docs), (np.uint32, windows), (np.uint32, windows))
-            doc = np.repeat(ids, n)
+            ids, versions, n, tag, pos = tk.unpack(data, (np.int64, docs), (np.int64, docs), (np.uint32, docs), (tag_type, windows), (np.uint32, windows))
             if kind == 0:
-                index.add(tag, doc, pos)
+                index.add(tag, np.repeat(ids, n), pos)
                 continue
             if not probing:
                 index.ready()
                 probing = True
-            hits = index.probe(tag, doc, pos)
-            if len(hits[0]):
-                yield rows(*hits)
+            yield from probe(index, tag, ids, versions, n, pos)
     if probing:
-        yield rows(*index.owners())
+        yield from finish(index)
+
+
+def _match_anchors(batches):
+    def rows(doc, pos):
+        if len(doc):
+            yield pa.RecordBatch.from_arrays([pa.array(doc.astype(np.int64)), pa.array(pos.astype(np.int32))], names=["doc_id", "pos"])
+
+    return _bucketwise(batches, np.uint32, lambda index, tag, ids, versions, n, pos: rows(*index.probe(tag, np.repeat(ids, n), pos)), lambda index: rows(*index.owners()))
+
+
+def _mark_repeats(batches):
+    def rows(index, tag, ids, versions, n, pos):
+        doc, version = np.repeat(ids, n), np.repeat(versions, n)
+        bad = index.smallest(tag) < doc
+        if bad.any():
+            yield pa.RecordBatch.from_arrays([pa.array(doc[bad]), pa.array(version[bad]), pa.array(pos[bad].astype(np.int32))], names=["doc_id", "version", "pos"])
 
+    return _bucketwise(batches, np.uint64, rows, lambda index: ())
 
-def anchor_hits(docs: DataFrame, words: int = WORDS) -> DataFrame:
+
+def anchor_hits(moved: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, pos): windows of words // 2 words that equal an aligned block, where two documents are concerned."""
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    block, parts = words // 2, shuffle_partitions(spark)
+    block, parts = words // 2, shuffle_partitions(moved.sparkSession)
 
     def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                yield _deal(batch, block, parts)
+        for batch in _pieces(batches):
+            yield _deal_anchors(*tk.buffers(_texts(batch)), np.asarray(batch.column("doc_id")), block, parts)
 
-    dealt = docs.mapInArrow(run, "bucket int, kind int, docs int, windows int, data binary")
-    return dealt.repartitionById(parts, F.col("bucket")).sortWithinPartitions("bucket", "kind").mapInArrow(_match, "doc_id long, pos int")
+    return moved.select("doc_id", "z").mapInArrow(run, _DEALT).repartitionById(parts, F.col("bucket")).sortWithinPartitions("bucket", "kind").mapInArrow(_match_anchors, "doc_id long, pos int")
 
 
 def _digests(words: bytes) -> tuple[int, int]:
@@ -160,28 +182,32 @@ def _text(data: bytes | None) -> str:
     return "" if data is None else pa.Codec("zstd").decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True).decode()
 
 
-def _windows_of(words: int):
-    """Around hits: (key, check, doc_id, version, pos) of the windows of ``words`` words that hold a hit."""
-    block = words // 2
+def _pieces(batches):
+    """Rows, as many as have about _GROUP_BYTES of text."""
+    for batch in batches:
+        sizes = np.array([int.from_bytes(z[:8], "little") for z in batch.column("z").to_pylist()], np.int64)
+        part = (np.cumsum(sizes) - sizes) // _GROUP_BYTES
+        edges = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(part) else np.zeros(0, np.int64)
+        for s, e in zip(edges[:-1], edges[1:], strict=True):
+            yield batch.slice(s, e - s)
 
-    def pieces(batches):
-        """Rows, as many as have about CHUNK_BYTES of text."""
-        for batch in batches:
-            sizes = np.array([int.from_bytes(z[:8], "little") for z in batch.column("z").to_pylist()], np.int64)
-            part = (np.cumsum(sizes) - sizes) // tk.CHUNK_BYTES
-            edges = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(part) else []
-            for s, e in zip(edges[:-1], edges[1:], strict=True):
-                yield batch.slice(s, e - s)
+
+def _texts(batch: pa.RecordBatch) -> pa.Array:
+    return pa.array([_text(z) for z in batch.column("z").to_pylist()], pa.large_string())
+
+
+def _deal_windows(words: int, buckets: int):
+    """The windows of ``words`` words that hold a hit, with 64 bits beside the bucket, which comes from another hash."""
+    block = words // 2
 
     def run(batches):
-        for batch in pieces(batches):
+        for batch in _pieces(batches):
             places = batch.column("places").to_pylist()
-            texts = pa.array([_text(z) for z in batch.column("z").to_pylist()], pa.large_string())
-            data, off = tk.buffers(texts)
+            data, off = tk.buffers(_texts(batch))
             start, end, first = tk.spans(data, off, ~tk.BLANK)
             h1, h2 = (tk.span_hashes(data, start, end, b) for b in tk.BASES)
             k1, k2 = tk.rolling(h1, words), tk.rolling(h2, words, tk.BASES[0])
-            rows, at = [], []
+            rows, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for i, hits in enumerate(places):
                 last = int(first[i + 1] - first[i]) - words  # start of the last window
                 if last < 0:
@@ -190,11 +216,8 @@ def _windows_of(words: int):
                 s = np.flatnonzero(tk.cover(np.clip(p - (words - block), 0, last + 1), words - block + 1, last + 1 + words)[: last + 1])
                 at.append(first[i] + s)
                 rows.append(np.full(len(s), i))
-            row, k = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, at))
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(k1[k].view(np.int64)), pa.array((k2[k] & np.uint64(0x7FFFFFFF)).astype(np.int32)), batch.column("doc_id").take(take), batch.column("version").take(take), pa.array((k - first[row]).astype(np.int32)),
-            ], names=["key", "check", "doc_id", "version", "pos"])
+            row, k = np.concatenate(rows), np.concatenate(at)
+            yield _deal((k2[k] % np.uint64(buckets)).astype(np.uint32), k1[k], row, k - first[row], np.asarray(batch.column("doc_id")), np.asarray(batch.column("version")), np.arange(len(k)))
 
     return run
 
@@ -234,18 +257,17 @@ def remove_repeats(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id",
     if words < 2:
         raise ValueError("words must be 2 or more")
     bounded_batches(docs.sparkSession)
+    parts = shuffle_partitions(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    hits = anchor_hits(rows.where("doc_id is not null and text is not null"), words)
-    places = hits.groupBy(F.col("doc_id").alias("id")).agg(F.collect_set("pos").alias("places"))
     wholes = rows.where("doc_id is not null").select("doc_id", F.arrow_udf(_whole, "struct<version:bigint,check:bigint>")("text").alias("h")).select("doc_id", "h.version", "h.check")
     firsts = wholes.groupBy("version", "check").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("version", "check", "first")
     copies = wholes.join(firsts, ["version", "check"]).where("doc_id > first").groupBy(F.col("doc_id").alias("copy_id")).agg(F.collect_set("version").alias("copies"))
     moved = rows.select("doc_id", F.arrow_udf(_squeezed, "struct<z:binary,version:bigint>")("text").alias("s")).select("doc_id", "s.version", "s.z").repartition("doc_id")
-    places = places.join(copies, places["id"] == copies["copy_id"], "left").select("id", "places", "copies")
-    near = moved.join(places, moved["doc_id"] == places["id"]).where(~F.coalesce(F.array_contains("copies", F.col("version")), F.lit(False)))
-    windows = near.select("doc_id", "version", "z", "places").mapInArrow(_windows_of(words), "key long, check int, doc_id long, version long, pos int")
-    least = windows.groupBy("key", "check").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("key", "check", "least")
-    marked = windows.join(least, ["key", "check"]).where("doc_id > least")
+    kept = moved.where("doc_id is not null").join(copies, moved["doc_id"] == copies["copy_id"], "left").where(~F.coalesce(F.array_contains("copies", F.col("version")), F.lit(False))).select("doc_id", "version", "z")
+    places = anchor_hits(kept, words).groupBy(F.col("doc_id").alias("id")).agg(F.collect_set("pos").alias("places"))
+    near = kept.join(places, kept["doc_id"] == places["id"]).select("doc_id", "version", "z", "places")
+    windows = near.mapInArrow(_deal_windows(words, parts), _DEALT).repartitionById(parts, F.col("bucket")).sortWithinPartitions("bucket", "kind")
+    marked = windows.mapInArrow(_mark_repeats, "doc_id long, version long, pos int")
     by_row = marked.groupBy("doc_id", "version").agg(F.collect_set("pos").alias("pos")).groupBy(F.col("doc_id").alias("marked_id")).agg(F.collect_list(F.struct("version", "pos")).alias("marks"))
     out = moved.join(by_row, moved["doc_id"] == by_row["marked_id"], "left").join(copies, moved["doc_id"] == copies["copy_id"], "left").select("doc_id", _removed(words)("z", "version", "marks", "copies").alias("r"))
     return out.select("doc_id", "r.n_words", "r.n_removed", "r.text")
