@@ -1,11 +1,13 @@
-"""Byte-level BPE: ranked merges folded over the bytes of each distinct word.
-
-Tasks split texts into words, and code each batch of documents by its own list
-of distinct words. The words, not the texts, are shuffled; Spark's higher-order
-functions fold the ranked merges over each different word once, with the ranks
-as a literal: an array of small maps, by hash of the piece, so that a lookup
-costs the same however large the vocabulary is. The lists come back to their
-batches, and codes turn to ids. Decoding concatenates the ids' byte pieces.
+"""Byte-level BPE: ranked merges folded over the bytes of distinct words.
+
+Tasks split texts into words and take each batch's distinct ones. Their bytes
+stand in one array, and the fold goes over all words at once: look up the rank
+of every adjacent pair, merge the first pair of the least rank of each word, and
+repeat for the words that changed. Ids of the distinct words then spread to all
+their places. Nothing is shuffled. Decoding concatenates the ids' byte pieces.
+
+``fold_merges`` is the same fold with Spark's higher-order functions and the ranks
+as a literal; README.md has the figures that keep it from being the main path.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from __future__ import annotations
 import base64
 import heapq
 import json
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -21,11 +24,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import bounded_batches, shuffle_partitions
+from .common import BATCH_BYTES, bounded_batches
 from .pretokens import split
 
-#: Bytes of text that share a list of words; bytes of a word above which merges are found by a heap, as the fold takes quadratic time.
-GROUP_BYTES, LONG_WORD, MAPS = 32 << 20, 192, 16_384
+#: Bytes of a word above which merges are found by a heap, as the fold takes quadratic time; maps of the literal.
+LONG_WORD, MAPS = 192, 16_384
+_NONE = np.int64(1) << np.int64(40)
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -92,48 +96,55 @@ def heap_merges(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i : end[i]]] for i in range(n) if not dead[i]]
 
 
-def _grouped(batches):
-    """Batches put together up to GROUP_BYTES of text: pieces of each, as lists."""
-    held, size = [], 0
-    for batch in batches:
-        for part in tk.chunks(batch):
-            held.append(part)
-            size += part.column("text").nbytes
-            if size >= GROUP_BYTES:
-                yield held
-                held, size = [], 0
-    if held:
-        yield held
-
-
-def _coded(parts: list[pa.RecordBatch], want_words: bool) -> tuple[str, list, np.ndarray, np.ndarray, list[bytes]]:
-    """A key made from all content, ids, words in each row, each word's number in the list, and the list, frequent words first."""
-    ids, counts, hashes, seen, words = [], [], [], np.zeros(0, np.uint64), []
-    for part in parts:
-        data, start, first, _ = split(part.column("text"))
-        h = tk.span_hashes(data, start[:-1], start[1:])
-        ids += part.column("doc_id").to_pylist()
-        counts.append(np.diff(first))
-        hashes.append(h)
-        if want_words:
-            new, where = np.unique(h, return_index=True)
-            fresh = ~np.isin(new, seen, assume_unique=True)
-            raw = data.tobytes()
-            words += list(zip(new[fresh].tolist(), [raw[s:e] for s, e in zip(start[where[fresh]].tolist(), start[where[fresh] + 1].tolist(), strict=True)], strict=True))
-            seen = np.union1d(seen, new)
-    h, n = np.concatenate(hashes), np.concatenate(counts)
-    distinct, code, often = np.unique(h, return_inverse=True, return_counts=True)
-    order = np.argsort(-often, kind="stable")
-    number = np.empty(len(order), np.int64)
-    number[order] = np.arange(len(order))
-    digest = xxhash.xxh3_128(h.tobytes())
-    digest.update(n.tobytes())
-    digest.update(repr(ids).encode())
-    listed: list[bytes] = []
-    if want_words:
-        listed = [w for _, w in sorted(words)]
-        listed = [listed[i] for i in order.tolist()]
-    return digest.hexdigest(), ids, n, number[code].astype(np.uint32), listed
+@dataclass
+class RankArrays:
+    """A vocabulary as sorted arrays: pairs of ids to the id they merge to, hashes of pieces to ids, and ids of single bytes."""
+
+    pairs: np.ndarray
+    merged: np.ndarray
+    hashes: np.ndarray
+    ids: np.ndarray
+    byte: np.ndarray
+
+
+def rank_arrays(ranks: dict[bytes, int]) -> RankArrays:
+    pairs = [(ranks[p[:k]] << 32 | ranks[p[k:]], r) for p, r in ranks.items() for k in range(1, len(p)) if p[:k] in ranks and p[k:] in ranks]
+    keys = np.array([k for k, _ in pairs], np.int64)
+    order = np.argsort(keys)
+    flat = np.frombuffer(b"".join(ranks), np.uint8)
+    ends = np.cumsum([len(p) for p in ranks])
+    h = tk.span_hashes(flat, np.r_[0, ends[:-1]], ends)
+    by = np.argsort(h)
+    return RankArrays(keys[order], np.array([r for _, r in pairs], np.int64)[order], h[by], np.array(list(ranks.values()), np.int64)[by], np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int64))
+
+
+def fold_words(data: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray, v: RankArrays) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all words, one word after the other, and the number of each word's ids."""
+    found = np.minimum(np.searchsorted(v.hashes, h), len(v.hashes) - 1)
+    whole = v.hashes[found] == h
+    done = [(np.flatnonzero(whole), v.ids[found[whole]])]
+    rest = np.flatnonzero(~whole)
+    size = (end - start)[rest]
+    own = np.repeat(rest, size)
+    tok = v.byte[data[np.arange(len(own)) + np.repeat(start[rest] - (np.cumsum(size) - size), size)]]
+    while len(tok):
+        rank = np.full(len(tok), _NONE)
+        same = np.flatnonzero(own[1:] == own[:-1])
+        pair = tok[same] << 32 | tok[same + 1]
+        at = np.minimum(np.searchsorted(v.pairs, pair), len(v.pairs) - 1)
+        rank[same] = np.where(v.pairs[at] == pair, v.merged[at], _NONE)
+        first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        n = np.diff(np.r_[first, len(own)])
+        least = np.repeat(np.minimum.reduceat(rank, first), n)
+        live = least < _NONE
+        done.append((own[~live], tok[~live]))
+        hits = np.flatnonzero((rank == least) & live)
+        hits = hits[np.r_[True, own[hits[1:]] != own[hits[:-1]]]] if len(hits) else hits
+        tok[hits] = least[hits]
+        live[hits + 1] = False
+        tok, own = tok[live], own[live]
+    owner, ids = (np.concatenate(x) for x in zip(*done, strict=True))
+    return ids[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(start))
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -141,75 +152,37 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", tex
 
     The same ids as the tokenizer's library gives without special tokens. Null and
     empty texts have no ids. Repeated rows come back each; null ids stay null. An
-    empty table gives an empty table. ``docs`` is read twice and must give the same
-    rows in the same order, as a scan of files does: write other input first. If it
-    doesn't, the query fails rather than mixing lists up.
+    empty table gives an empty table.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    shared = spark.sparkContext.broadcast((rank_arrays(ranks), ranks))  # the vocabulary only
 
-    def list_words(batches):
-        for parts in _grouped(batches):
-            key, *_, words = _coded(parts, True)
-            for s in range(0, len(words), 50_000):
-                w = words[s : s + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([key] * len(w)), pa.array(np.arange(s, s + len(w), dtype=np.int32)), pa.array(w, pa.binary()).cast(pa.string())], names=["key", "code", "word"])
-
-    def list_codes(batches):
-        codec = pa.Codec("zstd")
-        for parts in _grouped(batches):
-            key, ids, n, codes, _ = _coded(parts, False)
-            packed = tk.pack(codes)
-            yield pa.RecordBatch.from_pydict({"key": [key], "docs": pa.array([ids], pa.list_(pa.int64())), "counts": pa.array([n.tolist()], pa.list_(pa.int64())), "size": pa.array([len(codes)], pa.int64()), "codes": pa.array([codec.compress(packed, asbytes=True)], pa.binary())})
-
-    words = rows.mapInArrow(list_words, "key string, code int, word string").repartition(shuffle_partitions(spark), "word")
-    long = F.octet_length("word") > LONG_WORD
-
-    @F.arrow_udf("array<int>")
-    def by_heap(col: pa.Array) -> pa.Array:
-        return pa.array([None if w is None else heap_merges(w.encode(), ranks) for w in col.to_pylist()], pa.list_(pa.int32()))
-
-    different = words.select("word").distinct()
-    different = different.select(F.col("word").alias("w"), F.when(~long, fold_merges(F.col("word"), ranks)).alias("ids"))
-    different = different.withColumn("ids", F.coalesce("ids", by_heap(F.when(F.col("ids").isNull(), F.col("w")))))
-    lists = words.join(different, words["word"] == different["w"]).groupBy(F.col("key").alias("list")).agg(F.collect_list(F.struct("code", "ids")).alias("words"))
-    coded = rows.mapInArrow(list_codes, "key string, docs array<long>, counts array<long>, size long, codes binary")
-
-    def to_ids(batches):
-        codec = pa.Codec("zstd")
+    def run(batches):
+        v, by_piece = shared.value
         for batch in batches:
-            for i in range(batch.num_rows):
-                size = batch.column("size")[i].as_py()
-                (codes,) = tk.unpack(codec.decompress(batch.column("codes")[i].as_py(), 4 * size, asbytes=True), (np.uint32, size)) if size else (np.zeros(0, np.uint32),)
-                docs_, counts = (np.asarray(batch.column(c)[i].values) for c in ("docs", "counts"))
-                null_ids = batch.column("docs")[i].values
-                known = batch.column("words")[i].values
-                n_words = int(codes.max()) + 1 if size else 0
-                if (len(known) if known is not None else 0) < n_words:
-                    raise RuntimeError("the input gave other rows when it was read again; write it to files first")
-                if n_words:
-                    number, ids = np.asarray(known.field("code")), known.field("ids")
-                    per = np.zeros(n_words, np.int64)
-                    at = np.zeros(n_words, np.int64)
-                    offs = np.asarray(ids.offsets)
-                    per[number], at[number] = np.diff(offs), offs[:-1]
-                    flat = np.asarray(ids.values).astype(np.uint32)
-                    n_ids = per[codes]
-                    ends = np.cumsum(n_ids)
-                    out = flat[np.arange(ends[-1]) + np.repeat(at[codes] - (ends - n_ids), n_ids)]
-                    bounds = np.r_[0, ends][np.r_[0, np.cumsum(counts)]]
-                else:
-                    out, bounds = np.zeros(0, np.uint32), np.zeros(len(docs_) + 1, np.int64)
-                for s in range(0, len(docs_), 2000):
-                    b = bounds[s : s + 2001]
-                    raw = out[b[0] : b[-1]].astype("<u4").tobytes()
-                    places = ((b - b[0]) * 4).astype(np.int64)
-                    binary = pa.Array.from_buffers(pa.large_binary(), len(b) - 1, [None, pa.py_buffer(places), pa.py_buffer(raw)]).cast(pa.binary())
-                    yield pa.RecordBatch.from_arrays([null_ids.slice(s, len(b) - 1), pa.array(np.diff(b)), binary], names=["doc_id", "n_tokens", "ids"])
-
-    joined = coded.join(lists, coded["key"] == lists["list"], "left").select("docs", "counts", "size", "codes", "words")
-    return joined.mapInArrow(to_ids, "doc_id long, n_tokens long, ids binary")
+            for part in tk.chunks(batch, size=BATCH_BYTES):
+                data, start, first, _ = split(part.column("text"))
+                h = tk.span_hashes(data, start[:-1], start[1:])
+                distinct, where, word = np.unique(h, return_index=True, return_inverse=True)
+                s, e = start[where], start[where + 1]
+                short = e - s <= LONG_WORD
+                flat, n = fold_words(data, s[short], e[short], distinct[short], v)
+                per, at = np.zeros(len(s), np.int64), np.zeros(len(s), np.int64)
+                per[short], at[short] = n, np.cumsum(n) - n
+                for k in np.flatnonzero(~short):
+                    long = heap_merges(data[s[k] : e[k]].tobytes(), by_piece)
+                    per[k], at[k] = len(long), len(flat)
+                    flat = np.concatenate([flat, np.array(long, np.int64)])
+                n_ids = per[word]
+                ends = np.cumsum(n_ids)
+                out = flat[np.arange(int(n_ids.sum())) + np.repeat(at[word] - (ends - n_ids), n_ids)].astype("<u4")
+                bounds = np.r_[0, ends][first]
+                binary = pa.Array.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer(bounds * 4), pa.py_buffer(out)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(bounds)), binary], names=["doc_id", "n_tokens", "ids"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 
 
 def decode(ids: Column, ranks: dict[bytes, int]) -> Column:

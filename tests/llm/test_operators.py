@@ -204,6 +204,14 @@ def test_bpe(spark, tokenizer):
     assert bpe.encode(empty(spark), ranks).count() == 0
 
 
+def test_fold_merges(spark, tokenizer):
+    ranks, enc = tokenizer
+    words = [" thereupon", "éclair", "漢字", "xqzv", " ", "aaaaaaa", " ciónmente"]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    got = {r["w"]: r["ids"] for r in df.select("w", bpe.fold_merges(df["w"], ranks).alias("ids")).collect()}
+    assert got == {w: enc.encode_ordinary(w) for w in words}
+
+
 def test_long_word_merges(tokenizer):
     ranks, enc = tokenizer
     for w in ("ab" * 400, "the" * 200, "é" * 333, "x"):
