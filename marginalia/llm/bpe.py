@@ -24,11 +24,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import BATCH_BYTES, bounded_batches
+from .common import bounded_batches
 from .pretokens import split
 
-#: Bytes of a word above which merges are found by a heap, as the fold takes quadratic time; maps of the literal.
-LONG_WORD, MAPS = 192, 16_384
+#: Bytes of text whose words are folded together; bytes of a word above which merges are found by a heap, as the fold takes quadratic time; maps of the literal.
+GROUP_BYTES, LONG_WORD, MAPS = 2 << 20, 192, 16_384
 _NONE = np.int64(1) << np.int64(40)
 
 
@@ -161,7 +161,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", tex
     def run(batches):
         v, by_piece = shared.value
         for batch in batches:
-            for part in tk.chunks(batch, size=BATCH_BYTES):
+            for part in tk.chunks(batch, size=GROUP_BYTES):
                 data, start, first, _ = split(part.column("text"))
                 h = tk.span_hashes(data, start[:-1], start[1:])
                 distinct, where, word = np.unique(h, return_index=True, return_inverse=True)

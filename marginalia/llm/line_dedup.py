@@ -34,8 +34,8 @@ def _keys(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     first, past = np.searchsorted(solid, start), np.searchsorted(solid, end)
     has = past > first
     low = tk.LOWER[data]
-    s = np.where(has, solid[np.minimum(first, max(len(solid) - 1, 0))] if len(solid) else 0, 0)
-    e = np.where(has, solid[np.maximum(past - 1, 0)] + 1 if len(solid) else 0, 0)
+    s = np.where(has, solid[np.minimum(first, max(len(solid) - 1, 0))] if len(solid) else 0, start)
+    e = np.where(has, solid[np.maximum(past - 1, 0)] + 1 if len(solid) else 0, start)
     return has, tk.span_hashes(low, s, e, tk.BASES[0]).view(np.int64), tk.span_hashes(low, s, e, tk.BASES[1]).view(np.int64)
 
 

@@ -20,7 +20,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Odd factors of the polynomial hashes.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES, HASH_BYTES = 1 << 20, 1 << 18
 
 
 def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -102,11 +102,17 @@ def sums(values: np.ndarray, base: int) -> np.ndarray:
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = BASES[0]) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span."""
-    if not len(start):
-        return np.zeros(0, U64)
-    s = sums(data.astype(U64) + U64(1), base)
-    return mix((s[end] - s[start]) * powers(base, len(data))[1][start])
+    """A 64-bit hash of the bytes of each span; starts and ends ascend. Works in blocks of HASH_BYTES, to hold little at once."""
+    out = np.zeros(len(start), U64)
+    at = 0
+    while at < len(start):
+        to = max(at + 1, int(np.searchsorted(start, start[at] + HASH_BYTES)))
+        first, past = start[at], end[to - 1]
+        s = sums(data[first:past].astype(U64) + U64(1), base)
+        b = start[at:to] - first
+        out[at:to] = mix((s[end[at:to] - first] - s[b]) * powers(base, past - first + 1)[1][b])
+        at = to
+    return out
 
 
 def rolling(hashes: np.ndarray, k: int, base: int = BASES[1]) -> np.ndarray:
