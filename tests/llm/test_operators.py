@@ -90,6 +90,42 @@ def test_simhash(spark, monkeypatch, block):
     assert simhash.keep_one(frame(spark, rows)).columns == ["doc_id", "text", "n_lines", "component_id", "base"]
 
 
+def test_near_copies(spark):
+    rnd = random.Random(12)
+    words = [f"w{i}" for i in range(5000)]
+    texts = []
+    for changed in (1, 2, 4, 6, 40, 60):
+        for _ in range(6):
+            base = [rnd.choice(words) for _ in range(320)]
+            near = list(base)
+            for k in range(changed):
+                near[k * 320 // changed + 2] = "other"
+            texts += [" ".join(base), " ".join(near).upper()]
+    hub = [rnd.choice(words) for _ in range(320)]
+    for i in range(30):
+        near = list(hub)
+        near[i * 10] = "hub"
+        texts.append(" ".join(near))
+    rows = list(enumerate([*texts, "", None, "a b", "A  b", "c d"])) + [(None, texts[0]), (0, texts[0])]
+    parts = [{" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for _, t in rows]
+    shares = [(a, b, len(parts[a] & parts[b]) / max(1, len(parts[a] | parts[b]))) for a in range(len(texts)) for b in range(a)]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copy_components(frame(spark, rows), 5).collect()}
+    for a, b, share in shares:
+        if share >= 0.86:
+            assert got[a] == got[b], share
+        if share < 0.6:
+            assert got[a] != got[b], share
+    assert sum(s >= 0.86 for *_, s in shares) > 400 and sum(0 < s < 0.6 for *_, s in shares) >= 12
+    n = len(texts)
+    assert got[n] == got[n + 1] == n and got[n + 2] == got[n + 3] == n + 2 and got[n + 4] == n + 4 and got[None] is None
+    small = spark.createDataFrame([(i, bytes(simhash._minima(np.arange(i, i + 60, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), np.array([60]))[0])) for i in range(40)], "rep long, sketch binary")
+    linked = [roots(range(40), [(r["a"], r["b"]) for r in simhash.sketch_links(small, 0.8, block).collect()]) for block in (4096, 3)]
+    assert linked[0] == linked[1] and len(set(linked[0].values())) < 20
+    kept = simhash.keep_one(frame(spark, rows), 5)
+    assert kept.columns == ["doc_id", "text", "n_lines", "component_id", "base"] and kept.where("doc_id is null").count() == 1
+    assert simhash.keep_one(empty(spark), 5).count() == 0
+
+
 def test_simhash_long_document():
     counts = np.array([70_000, 0, 3])
     h = np.random.default_rng(1).integers(0, 1 << 63, 70_003).astype(np.uint64)
