@@ -204,14 +204,19 @@ def _in_blocks(rows: DataFrame, keys: list[str], member: str, block: int) -> Dat
     return live.select(*rows.columns, both.alias("p")).select(*rows.columns, "p.i", "p.j")
 
 
+def _spread(rows: DataFrame, member: str) -> DataFrame:
+    """``rows`` over all partitions, as they are few bytes but make many rows; by a hash, since Spark leaves out a repartition by columns that it has grouped by."""
+    return rows.repartition(shuffle_partitions(rows.sparkSession), F.xxhash64(member))
+
+
 def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
-    """(a, b): links between the different fingerprints in ``fps`` (column fp) that connect what all links would."""
+    """(a, b): links between the fingerprints in ``fps`` (column fp, all different) that connect what all links would."""
     bounded_batches(fps.sparkSession)
     odd = F.lit(0x5555555555555555)
     low, high = F.col("fp").bitwiseAND(odd), F.shiftrightunsigned(F.col("fp"), 1).bitwiseAND(odd)
     packed = low.bitwiseXOR(high).bitwiseOR(F.shiftleft(low.bitwiseAND(high), 1))  # their sum in each two bits
     cells = F.explode(F.array(*[F.struct(F.lit(c).alias("combo"), F.col("packed").bitwiseAND(F.lit(_signed(m))).alias("cell")) for c, m in enumerate(_cell_masks(max_bits))]))
-    spread = fps.select("fp").repartition(shuffle_partitions(fps.sparkSession), "fp").distinct()  # few bytes, but many rows to come
+    spread = _spread(fps.select("fp"), "fp")
     rows = spread.withColumn("packed", packed).select("fp", cells.alias("k")).select("k.combo", "k.cell", "fp")
     live = _in_blocks(rows, ["combo", "cell"], "fp", block).withColumn("node", F.col("fp"))
     keys = ["combo", "cell", "i", "j"]
@@ -226,7 +231,7 @@ def sketch_links(sketches: DataFrame, similarity: float = SIMILARITY, block: int
     """
     bounded_batches(sketches.sparkSession)
     band = lambda b: F.xxhash64(b, F.substring("sketch", b * (2 * BAND_ROWS) + 1, F.lit(2 * BAND_ROWS)))
-    rows = sketches.select("rep", F.explode(F.transform(F.sequence(F.lit(0), F.lit(MINIMA // BAND_ROWS - 1)), band)).alias("band"))
+    rows = _spread(sketches, "rep").select("rep", F.explode(F.transform(F.sequence(F.lit(0), F.lit(MINIMA // BAND_ROWS - 1)), band)).alias("band"))
     live = _in_blocks(rows, ["band"], "rep", block).join(sketches, "rep")
     keys = ["band", "i", "j"]
     return live.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_linker(keys, "rep", "sketch", _alike(similarity)), "a long, b long").distinct()
