@@ -36,10 +36,14 @@ def member(v: Column, path: str, kind: str = "variant") -> Column:
 
 def kind_of(v: Column) -> Column:
     """object, array, string, integer, number, boolean or null; SQL NULL if missing. 17.0 is an integer."""
-    s = F.schema_of_variant(v)
-    d = F.try_variant_get(v, "$", "double")
-    return (
-        F.when(s.startswith("OBJECT"), "object").when(s.startswith("ARRAY"), "array").when(s == "STRING", "string").when(s == "VOID", "null").when(s == "BOOLEAN", "boolean")
-        .when((s == "BIGINT") | s.rlike(r"^DECIMAL\(\d+,0\)$"), "integer").when(s.startswith("DECIMAL"), F.when(d == F.floor(d), "integer").otherwise("number"))
-        .when(s.isin("DOUBLE", "FLOAT"), F.when(d == F.floor(d), "integer").otherwise("number")).when(s.isNotNull(), "other")
-    )
+
+    def name(x: Column) -> Column:
+        s, d = x["s"], x["d"]
+        return (
+            F.when(s.startswith("OBJECT"), "object").when(s.startswith("ARRAY"), "array").when(s == "STRING", "string").when(s == "VOID", "null").when(s == "BOOLEAN", "boolean")
+            .when((s == "BIGINT") | s.rlike(r"^DECIMAL\(\d+,0\)$"), "integer").when(s.startswith("DECIMAL"), F.when(d == F.floor(d), "integer").otherwise("number"))
+            .when(s.isin("DOUBLE", "FLOAT"), F.when(d == F.floor(d), "integer").otherwise("number")).when(s.isNotNull(), "other")
+        )
+
+    once = F.struct(F.schema_of_variant(v).alias("s"), F.try_variant_get(v, "$", "double").alias("d"))
+    return F.transform(F.array(once), name)[0]  # inside lambdas Spark evaluates each mention of an expression anew

@@ -28,45 +28,59 @@ def _extra_keys(v: Column, names: tuple[str, ...]) -> Column:
     return F.size(F.array_except(F.json_object_keys(F.to_json(v)), F.array(*map(F.lit, names)))) > 0
 
 
-def _string_rules(v: Column, path: Column) -> list[Column]:
-    return [_rule(kind_of(v) != "string", path, "type"), _rule((kind_of(v) == "string") & (F.length(F.try_variant_get(v, "$", "string")) < 1), path, "minLength")]
+def _string_rules(v: Column, kind: Column, path: Column) -> list[Column]:
+    return [_rule(kind != "string", path, "type"), _rule((kind == "string") & (F.length(F.try_variant_get(v, "$", "string")) < 1), path, "minLength")]
 
 
-def _fact_rules(f: Column, i: Column) -> Column:
+def _number(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "double")
+
+
+def _with_members(f: Column) -> Column:
+    """A fact, its members and its page."""
+    return F.struct(f.alias("fact"), *[member(f, f"$.{k}").alias(k) for k in FACT_MEMBERS], member(f, "$.source.page").alias("page"))
+
+
+def _with_kinds(x: Column) -> Column:
+    return F.struct(x.alias("of"), F.struct(*[kind_of(x[k]).alias(k) for k in ("fact", *FACT_MEMBERS, "page")]).alias("kind"))
+
+
+def _fact_rules(x: Column, i: Column) -> Column:
     at = lambda tail="": F.concat(F.lit("/facts/"), i.cast("string"), F.lit(tail))
-    is_object = kind_of(f) == "object"
-    get = lambda k: member(f, f"$.{k}")
-    rules = [_rule(~is_object, at(), "type"), _rule(is_object & _extra_keys(f, FACT_MEMBERS), at(), "additionalProperties")]
-    rules += [_rule(is_object & kind_of(get(k)).isNull(), at(f"/{k}"), "required") for k in FACT_MEMBERS]
+    of, kind = x["of"], x["kind"]
+    numeric = lambda k: kind[k].isin("integer", "number")
+    is_object, has_source = kind["fact"] == "object", kind["source"] == "object"
+    rules = [_rule(~is_object, at(), "type"), _rule(is_object & _extra_keys(of["fact"], FACT_MEMBERS), at(), "additionalProperties")]
+    rules += [_rule(is_object & kind[k].isNull(), at(f"/{k}"), "required") for k in FACT_MEMBERS]
     for k in FACT_STRINGS:
-        rules += _string_rules(get(k), at(f"/{k}"))
-    rules.append(_rule(~kind_of(get("value")).isin("integer", "number"), at("/value"), "type"))
-    source, page = get("source"), member(f, "$.source.page")
-    has_source = kind_of(source) == "object"
-    rules += [_rule(~has_source, at("/source"), "type"), _rule(has_source & _extra_keys(source, ("page",)), at("/source"), "additionalProperties"), _rule(has_source & kind_of(page).isNull(), at("/source/page"), "required")]
-    number = lambda v: F.try_variant_get(v, "$", "double")
-    numeric = lambda v: kind_of(v).isin("integer", "number")
-    rules += [_rule(kind_of(page) != "integer", at("/source/page"), "type"), _rule(numeric(page) & (number(page) < 1), at("/source/page"), "minimum")]
-    c = get("confidence")
-    rules += [_rule(~numeric(c), at("/confidence"), "type"), _rule(numeric(c) & (number(c) < 0), at("/confidence"), "minimum"), _rule(numeric(c) & (number(c) > 1), at("/confidence"), "maximum")]
+        rules += _string_rules(of[k], kind[k], at(f"/{k}"))
+    rules.append(_rule(~numeric("value"), at("/value"), "type"))
+    rules += [_rule(~has_source, at("/source"), "type"), _rule(has_source & _extra_keys(of["source"], ("page",)), at("/source"), "additionalProperties"), _rule(has_source & kind["page"].isNull(), at("/source/page"), "required")]
+    rules += [_rule(kind["page"] != "integer", at("/source/page"), "type"), _rule(numeric("page") & (_number(of["page"]) < 1), at("/source/page"), "minimum")]
+    c = _number(of["confidence"])
+    rules += [_rule(~numeric("confidence"), at("/confidence"), "type"), _rule(numeric("confidence") & (c < 0), at("/confidence"), "minimum"), _rule(numeric("confidence") & (c > 1), at("/confidence"), "maximum")]
     return F.array_compact(F.array(*rules))
 
 
 def analysis_violations(df: DataFrame, id_col: str = "analysis_id", raw_col: str = "raw") -> DataFrame:
-    """(analysis_id, path, keyword): a row for each broken rule; what isn't JSON breaks the rule "parse"."""
+    """(analysis_id, path, keyword): a row for each broken rule; what isn't JSON breaks the rule "parse".
+
+    Members and their kinds are made once a fact, before its rules.
+    """
     v = df.select(F.col(id_col).alias("analysis_id"), F.try_parse_json(raw_col).alias("v"))
-    root = kind_of(F.col("v"))
-    is_object = root == "object"
-    get = lambda k: member(F.col("v"), f"$.{k}")
+    v = v.select("*", kind_of(F.col("v")).alias("root"), *[kind_of(member(F.col("v"), f"$.{k}")).alias(f"kind_{k}") for k in MEMBERS])
+    is_object = F.col("root") == "object"
+    kind = lambda k: F.col(f"kind_{k}")
     rules = [_rule(F.col("v").isNull(), F.lit(""), "parse"), _rule(~is_object, F.lit(""), "type"), _rule(is_object & _extra_keys(F.col("v"), MEMBERS), F.lit(""), "additionalProperties")]
-    rules += [_rule(is_object & kind_of(get(k)).isNull(), F.lit(f"/{k}"), "required") for k in MEMBERS]
-    version = get("schemaVersion")
-    rules.append(_rule(~((kind_of(version) == "string") & (F.try_variant_get(version, "$", "string") == VERSION)), F.lit("/schemaVersion"), "const"))
-    rules += [_rule(kind_of(get(k)) != "array", F.lit(f"/{k}"), "type") for k in LISTS]
+    rules += [_rule(is_object & kind(k).isNull(), F.lit(f"/{k}"), "required") for k in MEMBERS]
+    version = F.try_variant_get("v", "$.schemaVersion", "string")
+    rules.append(_rule(~((kind("schemaVersion") == "string") & (version == VERSION)), F.lit("/schemaVersion"), "const"))
+    rules += [_rule(kind(k) != "array", F.lit(f"/{k}"), "type") for k in LISTS]
     items = lambda k: F.coalesce(F.try_variant_get(F.col("v"), f"$.{k}", "array<variant>"), F.array().cast("array<variant>"))
     path = lambda i: F.concat(F.lit("/executiveSummary/"), i.cast("string"))
-    summary = F.flatten(F.transform(items("executiveSummary"), lambda s, i: F.array_compact(F.array(*_string_rules(s, path(i))))))
-    facts = F.flatten(F.transform(items("facts"), _fact_rules))
+    said = F.transform(items("executiveSummary"), lambda s: F.struct(s.alias("s"), kind_of(s).alias("kind")))
+    summary = F.flatten(F.transform(said, lambda x, i: F.array_compact(F.array(*_string_rules(x["s"], x["kind"], path(i))))))
+    facts = F.flatten(F.transform(F.transform(F.transform(items("facts"), _with_members), _with_kinds), _fact_rules))
     broken = F.explode(F.concat(F.array_compact(F.array(*rules)), summary, facts))
     return v.select("analysis_id", broken.alias("r")).select("analysis_id", "r.path", "r.keyword")
 
