@@ -12,9 +12,10 @@ links is given out, and cells over BLOCK members are dealt to pairs of blocks:
 large groups of near copies cost no rows for their pairs.
 
 Texts that share four fifths of their shingles have fingerprints about ten bits
-apart, which no grid of 64 bits finds at scale. ``keep_one`` therefore also links
-by sketches: minima of the same hashes under MINIMA permutations, joined on bands
-of BAND_ROWS of them, and compared over all of them.
+apart, which no grid of 64 bits finds at scale. ``keep_one`` therefore takes
+fingerprints as candidates only, beside sketches: minima of the same hashes under
+MINIMA permutations, joined on bands of BAND_ROWS of them, and compared over all of
+them. Whole sets of shingle hashes then decide within each component of candidates.
 """
 
 from __future__ import annotations
@@ -31,8 +32,12 @@ from .common import bounded_batches, shuffle_partitions, written
 from .components import connected
 
 SHINGLE_WORDS, MAX_BITS, SEED, BLOCK, AGREE = 4, 4, 42, 4096, 4
-#: Minima of a sketch, how many make a band, and the least estimated share of common shingles. Two texts of similarity 0.8 share a band in 998 of 1000 cases.
-MINIMA, BAND_ROWS, SIMILARITY = 128, 6, 0.8
+#: Minima of a sketch, how many make a band, and the least share of common shingles. Two texts of similarity 0.8 share no band in 5 of 100,000 cases.
+MINIMA, BAND_ROWS, SIMILARITY = 128, 5, 0.8
+#: How far below the wanted share a sketch may be for its text to be a candidate: over four standard errors.
+MARGIN = 0.15
+#: Bits of the map that picks candidates' texts (8 MB at most, at any size), and bytes of shingle sets in a block.
+MAP_BITS, BLOCK_BYTES = 26, 16 << 20
 _LANES = np.uint64(0x0001000100010001)
 
 
@@ -96,16 +101,34 @@ def _minima(hashes: np.ndarray, counts: np.ndarray) -> list[bytes | None]:
     return out
 
 
+def _sets(hashes: np.ndarray, counts: np.ndarray) -> list[bytes]:
+    """The different shingle hashes of each row, in order."""
+    ends = np.cumsum(counts)
+    return [np.unique(hashes[e - n : e]).tobytes() for e, n in zip(ends, counts, strict=True)]
+
+
 def fingerprint_and_sketch(text: Column, words: int) -> Column:
-    """Struct of a text's ``fingerprint`` and its sketch (null without words), from the same hashes."""
+    """Struct of a text's ``fingerprint``, its sketch (null without words) and a digest of its set of shingles, from the same hashes."""
 
-    @F.arrow_udf("struct<fp:bigint,sketch:binary>")
+    @F.arrow_udf("struct<fp:bigint,sketch:binary,digest:binary>")
     def run(col: pa.Array) -> pa.Array:
-        fps, sketches = [], []
+        fps, sketches, digests = [], [], []
         for h, n in _shingled(col, words):
             fps.append(_majority(h, n))
             sketches += _minima(h, n)
-        return pa.StructArray.from_arrays([pa.array(np.concatenate(fps).view(np.int64)), pa.array(sketches, pa.binary())], names=["fp", "sketch"])
+            digests += map(xxhash.xxh3_128_digest, _sets(h, n))
+        return pa.StructArray.from_arrays([pa.array(np.concatenate(fps).view(np.int64)), pa.array(sketches, pa.binary()), pa.array(digests, pa.binary())], names=["fp", "sketch", "digest"])
+
+    return run(text)
+
+
+def shingle_set(text: Column, words: int) -> Column:
+    """Struct of a text's set of shingle hashes and the set's digest."""
+
+    @F.arrow_udf("struct<shingles:binary,digest:binary>")
+    def run(col: pa.Array) -> pa.Array:
+        sets = [x for h, n in _shingled(col, words) for x in _sets(h, n)]
+        return pa.StructArray.from_arrays([pa.array(sets, pa.binary()), pa.array(map(xxhash.xxh3_128_digest, sets), pa.binary())], names=["shingles", "digest"])
 
     return run(text)
 
@@ -155,6 +178,28 @@ def _alike(similarity: float):
     return measure
 
 
+def _share(similarity: float, margin: float):
+    """Links of sketches followed by whole shingle sets, by the exact share of common shingles; sketches only leave out what is far below it."""
+    width = 2 * MINIMA
+
+    def measure(values: np.ndarray):
+        minima = np.frombuffer(b"".join(v[:width] for v in values), np.uint16).reshape(-1, MINIMA)
+        sets = [np.frombuffer(v, np.uint64, offset=width) for v in values]
+
+        def near(i, j):
+            hit = (minima[i] == minima[j]).sum(-1) >= (similarity - margin) * MINIMA
+            i, j = np.broadcast_arrays(i, j)
+            for k in np.flatnonzero(hit):
+                a, b = sets[i[k]], sets[j[k]]
+                both = np.intersect1d(a, b, assume_unique=True).size
+                hit[k] = both / (len(a) + len(b) - both) >= similarity
+            return hit
+
+        return near
+
+    return measure
+
+
 def _linker(keys: list[str], node: str, value: str, measure):
     """Forests of the links within each run of equal keys."""
     small = 8
@@ -194,10 +239,10 @@ def _linker(keys: list[str], node: str, value: str, measure):
     return run
 
 
-def _in_blocks(rows: DataFrame, keys: list[str], member: str, block: int) -> DataFrame:
-    """``rows`` of keys that several share, once for each pair (i, j) of blocks of members that theirs is in."""
-    shared = rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
-    parts = F.ceil(F.col("n") / block).cast("int")
+def _in_blocks(rows: DataFrame, keys: list[str], member: str, block: int, size: Column | None = None) -> DataFrame:
+    """``rows`` of keys that several share, once for each pair (i, j) of blocks of members that theirs is in; ``size`` gives a row's bytes."""
+    shared = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(F.lit(0) if size is None else size).alias("bytes")).where("n > 1")
+    parts = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
     own = F.pmod(F.xxhash64(member), F.col("parts")).cast("int")
     live = rows.join(shared, keys).withColumn("parts", parts).withColumn("own", own)
     both = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j"))))
@@ -250,20 +295,57 @@ def simhash_components(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: in
     return _with_components(fps, _ends(fps, max_bits))
 
 
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (doc_id) with an id in ``ids`` (node), and few others: by a map of bits, so texts aren't shuffled."""
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << MAP_BITS))
+    words = ids.select(slot("node").alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("bits")).toArrow()
+    bits = np.zeros(1 << (MAP_BITS - 6), np.int64)
+    bits[words.column("w").to_numpy()] = words.column("bits").to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+
+    @F.arrow_udf("boolean")
+    def hit(s: pa.Array) -> pa.Array:
+        at = s.to_numpy(zero_copy_only=False)
+        return pa.array((shared.value[at >> 6] >> (at & 63) & 1).astype(bool))
+
+    return docs.where(hit(slot("doc_id")))
+
+
+def set_links(sets: DataFrame, similarity: float = SIMILARITY, margin: float = MARGIN, block: int = BLOCK) -> DataFrame:
+    """(a, b): links within the groups of ``sets`` (columns component, rep, sketch, shingles), by rep, that connect what all links would.
+
+    Sets link if they share ``similarity`` of their union, counted exactly; pairs
+    whose sketches are ``margin`` below it aren't counted.
+    """
+    bounded_batches(sets.sparkSession)
+    rows = sets.select("component", "rep", F.concat("sketch", "shingles").alias("value"))
+    live = _in_blocks(rows, ["component"], "rep", block, F.octet_length("value"))
+    keys = ["component", "i", "j"]
+    return live.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_linker(keys, "rep", "value", _share(similarity, margin)), "a long, b long").where("a <> b").distinct()
+
+
 def near_copy_components(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``simhash_components`` with the links of sketches beside those of fingerprints.
+    """(doc_id, fp, component_id) as ``simhash_components``, but linked by the exact share of common shingles, ``similarity`` or more.
 
-    Texts without words have no sketch and link by their fingerprint zero only.
+    Fingerprints and sketches only give candidates: sketches MARGIN below
+    ``similarity``, and fingerprints at most ``max_bits`` apart. Texts without words
+    are copies of each other and link to nothing else.
     """
     bounded_batches(docs.sparkSession)
-    both = fingerprint_and_sketch(F.col(text_col).cast("string"), words)
-    fps = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), both.alias("x")).select("doc_id", "x.fp", "x.sketch"))
-    named = fps.where("doc_id is not null")
-    sketches = written(named.where("sketch is not null").groupBy("sketch").agg(F.min("doc_id").alias("rep")))
-    by_fp = named.groupBy("fp", "sketch").agg(F.min("doc_id").alias("least"))  # of one fingerprint, so its least id is linked to each sketch's
-    first = by_fp.groupBy("fp").agg(F.min("least").alias("a"))
-    same = by_fp.where("sketch is not null").join(first, "fp").join(sketches, "sketch").where("a <> rep").select("a", F.col("rep").alias("b"))
-    return _with_components(fps, _ends(fps, max_bits).union(same).union(sketch_links(sketches, similarity)))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    fps = written(texts.select("doc_id", fingerprint_and_sketch(F.col("text"), words).alias("x")).select("doc_id", "x.fp", "x.sketch", "x.digest"))
+    classes = written(fps.where("doc_id is not null").groupBy("digest", "sketch").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp")))
+    solid = classes.where("sketch is not null")
+    first = solid.groupBy("fp").agg(F.min("rep").alias("a"))
+    same = solid.join(first, "fp").where("a <> rep").select("a", F.col("rep").alias("b"))
+    by_fp = _ends(solid.select(F.col("rep").alias("doc_id"), "fp"), max_bits)
+    near = written(connected(by_fp.union(same).union(sketch_links(solid.select("rep", "sketch"), similarity - MARGIN))))
+    found = _only(texts.where("doc_id is not null"), near).select("doc_id", shingle_set(F.col("text"), words).alias("x")).select(F.col("doc_id").alias("rep"), "x.digest", "x.shingles")
+    members = near.join(solid, F.col("node") == F.col("rep")).select("component", "rep", "digest", "sketch")
+    exact = connected(set_links(members.join(found, ["rep", "digest"]), similarity))
+    named = classes.join(exact, F.col("rep") == F.col("node"), "left").select(F.col("digest").alias("d"), F.coalesce("component", "rep").alias("c"))
+    out = fps.join(named, F.col("digest") == F.col("d"), "left")
+    return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("c")).alias("component_id"))
 
 
 def _classes(fps: DataFrame) -> DataFrame:

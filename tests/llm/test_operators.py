@@ -126,6 +126,24 @@ def test_near_copies(spark):
     assert simhash.keep_one(empty(spark), 5).count() == 0
 
 
+def test_near_copies_at_the_bound(spark, monkeypatch):
+    rnd = random.Random(31)
+    texts = []
+    for k in range(120):
+        base = [f"w{rnd.randrange(9000)}" for _ in range(204)]
+        near = list(base)
+        for i in range(3 + k % 4):
+            near[i * 30 + 10] = "other"
+        texts += [" ".join(base), " ".join(near)]
+    parts = [{" ".join(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+    want = roots(range(len(texts)), [(a, b) for a in range(len(texts)) for b in range(a) if len(parts[a] & parts[b]) / len(parts[a] | parts[b]) >= 0.8])
+    assert 20 < len(set(want.values())) - len(texts) // 2 < 100
+    for block_bytes in (1 << 24, 4000):
+        monkeypatch.setattr(simhash, "BLOCK_BYTES", block_bytes)
+        got = simhash.near_copy_components(frame(spark, enumerate(texts)), 5).collect()
+        assert {r["doc_id"]: r["component_id"] for r in got} == want
+
+
 def test_simhash_long_document():
     counts = np.array([70_000, 0, 3])
     h = np.random.default_rng(1).integers(0, 1 << 63, 70_003).astype(np.uint64)
