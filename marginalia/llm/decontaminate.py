@@ -1,11 +1,13 @@
 """Benchmark decontamination by templates.
 
 Texts become tokens in which numbers, names and units are typed placeholders
-(slots). Hashes of windows of template tokens are joined between documents and
-benchmark items; a pair of document and item is contaminated if one alignment
-covers enough of the item's windows and its slots are consistent: each value of
-the item stands for one value of the document throughout. So copies are found
-as well as questions asked again with other numbers and names.
+(slots); neighbouring names, and numbers in several words, are one slot. Hashes of
+windows of template tokens are joined between documents and benchmark items; a pair
+of document and item is contaminated if an alignment covers enough of the item's
+tokens and its slots are consistent: each value of the item stands for one value of
+the document throughout. An alignment joins nearby shifts, so that words may be put
+in or left out. So copies are found as well as edited ones and questions asked again
+with other numbers and names.
 """
 
 from __future__ import annotations
@@ -19,12 +21,16 @@ from . import textkit as tk
 from .common import bounded_batches
 
 WINDOW, MIN_LITERALS, COVERAGE = 8, 4, 0.5
+#: Shifts of one alignment are this share of the item's tokens apart at most, or LEAST_SLACK tokens.
+SLACK, LEAST_SLACK = 0.5, 4
 #: Hashes of benchmark windows that go to the executors at once (32 MB); more are handled in blocks, with a pass each.
 BLOCK_WINDOWS = 4_000_000
 #: Measures that count as a unit after a number.
 UNITS = "mm cm m km in ft yd mi mile miles metre metres meter meters kilometre kilometres kilometer kilometers inch inches foot feet yard yards g kg mg lb lbs oz gram grams kilogram kilograms pound pounds ounce ounces ton tons tonne tonnes ml l litre litres liter liters gallon gallons cup cups s sec min h hr hrs second seconds minute minutes hour hours day days week weeks month months year years percent dollar dollars euro euros cent cents degree degrees mph kmh"
 #: Written numbers.
 NUMBERS = "two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million"
+#: Written numbers that "one" makes a number with, and that "and" goes on from.
+LARGE_NUMBERS = "hundred thousand million"
 _NUMBER, _NAME, _UNIT = (np.uint64(x) for x in (0x6E756D626572, 0x6E616D65, 0x756E6974))
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
@@ -34,6 +40,8 @@ _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
 _STOP = np.zeros(256, bool)
 _STOP[[0x2E, 0x21, 0x3F, 0x3A, 10]] = True
+_APART = np.ones(256, bool)
+_APART[[0x20, 0x2D]] = False
 
 
 def _known(words: str) -> np.ndarray:
@@ -41,8 +49,8 @@ def _known(words: str) -> np.ndarray:
     return np.sort(tk.span_hashes(data, off[:-1], off[1:]))
 
 
-def template(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens of all rows: start, end, template hash, whether it is a literal; and each row's first token."""
+def template(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of all rows: start, end, template hash, whether it is a literal, whether it goes on the slot before it; and each row's first token."""
     n = len(data)
     digit = _DIGIT[data]
     m = _WORD[data]
@@ -50,19 +58,25 @@ def template(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         m[1:-1] |= ((data[1:-1] == 0x2E) | (data[1:-1] == 0x2C)) & digit[:-2] & digit[2:]
     start, end, first = tk.mask_spans(m, off)
     if not len(start):
-        return start, end, np.zeros(0, np.uint64), np.zeros(0, bool), first
+        return start, end, np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, bool), first
     h = tk.span_hashes(tk.LOWER[data], start, end)
     is_in = lambda known: known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
-    number = digit[start] | is_in(_known(NUMBERS))
     opens = np.zeros(len(start), bool)  # first of its row
     opens[first[:-1][np.diff(first) > 0]] = True
+    apart = np.r_[0, np.cumsum(_APART[data])]
+    close = ~opens & np.r_[False, apart[start[1:]] == apart[end[:-1]]]  # only blanks or hyphens before it
+    before, after = (lambda x: np.r_[False, x[:-1]] & close), (lambda x: np.r_[(x & close)[1:], False])
+    word, large = is_in(_known(NUMBERS)), is_in(_known(LARGE_NUMBERS))
+    word |= (is_in(_known("one")) & after(large)) | (is_in(_known("and")) & before(large) & after(word))
+    number = digit[start] | word
     unit = np.r_[False, number[:-1]] & ~opens & ~number & is_in(_known(UNITS))
     stops = np.r_[0, np.cumsum(_STOP[data])]
     sentence_start = opens | np.r_[True, stops[start[1:]] > stops[end[:-1]]]
     low_second = (end - start > 1) & ~_UPPER[data[np.minimum(start + 1, n - 1)]] & (data[np.minimum(start + 1, n - 1)] > 57)
     name = _UPPER[data[start]] & low_second & ~sentence_start & ~number & ~unit
     h = np.where(number, _NUMBER, np.where(unit, _UNIT, np.where(name, _NAME, h)))
-    return start, end, h, ~(number | unit | name), first
+    goes_on = (name & before(name)) | (number & before(number) & (word | before(word)))
+    return start, end, h, ~(number | unit | name), goes_on, first
 
 
 def _windows(hashes: np.ndarray, literal: np.ndarray, first: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,33 +91,53 @@ def _windows(hashes: np.ndarray, literal: np.ndarray, first: np.ndarray, length:
     return at[fine], w[fine] ^ np.uint64(length)
 
 
-def _hit_batch(part: pa.RecordBatch, wanted, lengths: list[int], whole_only: bool) -> pa.RecordBatch:
+def _fits(size: np.ndarray, length: int) -> np.ndarray:
+    """Whether items of ``size`` tokens have windows of ``length``: WINDOW or all of them, and under half of them, so that one edit leaves some."""
+    return (np.minimum(size, WINDOW) == length) | ((size > WINDOW) & ((size - 1) // 2 == length))
+
+
+def _hit_batch(part: pa.RecordBatch, wanted, lengths: list[int], items: bool) -> pa.RecordBatch:
     data, off = tk.buffers(part.column("text"))
-    start, end, h, literal, first = template(data, off)
+    start, end, h, literal, goes_on, first = template(data, off)
     row_of = np.repeat(np.arange(part.num_rows), np.diff(first))
     raw = tk.LOWER[data].tobytes()
-    rows, pos, keys, slots = [], [], [], []
+    value = lambda s, e: " ".join(raw[s:e].decode("utf-8", "replace").split())
+    heads = np.flatnonzero(~goes_on)
+    ends = np.r_[heads[1:], len(start)]
+    first_head = np.searchsorted(heads, first)
+    rows, pos, at_token, size, keys, slots, long = [], [], [], [], [], [], []
     for length in lengths:
-        at, w = _windows(h, literal, first, length)
-        if whole_only and length < WINDOW:  # items shorter than a window are one window
-            size = np.diff(first)[row_of[at]]
-            at, w = at[size == length], w[size == length]
+        at, w = _windows(h[heads], literal[heads], first_head, length)
+        if items:
+            fit = _fits(np.diff(first_head)[row_of[heads[at]]], length)
+            at, w = at[fit], w[fit]
         keep = wanted(w)
         at, w = at[keep], w[keep]
-        rows.append(row_of[at])
-        pos.append(at - first[row_of[at]])
+        row = row_of[heads[at]]
+        rows.append(row)
+        pos.append(at - first_head[row])
+        at_token.append(heads[at] - first[row])
+        size.append(ends[at + length - 1] - heads[at])
         keys.append(w)
-        slots += [[raw[start[k] : end[k]].decode("utf-8", "replace") for k in range(i, i + length) if not literal[k]] for i in at.tolist()]
+        long.append(np.full(len(at), length))
+        slots += [[value(start[heads[k]], end[ends[k] - 1]) for k in range(i, i + length) if not literal[heads[k]]] for i in at.tolist()]
     cat = lambda x, t: np.concatenate(x).astype(t)
     ids = part.column("id").take(pa.array(cat(rows, np.int64)))
-    return pa.RecordBatch.from_arrays([ids, pa.array(cat(pos, np.int32)), pa.array(cat(keys, np.uint64).view(np.int64)), pa.array(slots, pa.list_(pa.string()))], names=["id", "pos", "h", "slots"])
+    tokens = np.diff(first)[cat(rows, np.int64)]
+    ints = [pa.array(cat(x, np.int32)) for x in (pos, at_token, size, long)]
+    return pa.RecordBatch.from_arrays([ids, *ints, pa.array(tokens.astype(np.int32)), pa.array(cat(keys, np.uint64).view(np.int64)), pa.array(slots, pa.list_(pa.string()))], names=["id", "pos", "at", "size", "length", "tokens", "h", "slots"])
 
 
-_SCHEMA = "id long, pos int, h long, slots array<string>"
+_SCHEMA = "id long, pos int, at int, size int, length int, tokens int, h long, slots array<string>"
 
 
 def benchmark_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(id, pos, h, slots) of each window of each item; items under WINDOW tokens are one window of their length."""
+    """(id, pos, at, size, length, tokens, h, slots) of each window of each item.
+
+    pos counts template tokens, in which a run of slots is one; at, size and tokens
+    (of the whole item) count all. Items under WINDOW tokens are one window of their
+    length; ones up to twice that also have windows of under half their length.
+    """
 
     def run(batches):
         for batch in batches:
@@ -137,36 +171,70 @@ def _document_hits(docs: DataFrame, hashes: np.ndarray, lengths: list[int]) -> D
     return docs.mapInArrow(run, _SCHEMA)
 
 
+def _joined(tokens: int, shifts: list[dict]) -> tuple[int, int, int, int]:
+    """Tokens covered, windows matched, slot values and changed ones of the alignment that covers most.
+
+    Around each shift with consistent slots, nearby ones join it, those with most
+    windows first, if the slots of all remain consistent.
+    """
+    parts = []
+    for x in sorted(shifts, key=lambda x: x["shift"]):
+        values: dict[str, str] = {}
+        if all(values.setdefault(v["i"], v["d"]) == v["d"] for v in x["slots"]):
+            parts.append((x["shift"], {(w["at"], w["size"], w["h"]) for w in x["windows"]}, values))
+    slack, low, high, best = max(LEAST_SLACK, int(SLACK * tokens)), 0, 0, (0, 0, 0, 0)
+    for shift, windows, values in parts:
+        while parts[low][0] < shift - slack:
+            low += 1
+        while high < len(parts) and parts[high][0] <= shift + slack:
+            high += 1
+        windows, values = set(windows), dict(values)
+        for _, more, others in sorted(parts[low:high], key=lambda p: (-len(p[1]), abs(p[0] - shift), p[0])):
+            if not more <= windows and all(values.get(i, d) == d for i, d in others.items()):
+                windows |= more
+                values |= others
+        covered = len({k for at, size, _ in windows for k in range(at, at + size)})
+        best = max(best, (covered, len(windows), len(values), sum(i != d for i, d in values.items())), key=lambda b: b[:2])
+    return best
+
+
 def contaminated_pairs(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text", block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """(doc_id, item_id, matched, windows, n_slots, n_changed): the contaminated pairs.
 
-    matched of the item's windows stand in the document in one alignment,
-    ``coverage`` of them or more, with consistent slots; n_changed of the n_slots
-    different slot values differ from the item's. Texts without tokens, items of
-    fewer than MIN_LITERALS literal tokens, null texts and rows of a null id match
-    nothing. A repeated row gives its pairs once; empty tables give none.
+    matched of the item's windows stand in the document in one alignment of nearby
+    shifts, with consistent slots, and cover ``coverage`` of the item's tokens and
+    WINDOW tokens (or all) at least; n_changed of the n_slots different slot values
+    differ from the item's. Texts without tokens, items of fewer than MIN_LITERALS
+    literal tokens, null texts and rows of a null id match nothing. A repeated row
+    gives its pairs once; empty tables give none.
     """
     bounded_batches(docs.sparkSession)
     bench = benchmark_windows(items).cache()
     found = bench.agg(F.count_distinct("h").alias("n")).first()["n"]
     blocks = -(-found // block_windows)
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    short = bench.groupBy("id").agg(F.count("*").alias("n")).where("n = 1").count()  # only they can be shorter than a window
-    lengths = list(range(MIN_LITERALS, WINDOW + 1)) if short else [WINDOW]
+    lengths = sorted(r["length"] for r in bench.select("length").distinct().collect())
     hits = None
     for k in range(max(1, blocks)):
         own = bench.where(F.pmod("h", F.lit(max(1, blocks))) == k).select("h").distinct().toArrow().column("h").to_numpy()
         part = _document_hits(texts, own, lengths) if len(own) else docs.sparkSession.createDataFrame([], _SCHEMA)
         hits = part if hits is None else hits.union(part)
-    right = bench.select(F.col("id").alias("item_id"), F.col("pos").alias("off"), "h", F.col("slots").alias("item_slots"))
-    totals = bench.groupBy(F.col("id").alias("item_id")).agg(F.count("*").alias("windows"))
-    aligned = hits.join(right, "h").withColumn("shift", F.col("pos") - F.col("off"))
+    right = bench.select(F.col("id").alias("item_id"), F.col("pos").alias("off"), F.struct("at", "size", "h").alias("window"), "h", F.col("slots").alias("item_slots"))
+    totals = bench.groupBy(F.col("id").alias("item_id")).agg(F.count("*").alias("windows"), F.max("tokens").alias("tokens"))
+    aligned = hits.select("id", "pos", "h", "slots").join(right, "h").withColumn("shift", F.col("pos") - F.col("off")).repartition("id", "item_id")
     pairs = F.transform(F.arrays_zip("item_slots", "slots"), lambda x: F.struct(x["item_slots"].alias("i"), x["slots"].alias("d")))
-    by = aligned.groupBy("id", "item_id", "shift").agg(F.count_distinct("off").alias("matched"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("slots"))
-    consistent = F.size(F.array_distinct(F.transform("slots", lambda s: s["i"]))) == F.size("slots")
-    changed = F.size(F.filter("slots", lambda s: s["i"] != s["d"]))
-    best = by.where(consistent).groupBy("id", "item_id").agg(F.max_by(F.struct("matched", F.size("slots").alias("n_slots"), changed.alias("n_changed")), F.struct("matched", -F.col("shift"))).alias("b"))
-    return best.join(totals, "item_id").where(F.col("b.matched") >= coverage * F.col("windows")).select(F.col("id").alias("doc_id"), "item_id", "b.matched", "windows", "b.n_slots", "b.n_changed")
+    by = aligned.groupBy("id", "item_id", "shift").agg(F.collect_set("window").alias("windows"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("slots"))
+    shifts = by.groupBy("id", "item_id").agg(F.collect_list(F.struct("shift", "windows", "slots")).alias("shifts")).join(totals, "item_id")
+
+    def run(batches):
+        for batch in batches:
+            rows = batch.to_pylist()
+            best = [_joined(r["tokens"], r["shifts"]) for r in rows]
+            out = [(r["id"], r["item_id"], b[1], r["windows"], b[2], b[3]) for r, b in zip(rows, best, strict=True) if b[0] >= max(coverage * r["tokens"], min(r["tokens"], WINDOW))]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64() if k < 4 else pa.int32()) for k in range(6)], names=names)
+
+    names = ["doc_id", "item_id", "matched", "windows", "n_slots", "n_changed"]
+    return shifts.mapInArrow(run, "doc_id long, item_id long, matched long, windows long, n_slots int, n_changed int")
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -349,6 +349,25 @@ def test_decontamination(spark):
     assert decontaminate.clean_documents(frame(spark, rows), items).count() == 6
 
 
+def test_decontamination_of_edited_copies(spark):
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(400)]
+    rnd = random.Random(8)
+    rows, items, want = [], [], set()
+    for n in (9, 12, 15, 16, 17, 22, 40):
+        item = rnd.sample(words, n)
+        middle = n // 2
+        items.append((n, " ".join(item)))
+        for k, edited in enumerate((item[:middle] + ["put"] + item[middle:], item[:middle] + item[middle + 1 :], item[:middle] + ["changed"] + item[middle + 1 :])):
+            rows.append((10 * n + k, " ".join(["before", *edited, "after", "it"])))
+            want.add((10 * n + k, n))
+        rows.append((10 * n + 9, " ".join([*item[: (n - 1) // 2], *rnd.sample(words, n)])))
+    items.append((1, "every morning Tom buys 12 apples at the market and then Tom sells 12 apples to the neighbours again"))
+    rows += [(1, "every morning Anna Maria buys one hundred and twenty apples at the market and then Anna Maria sells one hundred and twenty apples to the neighbours again"), (2, "every morning Anna Maria buys twenty-five apples at the market and then Tom sells 12 apples to the neighbours again")]
+    want.add((1, 1))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated_pairs(frame(spark, rows), bench).collect()} == want
+
+
 def fold(i):
     return zlib.crc32(str(i).encode()) % 5
 
