@@ -7,7 +7,8 @@ of document and item is contaminated if an alignment covers enough of the item's
 tokens and its slots are consistent: each value of the item stands for one value of
 the document throughout. An alignment joins nearby shifts, so that words may be put
 in or left out. So copies are found as well as edited ones and questions asked again
-with other numbers and names.
+with other numbers and names. Windows of the item with few literals are hashed by
+their lower-cased tokens instead, and match only as they stand.
 """
 
 from __future__ import annotations
@@ -38,6 +39,7 @@ _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
+_PLAIN = np.uint64(0x706C61696E)
 _STOP = np.zeros(256, bool)
 _STOP[[0x2E, 0x21, 0x3F, 0x3A, 10]] = True
 _APART = np.ones(256, bool)
@@ -49,8 +51,8 @@ def _known(words: str) -> np.ndarray:
     return np.sort(tk.span_hashes(data, off[:-1], off[1:]))
 
 
-def template(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens of all rows: start, end, template hash, whether it is a literal, whether it goes on the slot before it; and each row's first token."""
+def template(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of all rows: start, end, plain hash, template hash, whether it is a literal, whether it goes on the slot before it; and each row's first token."""
     n = len(data)
     digit = _DIGIT[data]
     m = _WORD[data]
@@ -58,8 +60,8 @@ def template(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         m[1:-1] |= ((data[1:-1] == 0x2E) | (data[1:-1] == 0x2C)) & digit[:-2] & digit[2:]
     start, end, first = tk.mask_spans(m, off)
     if not len(start):
-        return start, end, np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, bool), first
-    h = tk.span_hashes(tk.LOWER[data], start, end)
+        return start, end, np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, bool), first
+    plain = h = tk.span_hashes(tk.LOWER[data], start, end)
     is_in = lambda known: known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
     opens = np.zeros(len(start), bool)  # first of its row
     opens[first[:-1][np.diff(first) > 0]] = True
@@ -76,19 +78,19 @@ def template(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     name = _UPPER[data[start]] & low_second & ~sentence_start & ~number & ~unit
     h = np.where(number, _NUMBER, np.where(unit, _UNIT, np.where(name, _NAME, h)))
     goes_on = (name & before(name)) | (number & before(number) & (word | before(word)))
-    return start, end, h, ~(number | unit | name), goes_on, first
+    return start, end, plain, h, ~(number | unit | name), goes_on, first
 
 
-def _windows(hashes: np.ndarray, literal: np.ndarray, first: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """First token and hash of the windows within a row that have enough literals."""
+def _windows(hashes: np.ndarray, literal: np.ndarray, first: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First token and hash of the windows within a row, and whether they have enough literals."""
     w = tk.rolling(hashes, length)
     if not len(w):
-        return np.zeros(0, np.int64), w
+        return np.zeros(0, np.int64), w, np.zeros(0, bool)
     at = np.arange(len(w))
     last = np.repeat(first[1:], np.diff(first))[: len(w)]
     lit = np.r_[0, np.cumsum(literal)]
-    fine = (at + length <= last) & (lit[at + length] - lit[at] >= MIN_LITERALS)
-    return at[fine], w[fine] ^ np.uint64(length)
+    fine = at + length <= last
+    return at[fine], w[fine] ^ np.uint64(length), (lit[at + length] - lit[at] >= MIN_LITERALS)[fine]
 
 
 def _fits(size: np.ndarray, length: int) -> np.ndarray:
@@ -96,59 +98,73 @@ def _fits(size: np.ndarray, length: int) -> np.ndarray:
     return (np.minimum(size, WINDOW) == length) | ((size > WINDOW) & ((size - 1) // 2 == length))
 
 
-def _hit_batch(part: pa.RecordBatch, wanted, lengths: list[int], items: bool) -> pa.RecordBatch:
+def _hit_batch(part: pa.RecordBatch, wanted, kinds: list[tuple[int, bool]], items: bool) -> pa.RecordBatch:
     data, off = tk.buffers(part.column("text"))
-    start, end, h, literal, goes_on, first = template(data, off)
+    start, end, exact, h, literal, goes_on, first = template(data, off)
     row_of = np.repeat(np.arange(part.num_rows), np.diff(first))
     raw = tk.LOWER[data].tobytes()
     value = lambda s, e: " ".join(raw[s:e].decode("utf-8", "replace").split())
     heads = np.flatnonzero(~goes_on)
     ends = np.r_[heads[1:], len(start)]
     first_head = np.searchsorted(heads, first)
-    rows, pos, at_token, size, keys, slots, long = [], [], [], [], [], [], []
-    for length in lengths:
-        at, w = _windows(h[heads], literal[heads], first_head, length)
+    head_of = np.cumsum(~goes_on) - 1
+    rows, pos, at_token, size, keys, slots, long, as_is = [], [], [], [], [], [], [], []
+    for length, plain in kinds:
+        if plain:
+            at, w, rich = _windows(exact, literal, first, length)
+            w, token, past = w ^ _PLAIN, at, at + length
+            n_tokens, use = np.diff(first), ~rich if items else np.ones(len(at), bool)
+        else:
+            at, w, use = _windows(h[heads], literal[heads], first_head, length)
+            token, past = heads[at], ends[at + length - 1]
+            n_tokens = np.diff(first_head)
         if items:
-            fit = _fits(np.diff(first_head)[row_of[heads[at]]], length)
-            at, w = at[fit], w[fit]
-        keep = wanted(w)
-        at, w = at[keep], w[keep]
-        row = row_of[heads[at]]
+            use &= _fits(n_tokens[row_of[token]], length)
+        use = np.flatnonzero(use)
+        use = use[wanted(w[use])]
+        token, past = token[use], past[use]
+        row = row_of[token]
         rows.append(row)
-        pos.append(at - first_head[row])
-        at_token.append(heads[at] - first[row])
-        size.append(ends[at + length - 1] - heads[at])
-        keys.append(w)
-        long.append(np.full(len(at), length))
-        slots += [[value(start[heads[k]], end[ends[k] - 1]) for k in range(i, i + length) if not literal[heads[k]]] for i in at.tolist()]
+        pos.append(head_of[token] - first_head[row])
+        at_token.append(token - first[row])
+        size.append(past - token)
+        keys.append(w[use])
+        long.append(np.full(len(use), length))
+        as_is.append(np.full(len(use), plain))
+        if plain:  # a document's equal the item's
+            slots += [[raw[start[k] : end[k]].decode("utf-8", "replace") for k in range(i, j) if not literal[k]] if items else None for i, j in zip(token.tolist(), past.tolist(), strict=True)]
+        else:
+            slots += [[value(start[heads[k]], end[ends[k] - 1]) for k in range(i, i + length) if not literal[heads[k]]] for i in at[use].tolist()]
     cat = lambda x, t: np.concatenate(x).astype(t)
     ids = part.column("id").take(pa.array(cat(rows, np.int64)))
     tokens = np.diff(first)[cat(rows, np.int64)]
     ints = [pa.array(cat(x, np.int32)) for x in (pos, at_token, size, long)]
-    return pa.RecordBatch.from_arrays([ids, *ints, pa.array(tokens.astype(np.int32)), pa.array(cat(keys, np.uint64).view(np.int64)), pa.array(slots, pa.list_(pa.string()))], names=["id", "pos", "at", "size", "length", "tokens", "h", "slots"])
+    return pa.RecordBatch.from_arrays([ids, *ints, pa.array(cat(as_is, bool)), pa.array(tokens.astype(np.int32)), pa.array(cat(keys, np.uint64).view(np.int64)), pa.array(slots, pa.list_(pa.string()))], names=["id", "pos", "at", "size", "length", "plain", "tokens", "h", "slots"])
 
 
-_SCHEMA = "id long, pos int, at int, size int, length int, tokens int, h long, slots array<string>"
+_SCHEMA = "id long, pos int, at int, size int, length int, plain boolean, tokens int, h long, slots array<string>"
 
 
 def benchmark_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(id, pos, at, size, length, tokens, h, slots) of each window of each item.
+    """(id, pos, at, size, length, plain, tokens, h, slots) of each window of each item.
 
     pos counts template tokens, in which a run of slots is one; at, size and tokens
     (of the whole item) count all. Items under WINDOW tokens are one window of their
-    length; ones up to twice that also have windows of under half their length.
+    length; ones up to twice that also have windows of under half their length. Where
+    windows have under MIN_LITERALS literals, plain ones of the tokens as they stand
+    are given in their place.
     """
 
     def run(batches):
         for batch in batches:
             for part in tk.chunks(batch):
-                yield _hit_batch(part, lambda w: np.ones(len(w), bool), list(range(MIN_LITERALS, WINDOW + 1)), True)
+                yield _hit_batch(part, lambda w: np.ones(len(w), bool), [(n, plain) for n in range(MIN_LITERALS, WINDOW + 1) for plain in (False, True)], True)
 
     bounded_batches(items.sparkSession)
     return items.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).distinct().mapInArrow(run, _SCHEMA)
 
 
-def _document_hits(docs: DataFrame, hashes: np.ndarray, lengths: list[int]) -> DataFrame:
+def _document_hits(docs: DataFrame, hashes: np.ndarray, kinds: list[tuple[int, bool]]) -> DataFrame:
     bits = 20
     hashes = np.sort(hashes.view(np.uint64))
     shared = docs.sparkSession.sparkContext.broadcast(hashes)  # BLOCK_WINDOWS numbers at most
@@ -166,7 +182,7 @@ def _document_hits(docs: DataFrame, hashes: np.ndarray, lengths: list[int]) -> D
 
         for batch in batches:
             for part in tk.chunks(batch):
-                yield _hit_batch(part, wanted, lengths, False)
+                yield _hit_batch(part, wanted, kinds, False)
 
     return docs.mapInArrow(run, _SCHEMA)
 
@@ -205,24 +221,24 @@ def contaminated_pairs(docs: DataFrame, items: DataFrame, coverage: float = COVE
     shifts, with consistent slots, and cover ``coverage`` of the item's tokens and
     WINDOW tokens (or all) at least; n_changed of the n_slots different slot values
     differ from the item's. Texts without tokens, items of fewer than MIN_LITERALS
-    literal tokens, null texts and rows of a null id match nothing. A repeated row
-    gives its pairs once; empty tables give none.
+    tokens, null texts and rows of a null id match nothing. A repeated row gives its
+    pairs once; empty tables give none.
     """
     bounded_batches(docs.sparkSession)
     bench = benchmark_windows(items).cache()
     found = bench.agg(F.count_distinct("h").alias("n")).first()["n"]
     blocks = -(-found // block_windows)
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    lengths = sorted(r["length"] for r in bench.select("length").distinct().collect())
+    kinds = sorted((r["length"], r["plain"]) for r in bench.select("length", "plain").distinct().collect())
     hits = None
     for k in range(max(1, blocks)):
         own = bench.where(F.pmod("h", F.lit(max(1, blocks))) == k).select("h").distinct().toArrow().column("h").to_numpy()
-        part = _document_hits(texts, own, lengths) if len(own) else docs.sparkSession.createDataFrame([], _SCHEMA)
+        part = _document_hits(texts, own, kinds) if len(own) else docs.sparkSession.createDataFrame([], _SCHEMA)
         hits = part if hits is None else hits.union(part)
     right = bench.select(F.col("id").alias("item_id"), F.col("pos").alias("off"), F.struct("at", "size", "h").alias("window"), "h", F.col("slots").alias("item_slots"))
     totals = bench.groupBy(F.col("id").alias("item_id")).agg(F.count("*").alias("windows"), F.max("tokens").alias("tokens"))
     aligned = hits.select("id", "pos", "h", "slots").join(right, "h").withColumn("shift", F.col("pos") - F.col("off")).repartition("id", "item_id")
-    pairs = F.transform(F.arrays_zip("item_slots", "slots"), lambda x: F.struct(x["item_slots"].alias("i"), x["slots"].alias("d")))
+    pairs = F.transform(F.arrays_zip("item_slots", F.coalesce("slots", "item_slots").alias("slots")), lambda x: F.struct(x["item_slots"].alias("i"), x["slots"].alias("d")))
     by = aligned.groupBy("id", "item_id", "shift").agg(F.collect_set("window").alias("windows"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("slots"))
     shifts = by.groupBy("id", "item_id").agg(F.collect_list(F.struct("shift", "windows", "slots")).alias("shifts")).join(totals, "item_id")
 

@@ -368,6 +368,15 @@ def test_decontamination_of_edited_copies(spark):
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated_pairs(frame(spark, rows), bench).collect()} == want
 
 
+def test_decontamination_of_items_dense_in_slots(spark):
+    items = ["12 34 56 78 90 11 13 15 17 19", "add 3 and 4 then 5 6 7 8 9 10 11 12 sum", "So Der Hund Sieht Die Katze Und Den Vogel Im Garten", "7 + 8 = 15", "3 kg 4 kg 5 kg 6 kg 7 kg"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    other = ["12 34 57 78 91 11 14 15 17 20", "add 3 and 4 then 6 6 8 8 8 10 12 12 sum", "So Der Mann Sieht Die Kuh Und Den Baum Im Wald", "1 2 3 " * 50, "3 kg 4 kg 6 kg 6 kg 8 kg"]
+    rows = [(k, f"we saw {t} there. once more") for k, t in enumerate(items)] + [(10 + k, f"we saw {t} there") for k, t in enumerate(other)]
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated_pairs(frame(spark, rows), bench).collect()}
+    assert got == {(0, 0), (1, 1), (2, 2), (4, 4)}
+
+
 def fold(i):
     return zlib.crc32(str(i).encode()) % 5
 
