@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions.columns import job_short_id, parse_period
 from marginalia.operators import contract, deck, facts, golden, requests, sections
+from marginalia.plans import queries
 from marginalia.plans.queries import ORACLES, QUERIES
 from marginalia.sources.json_io import parse_requests, read_analyses, read_requests
 from verify import canon
@@ -122,3 +123,11 @@ def test_query_matches_sql(spark, name):
         con.execute(f"create view {f[:-8]} as select * from '{SF}/{f}'")
     got, want = QUERIES[name](spark, SF).toPandas(), con.execute(ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns) and canon(got) == canon(want)
+
+
+def test_valid_analyses_are_judged_by_the_contract(spark, monkeypatch):
+    real = queries.bind(spark, SF, "b_analyses").where("fault in (0, 1, 3, 9)").limit(400)
+    moved = real.select("analysis_id", ((F.col("fault") + 1) % 12).cast("int").alias("fault"), "raw").localCheckpoint()
+    monkeypatch.setattr(queries, "bind", lambda *_: moved)
+    valid = {r["analysis_id"] for r in moved.where("fault = 1").collect()}
+    assert valid and {r["analysis_id"] for r in queries.c12_explode_facts(spark, SF).collect()} == valid
