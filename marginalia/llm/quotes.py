@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from .components import connected
 
-#: Code points that a normalised quoted passage needs, as shorter ones stand in many messages.
-MIN_QUOTE = 8
+#: Code points that a normalised quoted passage needs: short messages are answered too.
+MIN_QUOTE = 1
 _MARKS = r"^\s*(?:>\s?)+"
 
 

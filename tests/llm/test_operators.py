@@ -327,6 +327,24 @@ def test_quotes(spark):
     assert len(got) == len(rows) and quotes.reply_threads(df.limit(0)).count() == 0
 
 
+def test_short_quotes(spark):
+    rnd = random.Random(17)
+    said = ["Thanks", "Sure.", "OK", "好的", "什么时候?", "No", "Is the bridge open today?", "It runs each hour."]
+    rows, want = [], {}
+    for conv in range(30):
+        first = {}
+        for turn in range(20):
+            quoted = rnd.choice(said) if rnd.random() < 0.5 else None
+            own = rnd.choice(said)
+            rows.append((conv, turn, "user", own if quoted is None else f"> {quoted.upper()}\n{own}"))
+            want[(conv, turn)] = first.get(quoted)
+            first.setdefault(own, turn)
+    got = quotes.reply_threads(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert {(r["conv_id"], r["turn"]): r["parent_turn"] for r in got} == want
+    top = roots(want, [(k, (k[0], v)) for k, v in want.items() if v is not None])
+    assert {(r["conv_id"], r["turn"]): r["thread_turn"] for r in got} == {k: v[1] for k, v in top.items()}
+
+
 ITEM = "Maria has 12 apples and gives 5 kg of flour to her brother John before the shop in Lisbon closes at night."
 
 
