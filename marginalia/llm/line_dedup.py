@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import bounded_batches
+from .common import bounded_batches, join_hot, written
 
 MIN_DOCUMENTS = 10
 
@@ -94,17 +94,25 @@ def drop_common_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, id_co
 
     A line's key is the line stripped of blanks (0x20, 0x09-0x0D) at both ends with
     A-Z in lower case. A key of one code point or more that stands in
-    ``min_documents`` rows or more loses all its lines in every row; all others
-    stay in their order. Each row counts as a document, repeated rows and ids
-    included; rows of a null id take part like others. A null or empty text is one
+    ``min_documents`` documents or more loses all its lines in every row; all others
+    stay in their order. Documents are different ids: rows that repeat an id count
+    once, each row of a null id counts for itself. A null or empty text is one
     empty line and comes back empty; a text that loses all lines comes back empty.
-    Other columns pass through; ones named n_lines or n_dropped are replaced. An
-    empty table gives an empty table.
+    A text of any length is handled whole, in one task. Other columns pass through;
+    ones named n_lines or n_dropped are replaced. An empty table gives an empty table.
     """
-    hashes = line_hashes(docs, id_col, text_col)
-    common = hashes.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= min_documents).select("a", "b")
-    lost = hashes.join(common, ["a", "b"]).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set(F.struct("a", "b")).alias("__lost"))
+    hashes = written(line_hashes(docs, id_col, text_col))
+    rows = hashes.count()
+    named = hashes.where("doc_id is not null").groupBy("a", "b", "doc_id").agg(F.count("*").alias("r")) if _ids_repeat(docs, id_col) else hashes.where("doc_id is not null").withColumn("r", F.lit(1).cast("long"))
+    counted = named.unionByName(hashes.where("doc_id is null").withColumn("r", F.lit(1).cast("long")))
+    common = written(counted.groupBy("a", "b").agg(F.count("*").alias("documents"), F.sum("r").alias("n")).where(F.col("documents") >= min_documents).select("a", "b", "n"))
+    lost = join_hot(hashes, common, ["a", "b"], rows).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set(F.struct("a", "b")).alias("__lost"))
     joined = docs.join(lost, docs[id_col].cast("long").eqNullSafe(lost["__id"]), "left")
     rest: list[str | Column] = [docs[c] for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")]
     out = joined.select(*rest, F.arrow_udf(_without, "struct<n_lines:bigint,n_dropped:bigint,text:string>")(docs[text_col].cast("string"), F.col("__lost")).alias("__r"))
     return out.select(*[c for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")], F.col("__r.n_lines").alias("n_lines"), F.col("__r.n_dropped").alias("n_dropped"), F.col("__r.text").alias(text_col))
+
+
+def _ids_repeat(docs: DataFrame, id_col: str) -> bool:
+    """Whether any id has several rows; where none has, lines need no count of different ids."""
+    return bool(docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("i")).count().where("count > 1").limit(1).count())

@@ -11,7 +11,7 @@ import pytest
 import tiktoken
 import xxhash
 
-from marginalia.llm import bpe, components, decontaminate, embedding_dedup, line_dedup, pii, pretokens, quality, queries, quotes, simhash, substring_dedup, textkit, toxicity
+from marginalia.llm import bpe, common, components, decontaminate, embedding_dedup, line_dedup, pii, pretokens, quality, queries, quotes, simhash, substring_dedup, textkit, toxicity
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -56,9 +56,12 @@ def roots(nodes, links):
     return {n: find(n) for n in nodes}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hot", [500, 2])
+def test_components(spark, monkeypatch, hot):
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
+    monkeypatch.setattr(common, "HOT_KEYS", 50 if hot == 2 else 10_000)
     rnd = random.Random(2)
-    links = [(i, i + 1) for i in range(40)] + [(100 + rnd.randrange(50), 100 + rnd.randrange(50)) for _ in range(40)] + [(7, 7), (None, 3)]
+    links = [(i, i + 1) for i in range(12)] + [(200, 201 + i) for i in range(40)] + [(100 + rnd.randrange(50), 100 + rnd.randrange(50)) for _ in range(40)] + [(7, 7), (None, 3)]
     got = {r["node"]: r["component"] for r in components.connected(spark.createDataFrame(links, "a long, b long")).collect()}
     real = [(a, b) for a, b in links if a is not None and a != b]
     assert got == roots({x for p in real for x in p}, real)
@@ -164,13 +167,18 @@ def test_manhattan_cells_lose_no_link():
         assert any(packed(a) & m == packed(b) & m for m in masks)
 
 
-def test_line_dedup(spark):
-    rows = corpus() + [(None, "shared line")]
+@pytest.mark.parametrize("hot", [500, 2])
+def test_line_dedup(spark, monkeypatch, hot):
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
+    monkeypatch.setattr(common, "HOT_KEYS", 50 if hot == 2 else 10_000)
+    rows = corpus() + [(None, "shared line")] + [(7777, "said again\nand again")] * 12 + [(None, "of nobody")] * 11
     key = lambda line: line.strip(" \t\n\x0b\x0c\r").translate({c: c + 32 for c in range(65, 91)})
-    seen = defaultdict(int)
-    for _, t in rows:
-        for k in {key(x) for x in (t or "").split("\n")}:
-            seen[k] += 1
+    named = defaultdict(set)
+    for at, (i, t) in enumerate(rows):
+        for x in (t or "").split("\n"):
+            named[key(x)].add(("row", at) if i is None else i)
+    seen = defaultdict(int, {k: len(v) for k, v in named.items()})
+    assert seen["said again"] == 1 and seen["of nobody"] == 11
     got = sorted(((r["doc_id"], r["n_lines"], r["n_dropped"], r["text"]) for r in line_dedup.drop_common_lines(frame(spark, rows)).collect()), key=repr)
     want = []
     for i, t in rows:
