@@ -50,13 +50,9 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    both = F.array_sort(F.concat("base", "added"), lambda a, b: F.when(_order(a) < _order(b), -1).when(_order(a) > _order(b), 1).otherwise(0))
-    return found.select("doc_id", *[pii.count_of(F.col("base"), k).alias(f"n_{k}") for k in pii.PATTERNS], F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(both).alias("spans"))
-
-
-def _order(span):
-    kinds = [*pii.PATTERNS, *(k for k in pii.ADDED if k not in pii.PATTERNS)]
-    return F.array_position(F.array(*map(F.lit, kinds)), span["kind"]) * F.lit(1 << 40).cast("long") + span["start"]
+    base = found.select("doc_id", "spans", pii.base_spans(F.col("spans")).alias("base"))
+    scores = F.array_join(F.transform("spans", lambda s: F.round(s["score"], 2).cast("string")), ",")
+    return base.select("doc_id", *[pii.count_of(F.col("base"), k).alias(f"n_{k}") for k in pii.PATTERNS], F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"), scores.alias("scores"))
 
 
 def op8_chat_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
