@@ -209,7 +209,10 @@ def test_substring_dedup(spark):
     assert substring_dedup.remove_repeats(empty(spark)).count() == 0
 
 
-def test_embedding_dedup(spark):
+@pytest.mark.parametrize("hot", [500, 2])
+def test_embedding_dedup(spark, monkeypatch, hot):
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
+    monkeypatch.setattr(common, "HOT_KEYS", 50 if hot == 2 else 10_000)
     rnd = np.random.default_rng(4)
     base = rnd.normal(size=(30, 16))
     vec = [b + rnd.normal(size=16) * s for b in base for s in (0.0, 0.03, 0.06, 0.1, 0.15)]
@@ -237,16 +240,35 @@ def test_embedding_dedup(spark):
     assert embedding_dedup.embedding_components(df.limit(0)).count() == 0
 
 
-def test_embedding_blocks(spark):
+@pytest.mark.parametrize("block", [1, 16, 1000])
+def test_embedding_blocks(spark, block):
     rnd = np.random.default_rng(6)
     vec = [b + rnd.normal(size=6) * 0.05 for b in rnd.normal(size=(60, 6)) for _ in range(5)]
-    rows = [(i, [float(x) for x in np.float32(v)], "a", 1) for i, v in enumerate(vec)]
+    rows = [(i, [float(x) for x in np.float32(v)], "a", 1 + i % 3) for i, v in enumerate(vec)]
     df = spark.createDataFrame(rows, "cls long, embedding array<float>, label string, n long")
-    total = lambda block: {r["cls"]: r["s"] for r in embedding_dedup.embedding_links(df, 0.98, 4, block).groupBy("cls").agg({"n_links": "sum"}).withColumnRenamed("sum(n_links)", "s").collect()}
+    got = embedding_dedup.embedding_links(df, 0.98, 4, block * 24, 8).collect()
+    total = defaultdict(int)
+    for r in got:
+        total[r["cls"]] += r["n_links"]
     u = np.array([np.float32(v) for v in vec]).astype(float)
     u /= np.linalg.norm(u, axis=1, keepdims=True)
-    want = ((u @ u.T) >= 0.98).sum(1) - 1
-    assert {k: v for k, v in total(16).items() if v} == {i: int(x) for i, x in enumerate(want) if x}
+    m = (u @ u.T) >= 0.98
+    np.fill_diagonal(m, False)
+    want = m @ np.array([r[3] for r in rows])
+    assert {k: v for k, v in total.items() if v} == {i: int(x) for i, x in enumerate(want) if x}
+    edges = [(r["cls"], r["other"]) for r in got if r["other"] is not None]
+    assert roots(range(len(vec)), edges) == roots(range(len(vec)), list(zip(*np.nonzero(m), strict=True)))
+
+
+def test_near_intervals_lose_no_pair():
+    rnd = np.random.default_rng(3)
+    p, q = np.sort(rnd.normal(size=(300, 3)), 0), rnd.normal(size=(170, 3))
+    for a, b, same in ((p, q, False), (p, p, True)):
+        seen = np.zeros((len(a), len(b)), int)
+        for i, j, k, m in embedding_dedup.near_intervals(a, b, 0.3, 16, same):
+            seen[i:j, k:m] += 1
+        near = ((a[:, None] - b[None]) ** 2).sum(-1) <= 0.09
+        assert seen.max() == 1 and seen.mean() < 0.9 and (seen | seen.T if same else seen)[near].all()
 
 
 @pytest.fixture(scope="module")
