@@ -6,8 +6,10 @@ rolling window of 25 words probes it. Blocks and windows are dealt to buckets by
 their hash, packed into a few bytes each, and matched there in arrays. Hits are
 extended to exact repeats: the 50-word windows around them are dealt in the same
 way, each bucket first learns the smallest document of each window, then marks
-those of larger ones; overlapping marks join to maximal repeats. Rows whose whole
-word sequence a smaller document has are set aside before that.
+those of larger ones; overlapping marks join to maximal repeats. What documents in
+one piece of a task's input share is settled there, and one of them stands for all
+in the bucket, so a passage that a third of all documents hold fills no bucket.
+Rows whose whole word sequence a smaller document has are set aside before that.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import bounded_batches, shuffle_partitions
+from .common import bounded_batches, join_hot, shuffle_partitions, written
 
 WORDS = 50
 _MERGE_AT, _GROUP_BYTES = 1 << 20, 4 << 20
@@ -28,35 +30,63 @@ _MERGE_AT, _GROUP_BYTES = 1 << 20, 4 << 20
 _DEALT = "bucket int, kind int, docs int, windows int, data binary"
 
 
-def _deal(bucket: np.ndarray, tag: np.ndarray, row: np.ndarray, pos: np.ndarray, ids: np.ndarray, versions: np.ndarray, index: np.ndarray) -> pa.RecordBatch:
-    """Rows of _DEALT, one for each bucket and kind: of kind 0 the tags in ``index``, of kind 1 all of them."""
-    out: dict[str, list] = {c: [] for c in ("bucket", "kind", "docs", "windows", "data")}
-    for kind, keep in ((0, index), (1, np.arange(len(tag)))):
-        order = keep[np.argsort(bucket[keep], kind="stable")]
-        b = bucket[order]
-        edges = np.flatnonzero(np.r_[True, b[1:] != b[:-1], True]) if len(b) else np.zeros(0, np.int64)
-        r, t, p = row[order], tag[order], pos[order].astype(np.uint32)
-        for s, e in zip(edges[:-1], edges[1:], strict=True):
-            runs = np.flatnonzero(np.r_[True, r[s + 1 : e] != r[s : e - 1]])
-            who = r[s:e][runs]
-            out["bucket"].append(int(b[s]))
-            out["kind"].append(kind)
-            out["docs"].append(len(runs))
-            out["windows"].append(int(e - s))
-            out["data"].append(tk.pack(ids[who], versions[who], np.diff(np.r_[runs, e - s]).astype(np.uint32), t[s:e], p[s:e]))
+def _rows(kind: int, bucket: np.ndarray, tag: np.ndarray, row: np.ndarray, pos: np.ndarray, ids: np.ndarray, versions: np.ndarray, out: dict[str, list]) -> None:
+    """Adds a row of _DEALT for each bucket, with all of its tags; ``pos`` has a place of each, or the first and length of a run of places in one number."""
+    order = np.argsort(bucket, kind="stable")
+    b = bucket[order]
+    edges = np.flatnonzero(np.r_[True, b[1:] != b[:-1], True]) if len(b) else np.zeros(0, np.int64)
+    r, t, p = row[order], tag[order], pos[order]
+    for s, e in zip(edges[:-1], edges[1:], strict=True):
+        runs = np.flatnonzero(np.r_[True, r[s + 1 : e] != r[s : e - 1]])
+        who = r[s:e][runs]
+        out["bucket"].append(int(b[s]))
+        out["kind"].append(kind)
+        out["docs"].append(len(runs))
+        out["windows"].append(int(e - s))
+        out["data"].append(tk.pack(ids[who], versions[who], np.diff(np.r_[runs, e - s]).astype(np.uint32), t[s:e], p[s:e]))
+
+
+def _batch(out: dict[str, list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(out[c], k) for c, k in zip(out, (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=list(out))
 
 
+def _runs(row: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first place and length of the runs of neighbouring places."""
+    order = np.lexsort((pos, row))
+    row, pos = row[order], pos[order]
+    s = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (pos[1:] != pos[:-1] + 1)]) if len(row) else np.zeros(0, np.int64)
+    return row[s], pos[s], np.diff(np.r_[s, len(row)])
+
+
+def _settled(row: np.ndarray, pos: np.ndarray, ids: np.ndarray, versions: np.ndarray, buckets: int, out: dict[str, list]) -> None:
+    """Adds rows of kind 2: places that need no bucket, as runs, dealt by document."""
+    row, first, length = _runs(row, pos)
+    _rows(2, (tk.mix(ids[row].astype(np.uint64)) % np.uint64(buckets)).astype(np.uint32), length.astype(np.uint32), row, first.astype(np.uint32), ids, versions, out)
+
+
 def _deal_anchors(data: np.ndarray, off: np.ndarray, ids: np.ndarray, block: int, buckets: int) -> pa.RecordBatch:
-    """Every rolling window of ``block`` words, the aligned ones as the index, with 32 bits beside the bucket."""
+    """Every rolling window of ``block`` words as a probe, the aligned ones as the index, with 32 bits beside the bucket; of windows that occur several times here one each, and all their places as hits."""
     start, end, first = tk.spans(data, off, ~tk.BLANK)
     w = tk.rolling(tk.span_hashes(data, start, end), block)
     row = np.repeat(np.arange(len(ids)), np.diff(first))[: len(w)]
     at = np.arange(len(w))
     fine = at + block <= first[1:][row] if len(w) else np.zeros(0, bool)
     w, row, pos = w[fine], row[fine], (at - first[row])[fine] if len(w) else at
-    bucket = ((w >> np.uint64(32)) % np.uint64(buckets)).astype(np.uint32)
-    return _deal(bucket, (w & np.uint64(0xFFFFFFFF)).astype(np.uint32), row, pos, ids, np.zeros(len(ids), np.int64), np.flatnonzero(pos % block == 0))
+    order = np.argsort(w, kind="stable")
+    new = np.r_[True, w[order[1:]] != w[order[:-1]]] if len(w) else np.zeros(0, bool)
+    group = np.cumsum(new) - 1
+    several = np.bincount(group)[group] > 1 if len(w) else new
+    aligned = pos[order] % block == 0
+    seen = np.flatnonzero(aligned)
+    index = order[seen[np.unique(group[seen], return_index=True)[1]]]
+    probe = order[new]
+    out: dict[str, list] = {c: [] for c in ("bucket", "kind", "docs", "windows", "data")}
+    none = np.zeros(len(ids), np.int64)
+    bucket, tag = ((w >> np.uint64(32)) % np.uint64(buckets)).astype(np.uint32), (w & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    for kind, keep in ((0, np.sort(index)), (1, np.sort(probe))):
+        _rows(kind, bucket[keep], tag[keep], row[keep], pos[keep].astype(np.uint32), ids, none, out)
+    _settled(row[order[several]], pos[order[several]], ids, none, buckets, out)
+    return _batch(out)
 
 
 class _Index:
@@ -106,8 +136,8 @@ class _Index:
         return self.lo[own], self.pos[own]
 
 
-def _bucketwise(batches, tag_type: type, probe, finish):
-    """Feeds each bucket's kind 0 to an index and then its kind 1 to ``probe``; at its end ``finish``."""
+def _bucketwise(batches, tag_type: type, probe, settled, finish):
+    """Feeds each bucket's kind 0 to an index and then its kind 1 to ``probe``; at its end ``finish``. Kind 2 goes to ``settled``."""
     at, index, probing = None, _Index(), False
     for batch in batches:
         for bucket, kind, docs, windows, data in zip(*(batch.column(c).to_pylist() for c in ("bucket", "kind", "docs", "windows", "data")), strict=True):
@@ -115,7 +145,10 @@ def _bucketwise(batches, tag_type: type, probe, finish):
                 if probing:
                     yield from finish(index)
                 at, index, probing = bucket, _Index(), False
-            ids, versions, n, tag, pos = tk.unpack(data, (np.int64, docs), (np.int64, docs), (np.uint32, docs), (tag_type, windows), (np.uint32, windows))
+            ids, versions, n, tag, pos = tk.unpack(data, (np.int64, docs), (np.int64, docs), (np.uint32, docs), (np.uint32 if kind == 2 else tag_type, windows), (np.uint32, windows))
+            if kind == 2:
+                yield settled(np.repeat(ids, n), np.repeat(versions, n), pos, tag)
+                continue
             if kind == 0:
                 index.add(tag, np.repeat(ids, n), pos)
                 continue
@@ -128,32 +161,38 @@ def _bucketwise(batches, tag_type: type, probe, finish):
 
 
 def _match_anchors(batches):
+    def places(doc, pos, length):
+        return pa.RecordBatch.from_arrays([pa.array(doc.astype(np.int64)), pa.array(pos.astype(np.int32)), pa.array(length.astype(np.int32))], names=["doc_id", "pos", "length"])
+
     def rows(doc, pos):
         if len(doc):
-            yield pa.RecordBatch.from_arrays([pa.array(doc.astype(np.int64)), pa.array(pos.astype(np.int32))], names=["doc_id", "pos"])
+            yield places(doc, pos, np.ones(len(doc)))
 
-    return _bucketwise(batches, np.uint32, lambda index, tag, ids, versions, n, pos: rows(*index.probe(tag, np.repeat(ids, n), pos)), lambda index: rows(*index.owners()))
+    return _bucketwise(batches, np.uint32, lambda index, tag, ids, versions, n, pos: rows(*index.probe(tag, np.repeat(ids, n), pos)), lambda doc, versions, pos, length: places(doc, pos, length), lambda index: rows(*index.owners()))
 
 
 def _mark_repeats(batches):
+    def marks(doc, version, pos, length):
+        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(version), pa.array(pos.astype(np.int32)), pa.array(length.astype(np.int32))], names=["doc_id", "version", "pos", "length"])
+
     def rows(index, tag, ids, versions, n, pos):
         doc, version = np.repeat(ids, n), np.repeat(versions, n)
         bad = index.smallest(tag) < doc
         if bad.any():
-            yield pa.RecordBatch.from_arrays([pa.array(doc[bad]), pa.array(version[bad]), pa.array(pos[bad].astype(np.int32))], names=["doc_id", "version", "pos"])
+            yield marks(doc[bad], version[bad], pos[bad], np.ones(int(bad.sum())))
 
-    return _bucketwise(batches, np.uint64, rows, lambda index: ())
+    return _bucketwise(batches, np.uint64, rows, marks, lambda index: ())
 
 
 def anchor_hits(moved: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, pos): windows of words // 2 words that equal an aligned block, where two documents are concerned."""
+    """(doc_id, pos, length): runs of starts of windows of words // 2 words that equal an aligned block or occur twice nearby; they are candidates only."""
     block, parts = words // 2, shuffle_partitions(moved.sparkSession)
 
     def run(batches):
         for batch in _pieces(batches):
             yield _deal_anchors(*tk.buffers(_texts(batch)), np.asarray(batch.column("doc_id")), block, parts)
 
-    return moved.select("doc_id", "z").mapInArrow(run, _DEALT).repartitionById(parts, F.col("bucket")).sortWithinPartitions("bucket", "kind").mapInArrow(_match_anchors, "doc_id long, pos int")
+    return moved.select("doc_id", "z").mapInArrow(run, _DEALT).repartitionById(parts, F.col("bucket")).sortWithinPartitions("bucket", "kind").mapInArrow(_match_anchors, "doc_id long, pos int, length int")
 
 
 def _digests(words: bytes) -> tuple[int, int]:
@@ -196,8 +235,18 @@ def _texts(batch: pa.RecordBatch) -> pa.Array:
     return pa.array([_text(z) for z in batch.column("z").to_pylist()], pa.large_string())
 
 
+def _covered(runs: list[dict], before: int, length: int, n: int) -> np.ndarray:
+    """Which of ``n`` places lie from ``before`` places before a run's start to ``length`` places from its last one on."""
+    pos = np.array([x["pos"] for x in runs], np.int64)
+    last = pos + np.array([x["length"] for x in runs], np.int64) - 1
+    marks = np.zeros(n + 1, np.int64)
+    np.add.at(marks, np.clip(pos - before, 0, n), 1)
+    np.add.at(marks, np.clip(last + length, 0, n), -1)
+    return np.cumsum(marks[:-1]) > 0
+
+
 def _deal_windows(words: int, buckets: int):
-    """The windows of ``words`` words that hold a hit, with 64 bits beside the bucket, which comes from another hash."""
+    """The windows of ``words`` words that hold a hit, with 64 bits beside the bucket, which comes from another hash; ones that a smaller document here has are marked at once."""
     block = words // 2
 
     def run(batches):
@@ -209,15 +258,24 @@ def _deal_windows(words: int, buckets: int):
             k1, k2 = tk.rolling(h1, words), tk.rolling(h2, words, tk.BASES[0])
             rows, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for i, hits in enumerate(places):
-                last = int(first[i + 1] - first[i]) - words  # start of the last window
-                if last < 0:
-                    continue
-                p = np.array(hits, np.int64)
-                s = np.flatnonzero(tk.cover(np.clip(p - (words - block), 0, last + 1), words - block + 1, last + 1 + words)[: last + 1])
-                at.append(first[i] + s)
-                rows.append(np.full(len(s), i))
+                n = int(first[i + 1] - first[i]) - words + 1
+                if n > 0:
+                    s = np.flatnonzero(_covered(hits, words - block, 1, n))
+                    at.append(first[i] + s)
+                    rows.append(np.full(len(s), i))
             row, k = np.concatenate(rows), np.concatenate(at)
-            yield _deal((k2[k] % np.uint64(buckets)).astype(np.uint32), k1[k], row, k - first[row], np.asarray(batch.column("doc_id")), np.asarray(batch.column("version")), np.arange(len(k)))
+            pos, ids, versions = k - first[row], np.asarray(batch.column("doc_id")), np.asarray(batch.column("version"))
+            a, b = k1[k], k2[k]
+            order = np.lexsort((ids[row], b, a))
+            new = np.r_[True, (a[order[1:]] != a[order[:-1]]) | (b[order[1:]] != b[order[:-1]])] if len(order) else np.zeros(0, bool)
+            least = ids[row[order[new]]][np.cumsum(new) - 1] if len(order) else ids[:0]
+            lost = ids[row[order]] > least
+            bucket = (b % np.uint64(buckets)).astype(np.uint32)
+            out: dict[str, list] = {c: [] for c in ("bucket", "kind", "docs", "windows", "data")}
+            for kind, keep in ((0, np.sort(order[new])), (1, np.sort(order[~lost]))):
+                _rows(kind, bucket[keep], a[keep], row[keep], pos[keep].astype(np.uint32), ids, versions, out)
+            _settled(row[order[lost]], pos[order[lost]], ids, versions, buckets, out)
+            yield _batch(out)
 
     return run
 
@@ -228,12 +286,12 @@ def _removed(words: int):
         for data, v, m, c in zip(z.to_pylist(), version.to_pylist(), marks.to_pylist(), copies.to_pylist(), strict=True):
             text = _text(data)
             n = text.count(" ") + 1 if text else 0
-            own = next((x["pos"] for x in m or () if x["version"] == v), None)
+            own = next((x["runs"] for x in m or () if x["version"] == v), None)
             left = n
             if c and v in c and n >= words:
                 text, left = "", 0
             elif own:
-                lost = tk.cover(np.array(own, np.int64), words, n)
+                lost = _covered(own, 0, words, n)
                 w = [x for x, bad in zip(text.split(" "), lost.tolist(), strict=True) if not bad]
                 text, left = " ".join(w), len(w)
             total.append(n)
@@ -259,15 +317,16 @@ def remove_repeats(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id",
     bounded_batches(docs.sparkSession)
     parts = shuffle_partitions(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    wholes = rows.where("doc_id is not null").select("doc_id", F.arrow_udf(_whole, "struct<version:bigint,check:bigint>")("text").alias("h")).select("doc_id", "h.version", "h.check")
-    firsts = wholes.groupBy("version", "check").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("version", "check", "first")
-    copies = wholes.join(firsts, ["version", "check"]).where("doc_id > first").groupBy(F.col("doc_id").alias("copy_id")).agg(F.collect_set("version").alias("copies"))
+    wholes = written(rows.where("doc_id is not null").select("doc_id", F.arrow_udf(_whole, "struct<version:bigint,check:bigint>")("text").alias("h")).select("doc_id", "h.version", "h.check"))
+    firsts = wholes.groupBy("version", "check").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first < last").select("version", "check", "first", "n")
+    copies = join_hot(wholes, firsts, ["version", "check"], wholes.count()).where("doc_id > first").groupBy(F.col("doc_id").alias("copy_id")).agg(F.collect_set("version").alias("copies"))
     moved = rows.select("doc_id", F.arrow_udf(_squeezed, "struct<z:binary,version:bigint>")("text").alias("s")).select("doc_id", "s.version", "s.z").repartition("doc_id")
     kept = moved.where("doc_id is not null").join(copies, moved["doc_id"] == copies["copy_id"], "left").where(~F.coalesce(F.array_contains("copies", F.col("version")), F.lit(False))).select("doc_id", "version", "z")
-    places = anchor_hits(kept, words).groupBy(F.col("doc_id").alias("id")).agg(F.collect_set("pos").alias("places"))
+    run = F.struct("pos", "length")
+    places = anchor_hits(kept, words).groupBy(F.col("doc_id").alias("id")).agg(F.collect_set(run).alias("places"))
     near = kept.join(places, kept["doc_id"] == places["id"]).select("doc_id", "version", "z", "places")
     windows = near.mapInArrow(_deal_windows(words, parts), _DEALT).repartitionById(parts, F.col("bucket")).sortWithinPartitions("bucket", "kind")
-    marked = windows.mapInArrow(_mark_repeats, "doc_id long, version long, pos int")
-    by_row = marked.groupBy("doc_id", "version").agg(F.collect_set("pos").alias("pos")).groupBy(F.col("doc_id").alias("marked_id")).agg(F.collect_list(F.struct("version", "pos")).alias("marks"))
+    marked = windows.mapInArrow(_mark_repeats, "doc_id long, version long, pos int, length int")
+    by_row = marked.groupBy("doc_id", "version").agg(F.collect_set(run).alias("runs")).groupBy(F.col("doc_id").alias("marked_id")).agg(F.collect_list(F.struct("version", "runs")).alias("marks"))
     out = moved.join(by_row, moved["doc_id"] == by_row["marked_id"], "left").join(copies, moved["doc_id"] == copies["copy_id"], "left").select("doc_id", _removed(words)("z", "version", "marks", "copies").alias("r"))
     return out.select("doc_id", "r.n_words", "r.n_removed", "r.text")

@@ -191,7 +191,11 @@ def test_line_dedup(spark, monkeypatch, hot):
     assert line_dedup.drop_common_lines(empty(spark)).count() == 0
 
 
-def test_substring_dedup(spark):
+@pytest.mark.parametrize("hot", [500, 2])
+def test_substring_dedup(spark, monkeypatch, hot):
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
+    monkeypatch.setattr(common, "HOT_KEYS", 50 if hot == 2 else 10_000)
+    monkeypatch.setattr(substring_dedup, "_GROUP_BYTES", 4 << 20 if hot == 500 else 6_000)
     rows = corpus()
     rows.append(rows[3])
     got = sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["text"]) for r in substring_dedup.remove_repeats(frame(spark, [*rows, (None, "a b")])).collect()), key=repr)
@@ -519,7 +523,44 @@ def test_toxicity_held_out(spark):
     flagged = [s for r in got if r["doc_id"] in truth and truth[r["doc_id"]][2] for s in [text[r["doc_id"]].encode()[x["start"] : x["end"]].decode() for x in r["spans"]]]
     assert np.mean(["nastyest" in s or "vileword" in s for s in flagged]) > 0.95
     assert max(r["score"] for r in toxicity.toxicity_scores(docs, labels.limit(0)).collect()) < 1e-9
+    assert {r["score"] for r in toxicity.toxicity_scores(docs, labels.where("toxic = 1")).collect()} == {1.0}
     assert toxicity.toxicity_scores(docs.limit(0), labels).count() == 0
+    renamed = docs.withColumnsRenamed({"doc_id": "key", "text": "body"})
+    assert sorted(map(str, toxicity.toxicity_scores(renamed, labels, id_col="key", text_col="body").collect())) == sorted(map(str, got))
+
+
+def test_toxicity_sample_is_bounded(spark):
+    docs, labels, _ = learned(spark)
+    docs = docs.union(docs.limit(300)).union(spark.createDataFrame([(1, "x" * 100_000, "", "", 1)], DOCS))
+    size = {r["doc_id"]: min(len(x["text"] or "") for x in docs.where(docs["doc_id"] == r["doc_id"]).collect()) for r in labels.where("doc_id in (1, 2, 3)").collect()}
+    assert size[1] < 100_000
+    for documents, most in ((100, 1 << 30), (8_000, 20_000)):
+        rows = toxicity._sample(docs, labels, "toxic", "doc_id", "text", documents, most).collect()
+        assert len({r["doc_id"] for r in rows}) == len(rows) <= documents and sum(len(r["text"].encode()) for r in rows) <= most
+        assert all(fold(r["doc_id"]) for r in rows) and len(rows) > 50
+
+
+def test_noisy_or_training():
+    """Chances, likelihood and gradient steps of a small model against plain loops over sentences and words."""
+    texts, y = ["bad one. fine words", "fine words. other words", "bad two", "fine. words"], np.array([1.0, 0, 1, 0])
+    import pyarrow as pa
+
+    data, off = textkit.buffers(pa.array(texts))
+    model = toxicity.train(data, off, y, epochs=60, min_documents=1)
+    start, end, first, slot, sentence = toxicity.sentences(data, off)
+    assert [data[s:e].tobytes().decode() for s, e in zip(start, end, strict=True)] == ["bad one", " fine words", "fine words", " other words", "bad two", "fine", " words"]
+    p = model.sentence_chances(slot, sentence, len(start))
+    want = []
+    for k in range(len(start)):
+        z = model.bias + sum(model.weights[slot[i]] for i in range(len(slot)) if sentence[i] == k)
+        want.append(1 / (1 + np.exp(-z)))
+    assert np.allclose(p, want)
+    whole = [1 - np.prod([1 - want[k] for k in range(first[i], first[i + 1])]) for i in range(4)]
+    assert np.allclose(toxicity.noisy_or(p, first), whole)
+    assert min(whole[0], whole[2]) > 0.5 > max(whole[1], whole[3])
+    likelihood = lambda m: sum(np.log(w if t else 1 - w) for w, t in zip(toxicity.noisy_or(m.sentence_chances(slot, sentence, len(start)), first), y, strict=True))
+    before = [likelihood(toxicity.train(data, off, y, epochs=n, min_documents=1)) for n in (1, 5, 20)]
+    assert before == sorted(before)
 
 
 def test_cover_and_pack():
