@@ -4,12 +4,13 @@ A fingerprint's bits are cut into 32 segments of two; its embedding is the numbe
 of set bits in each segment. The Manhattan distance of two embeddings never
 exceeds the Hamming distance of the fingerprints, so it is a lower bound. The
 segments are dealt into max_bits + AGREE groups: if the Manhattan distance is at
-most max_bits, at least AGREE groups agree in every count, so each pair shares
-one of the grid cells that fix AGREE groups. More of them make more rows, but cells
-in which fewer strangers meet. Cells are joined, and candidates
-are verified on the fingerprints. Inside a cell only a spanning forest of the
-links is given out, and cells over BLOCK members are dealt to pairs of blocks:
-large groups of near copies cost no rows for their pairs.
+most max_bits, at least AGREE groups agree in every count, so each pair within that
+range shares one of the grid cells that fix AGREE groups. Cells are joined; within
+them pairs over the range by Manhattan distance are left out, and the others are
+verified on the fingerprints. Inside a cell only a spanning forest of the links is
+given out. A cell of over BLOCK members first links all that are close to its
+smallest member, its star; only the members outside the star then meet the others,
+block by block, so that large groups of near copies cost no rows for their pairs.
 
 Texts that share four fifths of their shingles have fingerprints about ten bits
 apart, which no grid of 64 bits finds at scale. ``keep_one`` therefore takes
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, shuffle_partitions, written
+from .common import bounded_batches, discard, join_hot, shuffle_partitions, written
 from .components import connected
 
 SHINGLE_WORDS, MAX_BITS, SEED, BLOCK, AGREE = 4, 4, 42, 4096, 4
@@ -159,11 +160,22 @@ def _forest(rows: np.ndarray, near) -> list[tuple[int, int]]:
 
 
 def _close_bits(max_bits: int):
-    """Links of fingerprints, given as numbers of places in an array of them."""
+    """Links of fingerprints, given as numbers of places in an array of them: the Manhattan distance of the embeddings leaves out most pairs."""
+    odd = np.uint64(0x5555555555555555)
 
     def measure(fp: np.ndarray):
         fp = fp.view(np.uint64)
-        return lambda i, j: np.bitwise_count(fp[i] ^ fp[j]) <= max_bits
+        low, high = fp & odd, fp >> np.uint64(1) & odd
+        counts = low | high | (low & high) << np.uint64(1)  # 0, 1, 2 as 00, 01, 11: differing bits are the distance of two counts
+
+        def near(i, j):
+            hit = np.bitwise_count(counts[i] ^ counts[j]) <= max_bits
+            some = np.flatnonzero(hit)
+            i, j = np.broadcast_arrays(i, j)
+            hit[some] = np.bitwise_count(fp[i[some]] ^ fp[j[some]]) <= max_bits
+            return hit
+
+        return near
 
     return measure
 
@@ -239,14 +251,40 @@ def _linker(keys: list[str], node: str, value: str, measure):
     return run
 
 
-def _in_blocks(rows: DataFrame, keys: list[str], member: str, block: int, size: Column | None = None) -> DataFrame:
-    """``rows`` of keys that several share, once for each pair (i, j) of blocks of members that theirs is in; ``size`` gives a row's bytes."""
-    shared = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(F.lit(0) if size is None else size).alias("bytes")).where("n > 1")
+def _group_links(rows: DataFrame, keys: list[str], node: str, value: str, measure, block: int, size: Column | None = None) -> DataFrame:
+    """(a, b): edges that connect what all links among the ``rows`` of each key would; ``size`` gives a row's bytes.
+
+    Keys of one block are linked in one task each. For a larger key each row is first
+    compared with the key's smallest node: those that it links are its star. Rows of
+    the star meet the blocks of the rest only, and those meet all blocks.
+    """
+    links = _linker([*keys, "i", "j"], node, value, measure)
+    deal = [*keys, "i", "j"]
+    linked = lambda live: live.select(*deal, node, value).repartition(*deal).sortWithinPartitions(*deal).mapInArrow(links, "a long, b long")
     parts = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
-    own = F.pmod(F.xxhash64(member), F.col("parts")).cast("int")
-    live = rows.join(shared, keys).withColumn("parts", parts).withColumn("own", own)
-    both = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j"))))
-    return live.select(*rows.columns, both.alias("p")).select(*rows.columns, "p.i", "p.j")
+    shared = written(rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(F.lit(0) if size is None else size).alias("bytes"), F.min(node).alias("first")).where("n > 1").withColumn("parts", parts))
+    out = linked(rows.join(shared.where("parts = 1").select(*keys), keys).withColumns({"i": F.lit(0), "j": F.lit(0)}))
+    large = shared.where("parts > 1").drop("bytes")
+    total = large.agg(F.sum("n")).first()[0]
+    if not total:
+        return out.where("a <> b").distinct()
+
+    @F.arrow_udf("boolean")
+    def near(x: pa.Array, y: pa.Array) -> pa.Array:
+        both = np.concatenate([c.to_numpy(zero_copy_only=False) for c in (x, y)])
+        at = np.arange(len(x))
+        return pa.array(measure(both)(at, at + len(x)))
+
+    mine = join_hot(rows, large, keys, total).withColumn("own", F.pmod(F.xxhash64(node), F.col("parts")).cast("int"))
+    centres = mine.where(F.col(node) == F.col("first")).select(*keys, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("own"), F.col(value).alias("centre"))
+    tagged = written(mine.join(centres, [*keys, "own"]).withColumn("star", near(F.col(value), F.col("centre"))).drop("centre"))
+    left = tagged.groupBy(*keys).agg(F.sum((~F.col("star")).cast("long")).alias("r"), F.sum(F.when(~F.col("star"), F.lit(0) if size is None else size)).alias("rb"))
+    left = left.withColumn("rest", F.greatest(F.ceil(F.col("r") / block), F.ceil(F.col("rb") / BLOCK_BYTES)).cast("int")).where("r > 0").select(*keys, "rest", F.lit(total).alias("n"))
+    own = F.when(F.col("star"), F.col("own")).otherwise(F.col("parts") + F.pmod(F.xxhash64(node), F.col("rest")).cast("int"))
+    met = F.when(F.col("star"), F.sequence(F.col("parts"), F.col("parts") + F.col("rest") - 1)).otherwise(F.sequence(F.lit(0), F.col("parts") + F.col("rest") - 1))
+    pairs = join_hot(tagged, left, keys, total * 2).withColumn("own", own).withColumn("k", F.explode(met)).withColumns({"i": F.least("own", "k"), "j": F.greatest("own", "k")})
+    stars = tagged.where("star").select(F.col("first").alias("a"), F.col(node).alias("b"))
+    return out.union(linked(pairs)).union(stars).where("a <> b").distinct()
 
 
 def _spread(rows: DataFrame, member: str) -> DataFrame:
@@ -255,17 +293,14 @@ def _spread(rows: DataFrame, member: str) -> DataFrame:
 
 
 def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
-    """(a, b): links between the fingerprints in ``fps`` (column fp, all different) that connect what all links would."""
+    """(a, b): links between the fingerprints in ``fps`` (columns rep, fp, all different), by rep, that connect what all links would."""
     bounded_batches(fps.sparkSession)
     odd = F.lit(0x5555555555555555)
     low, high = F.col("fp").bitwiseAND(odd), F.shiftrightunsigned(F.col("fp"), 1).bitwiseAND(odd)
-    packed = low.bitwiseXOR(high).bitwiseOR(F.shiftleft(low.bitwiseAND(high), 1))  # their sum in each two bits
+    packed = low.bitwiseOR(high).bitwiseOR(F.shiftleft(low.bitwiseAND(high), 1))  # the counts of each two bits, as 00, 01, 11
     cells = F.explode(F.array(*[F.struct(F.lit(c).alias("combo"), F.col("packed").bitwiseAND(F.lit(_signed(m))).alias("cell")) for c, m in enumerate(_cell_masks(max_bits))]))
-    spread = _spread(fps.select("fp"), "fp")
-    rows = spread.withColumn("packed", packed).select("fp", cells.alias("k")).select("k.combo", "k.cell", "fp")
-    live = _in_blocks(rows, ["combo", "cell"], "fp", block).withColumn("node", F.col("fp"))
-    keys = ["combo", "cell", "i", "j"]
-    return live.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_linker(keys, "node", "fp", _close_bits(max_bits)), "a long, b long").distinct()
+    rows = _spread(fps.select("rep", "fp"), "rep").withColumn("packed", packed).select("rep", "fp", cells.alias("k")).select("k.combo", "k.cell", "rep", "fp")
+    return _group_links(rows, ["combo", "cell"], "rep", "fp", _close_bits(max_bits), block)
 
 
 def sketch_links(sketches: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
@@ -277,9 +312,8 @@ def sketch_links(sketches: DataFrame, similarity: float = SIMILARITY, block: int
     bounded_batches(sketches.sparkSession)
     band = lambda b: F.xxhash64(b, F.substring("sketch", b * (2 * BAND_ROWS) + 1, F.lit(2 * BAND_ROWS)))
     rows = _spread(sketches, "rep").select("rep", F.explode(F.transform(F.sequence(F.lit(0), F.lit(MINIMA // BAND_ROWS - 1)), band)).alias("band"))
-    live = _in_blocks(rows, ["band"], "rep", block).join(sketches, "rep")
-    keys = ["band", "i", "j"]
-    return live.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_linker(keys, "rep", "sketch", _alike(similarity)), "a long, b long").distinct()
+    shared = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
+    return _group_links(written(rows.join(shared, "band").join(sketches, "rep")), ["band"], "rep", "sketch", _alike(similarity), block)
 
 
 def simhash_components(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -288,11 +322,25 @@ def simhash_components(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: in
     Fingerprints link at ``max_bits`` or fewer differing bits. Null and empty texts
     have fingerprint zero, which links like any other. Rows of a null id get no
     component and link nothing. Repeated rows share their fingerprint and so their
-    component; an empty table gives an empty table.
+    component. Texts of any length are taken whole. Other columns are left out, so
+    their names can't clash; an empty table gives an empty table.
     """
     bounded_batches(docs.sparkSession)
     fps = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprint(F.col(text_col).cast("string"), words).alias("fp")))
-    return _with_components(fps, _ends(fps, max_bits))
+    classes = _classes(fps)
+    named = classes.join(connected(fingerprint_links(classes, max_bits)), F.col("rep") == F.col("node"), "left").select("fp", "n", F.coalesce("component", "rep").alias("component_id"))
+    return _named(fps, named, "fp")
+
+
+def _classes(fps: DataFrame) -> DataFrame:
+    return written(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
+
+
+def _named(fps: DataFrame, classes: DataFrame, key: str) -> DataFrame:
+    """(doc_id, fp, component_id) of all rows, from the component of each class; null for null ids."""
+    rows = fps.select("doc_id", *dict.fromkeys(["fp", key]))
+    own = join_hot(rows.where("doc_id is not null"), written(classes), [key], rows.count()).select("doc_id", "fp", "component_id")
+    return own.union(rows.where("doc_id is null").select("doc_id", "fp", F.lit(None).cast("long").alias("component_id")))
 
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -319,9 +367,7 @@ def set_links(sets: DataFrame, similarity: float = SIMILARITY, margin: float = M
     """
     bounded_batches(sets.sparkSession)
     rows = sets.select("component", "rep", F.concat("sketch", "shingles").alias("value"))
-    live = _in_blocks(rows, ["component"], "rep", block, F.octet_length("value"))
-    keys = ["component", "i", "j"]
-    return live.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_linker(keys, "rep", "value", _share(similarity, margin)), "a long, b long").where("a <> b").distinct()
+    return _group_links(rows, ["component"], "rep", "value", _share(similarity, margin), block, F.octet_length("value").cast("long"))
 
 
 def near_copy_components(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -334,38 +380,29 @@ def near_copy_components(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits:
     bounded_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     fps = written(texts.select("doc_id", fingerprint_and_sketch(F.col("text"), words).alias("x")).select("doc_id", "x.fp", "x.sketch", "x.digest"))
-    classes = written(fps.where("doc_id is not null").groupBy("digest", "sketch").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp")))
+    classes = written(fps.where("doc_id is not null").groupBy("digest", "sketch").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp"), F.count("*").alias("n")))
     solid = classes.where("sketch is not null")
-    first = solid.groupBy("fp").agg(F.min("rep").alias("a"))
-    same = solid.join(first, "fp").where("a <> rep").select("a", F.col("rep").alias("b"))
-    by_fp = _ends(solid.select(F.col("rep").alias("doc_id"), "fp"), max_bits)
-    near = written(connected(by_fp.union(same).union(sketch_links(solid.select("rep", "sketch"), similarity - MARGIN))))
+    by_fp = written(solid.groupBy("fp").agg(F.min("rep").alias("rep"), F.count("*").alias("n")))
+    same = join_hot(solid.select("fp", F.col("rep").alias("b")), by_fp.where("n > 1").select("fp", F.col("rep").alias("a"), "n"), ["fp"], solid.count()).where("a <> b").select("a", "b")
+    near = written(connected(fingerprint_links(by_fp, max_bits).union(same).union(sketch_links(solid.select("rep", "sketch"), similarity - MARGIN))))
     found = _only(texts.where("doc_id is not null"), near).select("doc_id", shingle_set(F.col("text"), words).alias("x")).select(F.col("doc_id").alias("rep"), "x.digest", "x.shingles")
     members = near.join(solid, F.col("node") == F.col("rep")).select("component", "rep", "digest", "sketch")
-    exact = connected(set_links(members.join(found, ["rep", "digest"]), similarity))
-    named = classes.join(exact, F.col("rep") == F.col("node"), "left").select(F.col("digest").alias("d"), F.coalesce("component", "rep").alias("c"))
-    out = fps.join(named, F.col("digest") == F.col("d"), "left")
-    return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("c")).alias("component_id"))
-
-
-def _classes(fps: DataFrame) -> DataFrame:
-    return fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"))
-
-
-def _ends(fps: DataFrame, max_bits: int) -> DataFrame:
-    """Links of fingerprints between the smallest ids that have them."""
-    classes = _classes(fps)
-    links = fingerprint_links(classes, max_bits)
-    return links.join(classes.withColumnRenamed("fp", "a"), "a").select("b", F.col("rep").alias("x")).join(classes.withColumnRenamed("fp", "b"), "b").select(F.col("x").alias("a"), F.col("rep").alias("b"))
-
-
-def _with_components(fps: DataFrame, ends: DataFrame) -> DataFrame:
-    classes = _classes(fps).join(connected(ends), F.col("rep") == F.col("node"), "left").select(F.col("fp").alias("f"), F.coalesce("component", "rep").alias("c"))
-    out = fps.join(classes, F.col("fp") == F.col("f"), "left")
-    return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("c")).alias("component_id"))
+    sets = written(members.join(found, ["rep", "digest"]))
+    exact = connected(set_links(sets, similarity))
+    named = classes.join(exact, F.col("rep") == F.col("node"), "left").select("digest", "n", F.coalesce("component", "rep").alias("component_id"))
+    out = _named(fps, named, "digest")
+    discard(sets, by_fp, near)
+    return out
 
 
 def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that have the smallest id of their component of near copies; rows of a null id stay."""
+    """The rows of ``docs`` that have the smallest id of their component of near copies; rows of a null id stay.
+
+    Near copies are texts that share ``similarity`` of their shingles of ``words``
+    words, counted exactly; fingerprints and sketches give the candidates. Null and
+    empty texts are copies of each other, so one of them stays. Repeated rows of the
+    id that stays all stay. Texts of any length are taken whole, columns pass through,
+    and an empty table gives an empty table.
+    """
     gone = near_copy_components(docs, words, max_bits, similarity, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, docs[id_col].cast("long") == gone["__gone"], "left_anti")

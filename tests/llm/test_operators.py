@@ -159,13 +159,18 @@ def test_simhash_long_document():
 def test_manhattan_cells_lose_no_link():
     rnd = random.Random(3)
     masks = simhash._cell_masks(4)
-    packed = lambda x: (x & 0x5555555555555555) + (x >> 1 & 0x5555555555555555)
+    odd = 0x5555555555555555
+    packed = lambda x: (x & odd) | (x >> 1 & odd) | (x & x >> 1 & odd) << 1
+    counts = lambda x: [(x >> 2 * k & 1) + (x >> 2 * k + 1 & 1) for k in range(32)]
     for _ in range(300):
         a = rnd.getrandbits(64)
         b = a
         for k in rnd.sample(range(64), rnd.randint(0, 4)):
             b ^= 1 << k
         assert any(packed(a) & m == packed(b) & m for m in masks)
+        c = rnd.getrandbits(64)
+        manhattan = sum(abs(x - y) for x, y in zip(counts(a), counts(c), strict=True))
+        assert manhattan == (packed(a) ^ packed(c)).bit_count() <= (a ^ c).bit_count()
 
 
 @pytest.mark.parametrize("hot", [500, 2])
