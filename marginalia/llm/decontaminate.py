@@ -5,10 +5,11 @@ Texts become tokens in which numbers, names and units are typed placeholders
 windows of template tokens are joined between documents and benchmark items; a pair
 of document and item is contaminated if an alignment covers enough of the item's
 tokens and its slots are consistent: each value of the item stands for one value of
-the document throughout. An alignment joins nearby shifts, so that words may be put
+the document throughout, and no two names of the item for the same. An alignment joins nearby shifts, so that words may be put
 in or left out. So copies are found as well as edited ones and questions asked again
 with other numbers and names. Windows of the item with few literals are hashed by
-their lower-cased tokens instead, and match only as they stand.
+their lower-cased tokens instead, and match only as they stand; items of under
+MIN_LITERALS tokens match only as a whole sentence.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import bounded_batches
+from .common import bounded_batches, written
 
 WINDOW, MIN_LITERALS, COVERAGE = 8, 4, 0.5
 #: Shifts of one alignment are this share of the item's tokens apart at most, or LEAST_SLACK tokens.
@@ -51,8 +52,15 @@ def _known(words: str) -> np.ndarray:
     return np.sort(tk.span_hashes(data, off[:-1], off[1:]))
 
 
-def template(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens of all rows: start, end, plain hash, template hash, whether it is a literal, whether it goes on the slot before it; and each row's first token."""
+def _capital(data: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Bytes of the capital letter at each start (Latin, Greek or Cyrillic), 0 if there is none."""
+    lead, second = data[start], data[np.minimum(start + 1, len(data) - 1)]
+    wide = ((lead == 0xC3) & (second >= 0x80) & (second <= 0x9E)) | ((lead == 0xCE) & (second >= 0x91) & (second <= 0xA9)) | ((lead == 0xD0) & (second >= 0x80) & (second <= 0xAF))
+    return np.where(_UPPER[lead], 1, np.where(wide, 2, 0))
+
+
+def template(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of all rows: start, end, plain hash, template hash, whether it is a literal, whether it goes on the slot before it, whether it begins a sentence; and each row's first token."""
     n = len(data)
     digit = _DIGIT[data]
     m = _WORD[data]
@@ -60,7 +68,7 @@ def template(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         m[1:-1] |= ((data[1:-1] == 0x2E) | (data[1:-1] == 0x2C)) & digit[:-2] & digit[2:]
     start, end, first = tk.mask_spans(m, off)
     if not len(start):
-        return start, end, np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, bool), first
+        return start, end, np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, bool), np.zeros(0, bool), first
     plain = h = tk.span_hashes(tk.LOWER[data], start, end)
     is_in = lambda known: known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
     opens = np.zeros(len(start), bool)  # first of its row
@@ -74,11 +82,13 @@ def template(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     unit = np.r_[False, number[:-1]] & ~opens & ~number & is_in(_known(UNITS))
     stops = np.r_[0, np.cumsum(_STOP[data])]
     sentence_start = opens | np.r_[True, stops[start[1:]] > stops[end[:-1]]]
-    low_second = (end - start > 1) & ~_UPPER[data[np.minimum(start + 1, n - 1)]] & (data[np.minimum(start + 1, n - 1)] > 57)
-    name = _UPPER[data[start]] & low_second & ~sentence_start & ~number & ~unit
+    capital = _capital(data, start)
+    after_it = np.minimum(start + capital, n - 1)
+    low_second = (capital > 0) & (end - start > capital) & ~_UPPER[data[after_it]] & (data[after_it] > 57)
+    name = low_second & ~sentence_start & ~number & ~unit
     h = np.where(number, _NUMBER, np.where(unit, _UNIT, np.where(name, _NAME, h)))
     goes_on = (name & before(name)) | (number & before(number) & (word | before(word)))
-    return start, end, plain, h, ~(number | unit | name), goes_on, first
+    return start, end, plain, h, ~(number | unit | name), goes_on, sentence_start, first
 
 
 def _windows(hashes: np.ndarray, literal: np.ndarray, first: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -100,10 +110,12 @@ def _fits(size: np.ndarray, length: int) -> np.ndarray:
 
 def _hit_batch(part: pa.RecordBatch, wanted, kinds: list[tuple[int, bool]], items: bool) -> pa.RecordBatch:
     data, off = tk.buffers(part.column("text"))
-    start, end, exact, h, literal, goes_on, first = template(data, off)
+    start, end, exact, h, literal, goes_on, opens, first = template(data, off)
     row_of = np.repeat(np.arange(part.num_rows), np.diff(first))
     raw = tk.LOWER[data].tobytes()
-    value = lambda s, e: " ".join(raw[s:e].decode("utf-8", "replace").split())
+    kind = np.where(h == _NUMBER, "0", np.where(h == _NAME, "N", "u"))
+    value = lambda k, s, e: f"{kind[k]}:{' '.join(raw[s:e].decode('utf-8', 'replace').split())}"
+    closes = np.r_[opens[1:], True] if len(opens) else opens  # opens is true at each row's first token
     heads = np.flatnonzero(~goes_on)
     ends = np.r_[heads[1:], len(start)]
     first_head = np.searchsorted(heads, first)
@@ -114,6 +126,8 @@ def _hit_batch(part: pa.RecordBatch, wanted, kinds: list[tuple[int, bool]], item
             at, w, rich = _windows(exact, literal, first, length)
             w, token, past = w ^ _PLAIN, at, at + length
             n_tokens, use = np.diff(first), ~rich if items else np.ones(len(at), bool)
+            if length < MIN_LITERALS and not items:
+                use &= opens[at] & closes[past - 1]
         else:
             at, w, use = _windows(h[heads], literal[heads], first_head, length)
             token, past = heads[at], ends[at + length - 1]
@@ -132,9 +146,9 @@ def _hit_batch(part: pa.RecordBatch, wanted, kinds: list[tuple[int, bool]], item
         long.append(np.full(len(use), length))
         as_is.append(np.full(len(use), plain))
         if plain:  # a document's equal the item's
-            slots += [[raw[start[k] : end[k]].decode("utf-8", "replace") for k in range(i, j) if not literal[k]] if items else None for i, j in zip(token.tolist(), past.tolist(), strict=True)]
+            slots += [[value(k, start[k], end[k]) for k in range(i, j) if not literal[k]] if items else None for i, j in zip(token.tolist(), past.tolist(), strict=True)]
         else:
-            slots += [[value(start[heads[k]], end[ends[k] - 1]) for k in range(i, i + length) if not literal[heads[k]]] for i in at[use].tolist()]
+            slots += [[value(heads[k], start[heads[k]], end[ends[k] - 1]) for k in range(i, i + length) if not literal[heads[k]]] for i in at[use].tolist()]
     cat = lambda x, t: np.concatenate(x).astype(t)
     ids = part.column("id").take(pa.array(cat(rows, np.int64)))
     tokens = np.diff(first)[cat(rows, np.int64)]
@@ -152,13 +166,14 @@ def benchmark_windows(items: DataFrame, id_col: str = "item_id", text_col: str =
     (of the whole item) count all. Items under WINDOW tokens are one window of their
     length; ones up to twice that also have windows of under half their length. Where
     windows have under MIN_LITERALS literals, plain ones of the tokens as they stand
-    are given in their place.
+    are given in their place. slots are the values of the window's slots, each with a
+    letter for its type. Null texts have no windows.
     """
 
     def run(batches):
         for batch in batches:
             for part in tk.chunks(batch):
-                yield _hit_batch(part, lambda w: np.ones(len(w), bool), [(n, plain) for n in range(MIN_LITERALS, WINDOW + 1) for plain in (False, True)], True)
+                yield _hit_batch(part, lambda w: np.ones(len(w), bool), [(n, True) for n in range(1, MIN_LITERALS)] + [(n, plain) for n in range(MIN_LITERALS, WINDOW + 1) for plain in (False, True)], True)
 
     bounded_batches(items.sparkSession)
     return items.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).distinct().mapInArrow(run, _SCHEMA)
@@ -187,6 +202,11 @@ def _document_hits(docs: DataFrame, hashes: np.ndarray, kinds: list[tuple[int, b
     return docs.mapInArrow(run, _SCHEMA)
 
 
+def _consistent(pairs, values: dict[str, str], names: dict[str, str]) -> bool:
+    """Whether each of the pairs (value in the item, value in the document) fits ``values`` and, for names, ``names`` the other way; both get them."""
+    return all(values.setdefault(i, d) == d and (i[0] != "N" or names.setdefault(d, i) == i) for i, d in pairs)
+
+
 def _joined(tokens: int, shifts: list[dict]) -> tuple[int, int, int, int]:
     """Tokens covered, windows matched, slot values and changed ones of the alignment that covers most.
 
@@ -196,7 +216,7 @@ def _joined(tokens: int, shifts: list[dict]) -> tuple[int, int, int, int]:
     parts = []
     for x in sorted(shifts, key=lambda x: x["shift"]):
         values: dict[str, str] = {}
-        if all(values.setdefault(v["i"], v["d"]) == v["d"] for v in x["slots"]):
+        if _consistent([(v["i"], v["d"]) for v in x["slots"]], values, {}):
             parts.append((x["shift"], {(w["at"], w["size"], w["h"]) for w in x["windows"]}, values))
     slack, low, high, best = max(LEAST_SLACK, int(SLACK * tokens)), 0, 0, (0, 0, 0, 0)
     for shift, windows, values in parts:
@@ -204,11 +224,14 @@ def _joined(tokens: int, shifts: list[dict]) -> tuple[int, int, int, int]:
             low += 1
         while high < len(parts) and parts[high][0] <= shift + slack:
             high += 1
-        windows, values = set(windows), dict(values)
+        windows, values, names = set(windows), dict(values), {d: i for i, d in values.items() if i[0] == "N"}
         for _, more, others in sorted(parts[low:high], key=lambda p: (-len(p[1]), abs(p[0] - shift), p[0])):
-            if not more <= windows and all(values.get(i, d) == d for i, d in others.items()):
+            if more <= windows:
+                continue
+            both, back = dict(values), dict(names)
+            if _consistent(others.items(), both, back):
                 windows |= more
-                values |= others
+                values, names = both, back
         covered = len({k for at, size, _ in windows for k in range(at, at + size)})
         best = max(best, (covered, len(windows), len(values), sum(i != d for i, d in values.items())), key=lambda b: b[:2])
     return best
@@ -220,12 +243,14 @@ def contaminated_pairs(docs: DataFrame, items: DataFrame, coverage: float = COVE
     matched of the item's windows stand in the document in one alignment of nearby
     shifts, with consistent slots, and cover ``coverage`` of the item's tokens and
     WINDOW tokens (or all) at least; n_changed of the n_slots different slot values
-    differ from the item's. Texts without tokens, items of fewer than MIN_LITERALS
-    tokens, null texts and rows of a null id match nothing. A repeated row gives its
-    pairs once; empty tables give none.
+    differ from the item's. Items of fewer than MIN_LITERALS tokens match where they
+    are a whole sentence or line. Texts without tokens, null texts and rows of a null
+    id match nothing. Texts of any length are taken whole. A repeated row gives its
+    pairs once; other columns are left out, so their names can't clash; empty tables
+    give none.
     """
     bounded_batches(docs.sparkSession)
-    bench = benchmark_windows(items).cache()
+    bench = written(benchmark_windows(items))
     found = bench.agg(F.count_distinct("h").alias("n")).first()["n"]
     blocks = -(-found // block_windows)
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))

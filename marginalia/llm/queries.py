@@ -55,8 +55,18 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.select("doc_id", *[pii.count_of(F.col("base"), k).alias(f"n_{k}") for k in pii.PATTERNS], F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"), scores.alias("scores"))
 
 
+#: Replies with quotes, made of the messages of conversations, which have none: by turn and conversation a reply quotes the message before, that and the one before it in two levels, the first line of the one before it, or nothing.
+QUOTED = """
+    SELECT c.conv_id, c.turn, c.role, CASE
+      WHEN (c.conv_id + c.turn) % 4 = 1 AND a.text IS NOT NULL THEN concat('> ', replace(a.text, chr(10), concat(chr(10), '> ')), chr(10), c.text)
+      WHEN (c.conv_id + c.turn) % 4 = 2 AND b.text IS NOT NULL THEN concat('>> ', replace(b.text, chr(10), concat(chr(10), '>> ')), chr(10), '> ', replace(a.text, chr(10), concat(chr(10), '> ')), chr(10), c.text)
+      WHEN (c.conv_id + c.turn) % 4 = 3 AND b.text IS NOT NULL THEN concat('> ', translate(split_part(b.text, chr(10), 1), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), chr(10), c.text)
+      ELSE c.text END AS text
+    FROM {conversations} c LEFT JOIN {conversations} a ON a.conv_id = c.conv_id AND a.turn = c.turn - 1 LEFT JOIN {conversations} b ON b.conv_id = c.conv_id AND b.turn = c.turn - 2"""
+
+
 def op8_chat_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quotes.reply_threads(table(spark, sf_dir, "conversations"))
+    return quotes.conversation_records(quotes.reply_threads(spark.sql(QUOTED, conversations=table(spark, sf_dir, "conversations"))))
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,10 +116,30 @@ ORACLES = {
                  FROM words LEFT JOIN gone ON gone.doc_id = words.doc_id AND gone.i = words.i GROUP BY words.doc_id)
         SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_words, coalesce(g, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
         FROM d LEFT JOIN kept USING (doc_id)""",
-    "op8_chat_quotes": r"""
-        SELECT conv_id, turn, role, NULL::BIGINT AS parent_turn, turn AS thread_turn, 0::BIGINT AS n_quotes,
-               coalesce(text, '') AS body, '<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') AS formatted
-        FROM conversations WHERE NOT regexp_matches(coalesce(text, ''), '(^|\n)\s*>')""",
+    "op8_chat_quotes": rf"""
+        WITH RECURSIVE q AS ({QUOTED.replace("{conversations}", "conversations")}),
+        lines AS (SELECT conv_id, turn, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM (SELECT conv_id, turn, string_split(coalesce(text, ''), chr(10)) AS l FROM q)),
+        cut AS (SELECT conv_id, turn, i, x, regexp_extract(x, '^\s*(?:>\s?)+', 0) AS marks FROM lines),
+        levels AS (SELECT conv_id, turn, i, length(marks) - length(replace(marks, '>', '')) AS level, substr(x, length(marks) + 1) AS t FROM cut),
+        islands AS (SELECT *, i - row_number() OVER (PARTITION BY conv_id, turn, level ORDER BY i) AS g FROM levels),
+        passages AS (SELECT conv_id, turn, level, string_agg(t, ' ' ORDER BY i) AS t FROM islands WHERE level > 0 GROUP BY conv_id, turn, level, g
+                     UNION ALL SELECT conv_id, turn, level, t FROM levels WHERE level > 0),
+        quoting AS (SELECT DISTINCT conv_id, turn, level, trim(regexp_replace(lower(t), '\s+', ' ', 'g')) AS t FROM passages),
+        own AS (SELECT conv_id, turn, max(level) > 0 AS quoted, coalesce(string_agg(t, chr(10) ORDER BY i) FILTER (level = 0), '') AS t FROM levels GROUP BY conv_id, turn),
+        bodies AS (SELECT conv_id, turn, CASE WHEN quoted THEN regexp_replace(t, '^\s+|\s+$', '', 'g') ELSE t END AS body FROM own),
+        pieces AS (SELECT conv_id, turn, unnest([body] || string_split(body, chr(10)) || regexp_split_to_array(body, '\n\s*\n')) AS t FROM bodies),
+        said AS (SELECT conv_id, trim(regexp_replace(lower(t), '\s+', ' ', 'g')) AS t, min(turn) AS turn FROM pieces GROUP BY ALL),
+        hits AS (SELECT k.conv_id, k.turn AS reply, s.turn AS parent, k.level, sum(length(k.t)) AS n FROM quoting k JOIN said s ON s.conv_id = k.conv_id AND s.t = k.t WHERE k.t <> '' AND s.turn < k.turn GROUP BY ALL),
+        parents AS (SELECT conv_id, reply, parent FROM hits QUALIFY row_number() OVER (PARTITION BY conv_id, reply ORDER BY level, n DESC, parent DESC) = 1),
+        roots AS (SELECT conv_id, turn, turn AS root FROM q WHERE (conv_id, turn) NOT IN (SELECT conv_id, reply FROM parents)
+                  UNION ALL SELECT p.conv_id, p.reply, r.root FROM roots r JOIN parents p ON p.conv_id = r.conv_id AND p.parent = r.turn),
+        counts AS (SELECT conv_id, turn, count(DISTINCT (level, t)) AS n_quotes FROM passages GROUP BY ALL),
+        rows AS (SELECT r.conv_id, r.root, r.turn, q.role, b.body, p.parent, coalesce(c.n_quotes, 0) AS n_quotes FROM roots r JOIN q USING (conv_id, turn) JOIN bodies b USING (conv_id, turn)
+                 LEFT JOIN parents p ON p.conv_id = r.conv_id AND p.reply = r.turn LEFT JOIN counts c ON c.conv_id = r.conv_id AND c.turn = r.turn)
+        SELECT conv_id, root AS thread_turn, turn // 512 AS part, count(*) AS n_messages, string_agg(CAST(turn AS VARCHAR), ',' ORDER BY turn) AS turns,
+               string_agg(coalesce(CAST(parent AS VARCHAR), '-'), ',' ORDER BY turn) AS parents, sum(n_quotes)::BIGINT AS n_quotes,
+               string_agg('<|' || coalesce(role, '') || '|>' || chr(10) || body, chr(10) ORDER BY turn) AS text
+        FROM rows GROUP BY conv_id, root, turn // 512""",
 }
 
 

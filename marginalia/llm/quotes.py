@@ -4,8 +4,8 @@ Lines of a message that begin with > are quotes, their number of marks the level
 Runs of lines of one level are quoted passages. Passages and single lines are
 normalised, hashed and joined to what messages say themselves, in the same
 conversation; a message answers the earlier one that it quotes most of. Threads
-follow from those links, and messages come back without quotes, with the keys
-that put them in reply order.
+follow from those links, and messages come back without quotes, as rows with the
+keys that put them in reply order, or as a record for each thread.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from .components import connected
 
 #: Code points that a normalised quoted passage needs: short messages are answered too.
 MIN_QUOTE = 1
+#: Turns that one record of a thread spans at most, so that no thread makes a row without bound.
+PART_TURNS = 512
 _MARKS = r"^\s*(?:>\s?)+"
 
 
@@ -42,7 +44,12 @@ def _passages(lines: Column) -> Column:
 
 
 def parse_quotes(messages: DataFrame, text_col: str = "text") -> DataFrame:
-    """``messages`` with body (its own lines, blank ends stripped) and quotes: (level, text) of each quoted run and line."""
+    """``messages`` with body (its own lines, blank ends stripped) and quotes: (level, text) of each quoted run and line.
+
+    A null text is empty; one without quotes is its own body as it stands. Texts of any
+    length are taken whole; the runs of a text are folded in time that grows with the
+    square of their number. Columns named body or quotes are replaced.
+    """
     quoted = F.rlike(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(r"(?m)^\s*>"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     lines = _lines(text)
@@ -77,3 +84,27 @@ def reply_threads(messages: DataFrame, conv_col: str = "conv_id", turn_col: str
     roots = connected(parents.select(name("by").alias("a"), name("parent_turn").alias("b"))).select(F.col("node.conv_id").alias("rc"), F.col("node.turn").alias("rt"), F.col("component.turn").alias("root"))
     linked = m.join(parents.withColumnRenamed("conv_id", "pc"), (F.col("conv_id") == F.col("pc")) & (F.col("turn") == F.col("by")), "left").join(roots, (F.col("conv_id") == F.col("rc")) & (F.col("turn") == F.col("rt")), "left")
     return linked.select("conv_id", "turn", "role", "parent_turn", F.coalesce("root", "turn").alias("thread_turn"), F.size("quotes").cast("long").alias("n_quotes"), "body", F.concat(F.lit("<|"), F.coalesce("role", F.lit("")), F.lit("|>\n"), "body").alias("formatted"))
+
+
+def conversation_records(threads: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
+    """(conv_id, thread_turn, part, n_messages, turns, parents, n_quotes, text) from what ``reply_threads`` gives: a record for each thread.
+
+    A thread's messages stand in reply order, by turn: each after the one that it
+    answers. turns and parents list them and what they answer ("-" for none), joined
+    by commas; text joins the formatted messages by line feeds. A thread that spans
+    more than ``part_turns`` turns has a record for each such stretch, numbered by
+    part; equal messages of one turn count once. Messages without a conversation or
+    turn have a record each, equal ones one.
+    """
+    alone = F.when(F.col("conv_id").isNull() | F.col("turn").isNull(), F.xxhash64("role", "body"))
+    rows = threads.withColumns({"__alone": alone, "part": F.floor(F.col("turn") / part_turns).cast("long")})
+    message = F.struct("turn", "parent_turn", "n_quotes", "formatted")
+    by = rows.groupBy("conv_id", "thread_turn", "part", "__alone").agg(F.sort_array(F.collect_set(message)).alias("m"))
+    listed = lambda c: F.array_join(F.transform("m", lambda x: F.coalesce(x[c].cast("string"), F.lit("-"))), ",")
+    n_quotes = F.aggregate("m", F.lit(0).cast("long"), lambda n, x: n + x["n_quotes"])
+    return by.select("conv_id", "thread_turn", "part", F.size("m").cast("long").alias("n_messages"), listed("turn").alias("turns"), listed("parent_turn").alias("parents"), n_quotes.alias("n_quotes"), F.array_join(F.transform("m", lambda x: x["formatted"]), "\n").alias("text"))
+
+
+def reply_ordered(threads: DataFrame) -> DataFrame:
+    """The rows of ``threads`` in reply order over all partitions, however long a thread is: by conversation, thread and turn."""
+    return threads.orderBy("conv_id", "thread_turn", "turn")

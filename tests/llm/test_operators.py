@@ -426,7 +426,17 @@ def test_short_quotes(spark):
             first.setdefault(own, turn)
     got = quotes.reply_threads(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
     assert {(r["conv_id"], r["turn"]): r["parent_turn"] for r in got} == want
+    records = quotes.conversation_records(quotes.reply_threads(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")), 8).collect()
     top = roots(want, [(k, (k[0], v)) for k, v in want.items() if v is not None])
+    seen = {}
+    for r in records:
+        turns = [int(x) for x in r["turns"].split(",")]
+        assert turns == sorted(turns) and {t // 8 for t in turns} == {r["part"]} and len(turns) == r["n_messages"] == len(r["parents"].split(","))
+        assert r["text"].count("<|user|>") == len(turns) and ">" not in r["text"].replace("<|user|>", "")
+        seen |= {(r["conv_id"], t): (r["thread_turn"], None if p == "-" else int(p)) for t, p in zip(turns, r["parents"].split(","), strict=True)}
+    assert seen == {k: (top[k][1], want[k]) for k in want}
+    ordered = [(r["conv_id"], r["thread_turn"], r["turn"]) for r in quotes.reply_ordered(quotes.reply_threads(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()]
+    assert ordered == sorted(ordered) and len(ordered) == len(want)
     assert {(r["conv_id"], r["turn"]): r["thread_turn"] for r in got} == {k: v[1] for k, v in top.items()}
 
 
@@ -452,6 +462,48 @@ def test_decontamination(spark):
     assert decontaminate.clean_documents(frame(spark, rows), items).count() == 6
 
 
+def test_decontamination_of_short_items_and_names(spark):
+    items = [(1, "Two short words"), (2, "Yes"), (3, "Why?"), (4, "when Tom met Anna they walked to the river and Tom sang while Anna slept there"), (5, "gestern sah Änne den Ömer bei der alten Mühle und Änne gab Ömer das kleine Buch zurück")]
+    rows = [(1, "Well. Two short words! More"), (2, "two SHORT words"), (3, "not two short words here"), (4, "two short"), (5, "yes, we said so"), (6, "He said: yes"), (7, "when Bob met Eve they walked to the river and Bob sang while Eve slept there"), (8, "when Bob met Bob they walked to the river and Bob sang while Bob slept there"), (9, "gestern sah Ödön den Ämil bei der alten Mühle und Ödön gab Ämil das kleine Buch zurück"), (10, "why")]
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated_pairs(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(1, 1), (2, 1), (6, 2), (7, 4), (9, 5), (10, 3)}
+
+
+def test_decontamination_against_brute_force(spark):
+    """Items and documents of literals only: windows of an item within a span of shifts, by comparing every place of both."""
+    rnd = random.Random(44)
+    words = [f"v{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
+    items = {k: [rnd.choice(words) for _ in range(rnd.choice([4, 5, 8, 9, 12, 20, 33]))] for k in range(40)}
+    docs = {}
+    for d in range(150):
+        out = [rnd.choice(words) for _ in range(rnd.randint(0, 30))]
+        for _ in range(rnd.randint(1, 3)):
+            part = list(rnd.choice(list(items.values())))
+            for _ in range(rnd.randint(0, 3)):
+                at = rnd.randrange(len(part))
+                part[at : at + rnd.randint(0, 1)] = rnd.choice([[], ["put"], ["in", "it"]])
+                part = part or ["x"]
+            out += part[rnd.randint(0, 2) :] + [rnd.choice(words) for _ in range(rnd.randint(0, 12))]
+        docs[d] = out
+    want = {}
+    for i, item in items.items():
+        n = len(item)
+        sizes = {min(n, 8)} | ({(n - 1) // 2} if n > 8 and 4 <= (n - 1) // 2 <= 8 else set())
+        for d, doc in docs.items():
+            by = defaultdict(set)
+            for size in sizes:
+                for a in range(n - size + 1):
+                    for b in range(len(doc) - size + 1):
+                        if item[a : a + size] == doc[b : b + size]:
+                            by[b - a].add((a, size))
+            slack = max(4, n // 2)
+            best = max((len({k for o, w in by.items() if abs(o - shift) <= slack for a, size in w for k in range(a, a + size)}) for shift in by), default=0)
+            if best >= max(n / 2, min(n, 8)):
+                want[(d, i)] = best
+    got = decontaminate.contaminated_pairs(frame(spark, [(d, " ".join(x)) for d, x in docs.items()]), spark.createDataFrame([(i, " ".join(x)) for i, x in items.items()], "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == set(want) and 100 < len(want) < 1000
+
+
 def test_decontamination_of_edited_copies(spark):
     words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(400)]
     rnd = random.Random(8)
