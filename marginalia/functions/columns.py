@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed value: matches a character that isn't white space in Unicode's sense.
@@ -30,20 +30,35 @@ def parse_period(c: Column) -> Column:
     return got(2) * 4 + got(1) - 1
 
 
+def parse_json(df: DataFrame, text: str) -> Column:
+    """A variant of the JSON in column ``text`` of ``df``, or null for what isn't JSON; of a repeated key the last value counts.
+
+    Sets spark.sql.variant.allowDuplicateKeys, without which documents that repeat a key count as no JSON.
+    """
+    df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    return F.try_parse_json(text)
+
+
+def at_least_parallel(df: DataFrame) -> DataFrame:
+    """``df``, dealt to all cores if it has fewer partitions than there are: small single files would be read in one task."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def member(v: Column, path: str, kind: str = "variant") -> Column:
     return F.try_variant_get(v, path, kind)
 
 
-def kind_of(v: Column) -> Column:
-    """object, array, string, integer, number, boolean or null; SQL NULL if missing. 17.0 is an integer."""
+def kind_name(s: Column, d: Column) -> Column:
+    """object, array, string, integer, number, boolean or null from a variant's schema and its value as a double; SQL NULL if missing. 17.0 is an integer."""
+    return (
+        F.when(s.startswith("OBJECT"), "object").when(s.startswith("ARRAY"), "array").when(s == "STRING", "string").when(s == "VOID", "null").when(s == "BOOLEAN", "boolean")
+        .when((s == "BIGINT") | s.rlike(r"^DECIMAL\(\d+,0\)$"), "integer").when(s.startswith("DECIMAL"), F.when(d == F.floor(d), "integer").otherwise("number"))
+        .when(s.isin("DOUBLE", "FLOAT"), F.when(d == F.floor(d), "integer").otherwise("number")).when(s.isNotNull(), "other")
+    )
 
-    def name(x: Column) -> Column:
-        s, d = x["s"], x["d"]
-        return (
-            F.when(s.startswith("OBJECT"), "object").when(s.startswith("ARRAY"), "array").when(s == "STRING", "string").when(s == "VOID", "null").when(s == "BOOLEAN", "boolean")
-            .when((s == "BIGINT") | s.rlike(r"^DECIMAL\(\d+,0\)$"), "integer").when(s.startswith("DECIMAL"), F.when(d == F.floor(d), "integer").otherwise("number"))
-            .when(s.isin("DOUBLE", "FLOAT"), F.when(d == F.floor(d), "integer").otherwise("number")).when(s.isNotNull(), "other")
-        )
 
+def kind_of(v: Column) -> Column:
+    """``kind_name`` of a variant."""
     once = F.struct(F.schema_of_variant(v).alias("s"), F.try_variant_get(v, "$", "double").alias("d"))
-    return F.transform(F.array(once), name)[0]  # inside lambdas Spark evaluates each mention of an expression anew
+    return F.transform(F.array(once), lambda x: kind_name(x["s"], x["d"]))[0]  # inside lambdas Spark evaluates each mention of an expression anew

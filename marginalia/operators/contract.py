@@ -1,7 +1,8 @@
 """The analysis contract: checks, and facts, sentences and visuals as rows.
 
-A document is parsed once to a variant; its rules are one array of path and
-keyword, made in place, so the check needs no shuffle.
+Documents are parsed to variants. Rules of the root, of sentences and of facts are
+each one array of path and keyword over rows of plain columns, so the check needs
+no shuffle.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import kind_of, member
+from ..functions.columns import at_least_parallel, kind_name, kind_of, member, parse_json
 
 #: Fixed values of the analysis contract.
 VERSION = "0.1"
@@ -17,7 +18,6 @@ LISTS = ("executiveSummary", "facts", "trends", "risks", "opportunities", "recom
 MEMBERS = ("schemaVersion", *LISTS)
 FACT_STRINGS = ("id", "metric", "unit", "period")
 FACT_MEMBERS = ("id", "metric", "value", "unit", "period", "source", "confidence")
-FACT = "struct<id:string,metric:string,value:double,unit:string,period:string,source:struct<page:int>,confidence:double>"
 
 
 def _rule(broken: Column, path: Column, keyword: str) -> Column:
@@ -28,75 +28,88 @@ def _extra_keys(v: Column, names: tuple[str, ...]) -> Column:
     return F.size(F.array_except(F.json_object_keys(F.to_json(v)), F.array(*map(F.lit, names)))) > 0
 
 
-def _string_rules(v: Column, kind: Column, path: Column) -> list[Column]:
-    return [_rule(kind != "string", path, "type"), _rule((kind == "string") & (F.length(F.try_variant_get(v, "$", "string")) < 1), path, "minLength")]
+def _kinds(rows: DataFrame, of: dict[str, Column]) -> DataFrame:
+    """``rows`` with m_, s_, d_ and k_ columns for each name: the variant, its schema, its value as a double, its kind."""
+    rows = rows.withColumns({f"m_{k}": v for k, v in of.items()})
+    rows = rows.withColumns({f"s_{k}": F.schema_of_variant(f"m_{k}") for k in of} | {f"d_{k}": F.try_variant_get(f"m_{k}", "$", "double") for k in of})
+    return rows.withColumns({f"k_{k}": kind_name(F.col(f"s_{k}"), F.col(f"d_{k}")) for k in of})
 
 
-def _number(v: Column) -> Column:
-    return F.try_variant_get(v, "$", "double")
+def _string_rules(kind: Column, text: Column, path: Column) -> list[Column]:
+    return [_rule(kind != "string", path, "type"), _rule((kind == "string") & (F.length(text) < 1), path, "minLength")]
 
 
-def _with_members(f: Column) -> Column:
-    """A fact, its members and its page."""
-    return F.struct(f.alias("fact"), *[member(f, f"$.{k}").alias(k) for k in FACT_MEMBERS], member(f, "$.source.page").alias("page"))
+def _broken(rows: DataFrame, rules: list[Column]) -> DataFrame:
+    return rows.select("analysis_id", F.explode(F.array_compact(F.array(*rules))).alias("r")).select("analysis_id", "r.path", "r.keyword")
 
 
-def _with_kinds(x: Column) -> Column:
-    return F.struct(x.alias("of"), F.struct(*[kind_of(x[k]).alias(k) for k in ("fact", *FACT_MEMBERS, "page")]).alias("kind"))
+def _root_violations(v: DataFrame) -> DataFrame:
+    kind = lambda k: F.col(f"k_{k}")
+    rows = _kinds(v, {"root": F.col("v")} | {k: member(F.col("v"), f"$.{k}") for k in MEMBERS})
+    is_object = kind("root") == "object"
+    rules = [_rule(F.col("v").isNull(), F.lit(""), "parse"), _rule(~is_object, F.lit(""), "type"), _rule(is_object & _extra_keys(F.col("v"), MEMBERS), F.lit(""), "additionalProperties")]
+    rules += [_rule(is_object & kind(k).isNull(), F.lit(f"/{k}"), "required") for k in MEMBERS]
+    version = F.try_variant_get("v", "$.schemaVersion", "string")
+    rules.append(_rule(~((kind("schemaVersion") == "string") & (version == VERSION)), F.lit("/schemaVersion"), "const"))
+    rules += [_rule(kind(k) != "array", F.lit(f"/{k}"), "type") for k in LISTS]
+    return _broken(rows, rules)
+
+
+def _items(v: DataFrame, name: str) -> DataFrame:
+    """(analysis_id, pos, item): the members of an array of each document."""
+    return v.select("analysis_id", F.posexplode(F.try_variant_get("v", f"$.{name}", "array<variant>")).alias("pos", "item"))
 
 
-def _fact_rules(x: Column, i: Column) -> Column:
-    at = lambda tail="": F.concat(F.lit("/facts/"), i.cast("string"), F.lit(tail))
-    of, kind = x["of"], x["kind"]
-    numeric = lambda k: kind[k].isin("integer", "number")
-    is_object, has_source = kind["fact"] == "object", kind["source"] == "object"
-    rules = [_rule(~is_object, at(), "type"), _rule(is_object & _extra_keys(of["fact"], FACT_MEMBERS), at(), "additionalProperties")]
-    rules += [_rule(is_object & kind[k].isNull(), at(f"/{k}"), "required") for k in FACT_MEMBERS]
+def _summary_violations(v: DataFrame) -> DataFrame:
+    rows = _kinds(_items(v, "executiveSummary"), {"item": F.col("item")})
+    return _broken(rows, _string_rules(F.col("k_item"), F.try_variant_get("item", "$", "string"), F.concat(F.lit("/executiveSummary/"), F.col("pos").cast("string"))))
+
+
+def _fact_violations(v: DataFrame) -> DataFrame:
+    at = lambda tail="": F.concat(F.lit("/facts/"), F.col("pos").cast("string"), F.lit(tail))
+    kind, number = (lambda k: F.col(f"k_{k}")), (lambda k: F.col(f"d_{k}"))
+    numeric = lambda k: kind(k).isin("integer", "number")
+    rows = _kinds(_items(v, "facts"), {"fact": F.col("item")} | {k: member(F.col("item"), f"$.{k}") for k in FACT_MEMBERS} | {"page": member(F.col("item"), "$.source.page")})
+    is_object, has_source = kind("fact") == "object", kind("source") == "object"
+    rules = [_rule(~is_object, at(), "type"), _rule(is_object & _extra_keys(F.col("item"), FACT_MEMBERS), at(), "additionalProperties")]
+    rules += [_rule(is_object & kind(k).isNull(), at(f"/{k}"), "required") for k in FACT_MEMBERS]
     for k in FACT_STRINGS:
-        rules += _string_rules(of[k], kind[k], at(f"/{k}"))
+        rules += _string_rules(kind(k), F.try_variant_get("item", f"$.{k}", "string"), at(f"/{k}"))
     rules.append(_rule(~numeric("value"), at("/value"), "type"))
-    rules += [_rule(~has_source, at("/source"), "type"), _rule(has_source & _extra_keys(of["source"], ("page",)), at("/source"), "additionalProperties"), _rule(has_source & kind["page"].isNull(), at("/source/page"), "required")]
-    rules += [_rule(kind["page"] != "integer", at("/source/page"), "type"), _rule(numeric("page") & (_number(of["page"]) < 1), at("/source/page"), "minimum")]
-    c = _number(of["confidence"])
+    rules += [_rule(~has_source, at("/source"), "type"), _rule(has_source & _extra_keys(F.col("m_source"), ("page",)), at("/source"), "additionalProperties"), _rule(has_source & kind("page").isNull(), at("/source/page"), "required")]
+    rules += [_rule(kind("page") != "integer", at("/source/page"), "type"), _rule(numeric("page") & (number("page") < 1), at("/source/page"), "minimum")]
+    c = number("confidence")
     rules += [_rule(~numeric("confidence"), at("/confidence"), "type"), _rule(numeric("confidence") & (c < 0), at("/confidence"), "minimum"), _rule(numeric("confidence") & (c > 1), at("/confidence"), "maximum")]
-    return F.array_compact(F.array(*rules))
+    return _broken(rows, rules)
 
 
 def analysis_violations(df: DataFrame, id_col: str = "analysis_id", raw_col: str = "raw") -> DataFrame:
     """(analysis_id, path, keyword): a row for each broken rule; what isn't JSON breaks the rule "parse".
 
-    Members and their kinds are made once a fact, before its rules.
+    Facts and sentences become rows, so that their rules are compiled as plain
+    columns; nothing is shuffled, but for small single files, which are dealt to all cores.
     """
-    v = df.select(F.col(id_col).alias("analysis_id"), F.try_parse_json(raw_col).alias("v"))
-    v = v.select("*", kind_of(F.col("v")).alias("root"), *[kind_of(member(F.col("v"), f"$.{k}")).alias(f"kind_{k}") for k in MEMBERS])
-    is_object = F.col("root") == "object"
-    kind = lambda k: F.col(f"kind_{k}")
-    rules = [_rule(F.col("v").isNull(), F.lit(""), "parse"), _rule(~is_object, F.lit(""), "type"), _rule(is_object & _extra_keys(F.col("v"), MEMBERS), F.lit(""), "additionalProperties")]
-    rules += [_rule(is_object & kind(k).isNull(), F.lit(f"/{k}"), "required") for k in MEMBERS]
-    version = F.try_variant_get("v", "$.schemaVersion", "string")
-    rules.append(_rule(~((kind("schemaVersion") == "string") & (version == VERSION)), F.lit("/schemaVersion"), "const"))
-    rules += [_rule(kind(k) != "array", F.lit(f"/{k}"), "type") for k in LISTS]
-    items = lambda k: F.coalesce(F.try_variant_get(F.col("v"), f"$.{k}", "array<variant>"), F.array().cast("array<variant>"))
-    path = lambda i: F.concat(F.lit("/executiveSummary/"), i.cast("string"))
-    said = F.transform(items("executiveSummary"), lambda s: F.struct(s.alias("s"), kind_of(s).alias("kind")))
-    summary = F.flatten(F.transform(said, lambda x, i: F.array_compact(F.array(*_string_rules(x["s"], x["kind"], path(i))))))
-    facts = F.flatten(F.transform(F.transform(F.transform(items("facts"), _with_members), _with_kinds), _fact_rules))
-    broken = F.explode(F.concat(F.array_compact(F.array(*rules)), summary, facts))
-    return v.select("analysis_id", broken.alias("r")).select("analysis_id", "r.path", "r.keyword")
+    v = at_least_parallel(df.select(F.col(id_col).alias("analysis_id"), F.col(raw_col).alias("raw")))
+    v = v.select("analysis_id", parse_json(v, "raw").alias("v"))
+    return _root_violations(v).union(_summary_violations(v)).union(_fact_violations(v))
 
 
 def analysis_minimum_ok(df: DataFrame, raw_col: str = "raw") -> DataFrame:
     """``df`` with minimum_ok: the version is the string "0.1" and facts is an array."""
-    v = F.try_parse_json(raw_col)
+    v = parse_json(df, raw_col)
     version = member(v, "$.schemaVersion")
     ok = (kind_of(version) == "string") & (F.try_variant_get(version, "$", "string") == VERSION) & (kind_of(member(v, "$.facts")) == "array")
     return df.withColumn("minimum_ok", F.coalesce(ok, F.lit(False)))
 
 
 def explode_facts(df: DataFrame, id_col: str = "analysis_id", raw_col: str = "raw") -> DataFrame:
-    """A row for each fact of valid documents, its place kept and its page flat."""
-    facts = F.from_json(F.col(raw_col), f"struct<facts:array<{FACT}>>")["facts"]
-    return df.select(F.col(id_col).alias("analysis_id"), F.posexplode(facts).alias("fact_pos", "f")).select("analysis_id", "fact_pos", F.col("f.id").alias("fact_id"), "f.metric", "f.value", "f.unit", "f.period", F.col("f.source.page").alias("page"), "f.confidence")
+    """A row for each fact, its place kept and its page flat: null for members that a document lacks or has in another type. A page of 17.0 is 17."""
+    v = df.select(F.col(id_col).alias("analysis_id"), parse_json(df, raw_col).alias("v"))
+    get = lambda path, kind: F.try_variant_get("item", path, kind)
+    rows = _items(v, "facts").withColumn("p", get("$.source.page", "double"))
+    page = F.when(F.col("p") == F.floor("p"), F.col("p").try_cast("int"))
+    text = [get(f"$.{k}", "string") for k in FACT_STRINGS]
+    return rows.select("analysis_id", F.col("pos").alias("fact_pos"), text[0].alias("fact_id"), text[1].alias("metric"), get("$.value", "double").alias("value"), text[2].alias("unit"), text[3].alias("period"), page.alias("page"), get("$.confidence", "double").alias("confidence"))
 
 
 def explode_summary(df: DataFrame, id_col: str = "analysis_id", raw_col: str = "raw") -> DataFrame:

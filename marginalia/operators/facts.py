@@ -7,16 +7,20 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import parse_period, stable_id
 
-FORMULA = "sum(l_extendedprice * (1 - l_discount))"
+#: How a trend is computed; names of the analysis document are those of its contract.
 TREND_FORMULA = "round(100 * (value - prior) / prior, 4)"
 
 
-def compute_facts(rows: DataFrame, entity: Column, when: Column, amount: Column, metric: str = "Revenue", unit: str = "USD") -> DataFrame:
-    """One fact per entity and quarter: amounts added as decimals, with formula and number of input rows."""
+def compute_facts(rows: DataFrame, entity: Column, when: Column, amount: str, page: Column, metric: str = "Revenue", unit: str = "USD") -> DataFrame:
+    """One fact per entity and quarter: values of the SQL expression ``amount`` added as decimals.
+
+    The formula kept with each fact is made of that expression, so it tells what was
+    computed; ``page`` is the source's page, over the columns entity and qidx.
+    """
     quarter, year = F.quarter(when), F.year(when)
-    by = rows.select(entity.cast("string").alias("entity"), (year * 4 + quarter - 1).alias("qidx"), amount.cast("decimal(18,4)").alias("a")).groupBy("entity", "qidx").agg(F.sum("a").cast("double").alias("value"), F.count("*").alias("input_rows"))
+    by = rows.select(entity.cast("string").alias("entity"), (year * 4 + quarter - 1).alias("qidx"), F.expr(amount).cast("decimal(18,4)").alias("a")).groupBy("entity", "qidx").agg(F.sum("a").cast("double").alias("value"), F.count("*").alias("input_rows"))
     period = F.concat(F.lit("Q"), (F.col("qidx") % 4 + 1).cast("string"), F.lit(" "), F.floor(F.col("qidx") / 4).cast("string"))
-    return by.select(stable_id(F.lit(metric), F.col("entity"), F.col("qidx")).alias("id"), "entity", F.lit(metric).alias("metric"), F.lit(unit).alias("unit"), period.alias("period"), "qidx", "value", F.lit(FORMULA).alias("formula"), "input_rows", (1 + F.col("qidx") % 20).cast("int").alias("page"), F.lit(1.0).alias("confidence"))
+    return by.select(stable_id(F.lit(metric), F.col("entity"), F.col("qidx")).alias("id"), "entity", F.lit(metric).alias("metric"), F.lit(unit).alias("unit"), period.alias("period"), "qidx", "value", F.lit(f"sum({amount})").alias("formula"), "input_rows", page.cast("int").alias("page"), F.lit(1.0).alias("confidence"))
 
 
 def compute_trends(facts: DataFrame) -> DataFrame:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import at_least_parallel
+
 #: Kinds of provenance that may be used, and the number of fixtures aimed at.
 PROVENANCE = ("synthetic", "licensed", "anonymized", "opted-in")
-TARGET, TOLERANCE, KEY_WORDS = 20, 1e-6, 4
+TARGET, TOLERANCE = 20, 1e-6
+#: Code points of claims that go to the tasks in one pass.
+BLOCK_CHARS = 16 << 20
 
 
 def admit_fixtures(fixtures: DataFrame) -> DataFrame:
@@ -38,28 +43,41 @@ def fact_accuracy(scored: DataFrame) -> DataFrame:
     return by.select("fixture_id", "n", "n_match", ratio(F.col("n")).alias("accuracy"), ratio(F.col("n") - F.col("n_missing")).alias("precision"), ratio(F.col("n") - F.col("n_unexpected")).alias("recall"))
 
 
-def _tokens(col) -> F.Column:
-    return F.split(F.trim(F.regexp_replace(col, r"\s+", " ")), " ")
-
-
-def forbidden_hits(claims: DataFrame, texts: DataFrame) -> DataFrame:
+def forbidden_hits(claims: DataFrame, texts: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(claim_id, doc_id): texts (doc_id, text) that hold a claim (claim_id, claim) verbatim.
 
-    Claims of six words or more are joined by the words two to five, which stand
-    whole in any text that holds them, then verified; only shorter claims, which
-    have no such key, are compared with each text. Empty claims and nulls hit nothing.
+    Claims go to the tasks as an automaton that finds all of them in one pass over
+    each text, so claims of any length need no key, and nothing but the pairs is
+    shuffled. Of more than ``block_chars`` of claims, blocks are handled with a pass
+    each. Empty claims and nulls hit nothing; a pair comes once.
     """
-    c = claims.where(F.length("claim") > 0).withColumn("w", _tokens(F.col("claim")))
-    inner = F.slice("w", 2, KEY_WORDS)
-    keyed = c.where(F.size("w") >= KEY_WORDS + 2).select("claim_id", "claim", F.xxhash64(inner).alias("k"))
-    words = texts.select("doc_id", "text", _tokens(F.col("text")).alias("w")).where(F.size("w") >= KEY_WORDS)
-    shifted = [F.slice("w", k, F.size("w") - KEY_WORDS + 1) for k in range(1, KEY_WORDS + 1)]
-    shingles = F.array_distinct(F.transform(F.arrays_zip(*[s.alias(f"a{i}") for i, s in enumerate(shifted)]), lambda z: F.xxhash64(F.array(*[z[f"a{i}"] for i in range(KEY_WORDS)]))))
-    found = words.select("doc_id", F.explode(shingles).alias("k")).join(keyed.select("k").distinct(), "k", "left_semi").join(keyed, "k")
-    verified = found.join(texts, "doc_id").where(F.contains("text", "claim")).select("claim_id", "doc_id")
-    short = c.where(F.size("w") < KEY_WORDS + 2).select("claim_id", "claim")
-    direct = texts.join(short, F.contains(texts["text"], short["claim"])).select("claim_id", "doc_id")
-    return verified.union(direct).distinct()
+    c = claims.where(F.length("claim") > 0).select("claim_id", "claim").distinct()
+    passes = -(-(c.agg(F.sum(F.length("claim").cast("long"))).first()[0] or 0) // block_chars) or 1
+    kinds = dict(claims.dtypes) | dict(texts.dtypes)
+    found = None
+    for n in range(passes):
+        own = c.where(F.pmod(F.xxhash64("claim"), F.lit(passes)) == n).toArrow()
+        shared = texts.sparkSession.sparkContext.broadcast((own.column("claim_id").combine_chunks(), own.column("claim").to_pylist()))
+
+        def run(batches, shared=shared):
+            import ahocorasick
+
+            ids, names = shared.value
+            automaton = ahocorasick.Automaton()
+            for i, name in enumerate(names):
+                automaton.add_word(name, [*automaton.get(name, ()), i])
+            automaton.make_automaton()
+            for batch in batches:
+                rows, which = [], []
+                for r, text in enumerate(batch.column("text").to_pylist() if names else ()):
+                    hits = {i for _, own in automaton.iter(text) for i in own} if text else ()
+                    rows += [r] * len(hits)
+                    which += hits
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(which, pa.int64())), batch.column("doc_id").take(pa.array(rows, pa.int64()))], names=["claim_id", "doc_id"])
+
+        part = at_least_parallel(texts.select("doc_id", "text")).mapInArrow(run, f"claim_id {kinds['claim_id']}, doc_id {kinds['doc_id']}")
+        found = part if found is None else found.union(part)
+    return found.distinct()
 
 
 def missing_findings(required: DataFrame, summaries: DataFrame) -> tuple[DataFrame, DataFrame]:

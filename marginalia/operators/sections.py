@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import not_blank
+from ..functions.columns import at_least_parallel, not_blank
 
 LINES_PER_PAGE = 10
+#: Pairs of query and term that go to the tasks in one pass; queries and sections that are scored together there.
+BLOCK_TERMS, BLOCK_QUERIES, ROWS = 4_000_000, 512, 4096
+WORDS = re.compile("[a-z]+")
 FIGURE = r"[$€£]?[0-9][0-9,]*(?:[.][0-9]+)?%?"
 MARKUP = r"<[A-Za-z/!][^>]*>"
 
@@ -23,18 +31,67 @@ def terms(col) -> F.Column:
     return F.array_distinct(F.filter(F.split(F.lower(col), "[^a-z]+"), lambda t: t != ""))
 
 
+def _terms_of(text: pa.Array) -> list[set[str]]:
+    return [set(WORDS.findall(t.lower())) if t else set() for t in text.to_pylist()]
+
+
+def _best(scores: np.ndarray, place: np.ndarray, k: int) -> np.ndarray:
+    """Rows of the ``k`` largest scores above zero, of equals those of the least places."""
+    at = np.flatnonzero(scores)
+    if len(at) > k:
+        least = np.partition(scores[at], len(at) - k)[len(at) - k]
+        at = at[scores[at] >= least]
+    return at[np.lexsort((place[at], -scores[at].astype(np.int64)))][:k]
+
+
+def _scores(sections: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, doc_id, line_no, score): for each query and batch of sections the ``k`` best. The terms of BLOCK_TERMS at most go to the tasks at once."""
+    q = queries.select("query_id", terms(F.col("text")).alias("terms"))
+    passes = -(-(q.agg(F.sum(F.size("terms"))).first()[0] or 0) // BLOCK_TERMS) or 1
+    kinds = dict(sections.dtypes) | dict(queries.dtypes)
+    schema = f"query_id {kinds['query_id']}, doc_id {kinds['doc_id']}, line_no {kinds['line_no']}, score bigint"
+    found = None
+    for n in range(passes):
+        own = q.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == n).toArrow()
+        shared = sections.sparkSession.sparkContext.broadcast((own.column("query_id").combine_chunks(), own.column("terms").to_pylist()))
+
+        def run(batches, shared=shared):
+            ids, lists = shared.value
+            for batch in batches:
+                held = _terms_of(batch.column("text"))
+                place = np.empty(len(held), np.int64)
+                place[pc.sort_indices(pa.table([batch.column("doc_id"), batch.column("line_no")], ["d", "l"]), [("d", "ascending"), ("l", "ascending")]).to_numpy()] = np.arange(len(held))
+                for s in range(0, len(lists), BLOCK_QUERIES):
+                    known = {t: i for i, t in enumerate(dict.fromkeys(t for ts in lists[s : s + BLOCK_QUERIES] for t in ts))}
+                    has = np.zeros((len(known) + 1, len(lists[s : s + BLOCK_QUERIES])), np.uint16)
+                    for j, ts in enumerate(lists[s : s + BLOCK_QUERIES]):
+                        has[[known[t] for t in ts], j] = 1
+                    for r in range(0, len(held), ROWS):
+                        rows = [[known[t] for t in ts if t in known] or [len(known)] for ts in held[r : r + ROWS]]
+                        score = np.add.reduceat(has[np.concatenate(rows)], np.cumsum([0, *map(len, rows[:-1])]), 0, np.uint16)
+                        best = [_best(score[:, j], place[r : r + ROWS], k) for j in range(score.shape[1])]
+                        at, which = np.concatenate(best), np.repeat(np.arange(len(best)), [len(b) for b in best])
+                        take = pa.array(at + r)
+                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(which + s)), batch.column("doc_id").take(take), batch.column("line_no").take(take), pa.array(score[at, which].astype(np.int64))], names=["query_id", "doc_id", "line_no", "score"])
+
+        part = at_least_parallel(sections.select("doc_id", "line_no", "text")).mapInArrow(run, schema)
+        found = part if found is None else found.union(part)
+    return found
+
+
 def retrieve_sections(sections: DataFrame, queries: DataFrame, k: int, scope: str = "all", job_col: str = "doc_id") -> DataFrame:
     """The ``k`` sections of each query that hold most of its different terms, of equals the first by doc_id and line_no.
 
-    scope "job" looks only into sections whose ``job_col`` is the query's. Terms are
-    distinct before the join, and only the best k of each task reach the last sort.
+    scope "all" scores each section in its task against the queries' terms, which go
+    there in blocks, and only the best ``k`` of each task's batches are shuffled. scope
+    "job" looks only into sections whose ``job_col`` is the query's, by a join on both.
     """
-    keys = ["term"] + ([job_col] if scope == "job" else [])
-    q = queries.select("query_id", *([job_col] if scope == "job" else []), F.explode(terms(F.col("text"))).alias("term"))
-    s = sections.select("doc_id", "line_no", F.explode(terms(F.col("text"))).alias("term"))
-    if scope == "job" and job_col != "doc_id":
-        s = sections.select("doc_id", "line_no", job_col, F.explode(terms(F.col("text"))).alias("term"))
-    scored = s.join(q, keys).groupBy("query_id", "doc_id", "line_no").agg(F.count("*").alias("score"))
+    if scope == "all":
+        scored = _scores(sections, queries, k)
+    else:
+        q = queries.select("query_id", job_col, F.explode(terms(F.col("text"))).alias("term"))
+        s = sections.select(*dict.fromkeys(["doc_id", "line_no", job_col]), F.explode(terms(F.col("text"))).alias("term"))
+        scored = s.join(q, ["term", job_col]).groupBy("query_id", "doc_id", "line_no").agg(F.count("*").alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id", "line_no")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -47,8 +104,9 @@ def extract_mentions(sections: DataFrame) -> DataFrame:
 
 
 def check_citations(facts: DataFrame, sections: DataFrame) -> DataFrame:
-    """``facts`` (doc_id, page, value_text) with status page_missing, value_absent or grounded."""
-    pages = sections.groupBy("doc_id", "page").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n").alias("page_text"))
+    """``facts`` (doc_id, page, value_text) with status page_missing, value_absent or grounded; only cited pages are put together."""
+    cited = facts.select("doc_id", "page").distinct()
+    pages = sections.join(cited, ["doc_id", "page"], "left_semi").groupBy("doc_id", "page").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n").alias("page_text"))
     status = F.when(F.col("page_text").isNull(), "page_missing").when(F.contains("page_text", "value_text"), "grounded").otherwise("value_absent")
     return facts.join(pages, ["doc_id", "page"], "left").withColumn("status", status).drop("page_text")
 

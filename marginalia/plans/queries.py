@@ -8,9 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import job_short_id
+from ..functions.columns import job_short_id, parse_json
 from ..operators import contract, deck, facts, golden, requests, sections, telemetry
-from ..sources.json_io import parse_requests, shared_folder, write_analyses, write_jobs
+from ..sources.json_io import read_analyses, read_requests, shared_folder, write_analyses, write_jobs
 from ..streaming import jobs as streams
 from .bindings import bind, duck
 
@@ -31,6 +31,10 @@ def query(sql: str | None = None):
     return register
 
 
+def _folder(spark) -> str:
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+
+
 DIGEST = "sha256(coalesce(source_text, '')) AS source"
 
 
@@ -38,11 +42,12 @@ def _digest(df: DataFrame) -> DataFrame:
     return df.withColumn("source", F.sha2(F.coalesce("source_text", F.lit("")), 256)).drop("source_text")
 
 
-@query(duck("b_requests") + f" SELECT request_id, input_mode, file_name, deck_purpose, slide_count, 0::BIGINT AS n_type_errors, {DIGEST} FROM b_requests")
+@query(duck("b_requests") + f" SELECT input_mode, file_name, deck_purpose, slide_count, 0::BIGINT AS n_type_errors, {DIGEST} FROM b_requests")
 def c1_parse_requests(spark, d):
-    b = bind(spark, d, "b_requests")
-    text = b.select("request_id", F.to_json(F.struct("input_mode", "source_text", "file_name", "deck_purpose", "slide_count")).alias("value"))
-    return _digest(parse_requests(text)).withColumn("n_type_errors", F.size("type_errors").cast("long")).drop("type_errors")
+    """Requests written as lines of JSON and read by the source."""
+    path = _folder(spark)
+    bind(spark, d, "b_requests").select(F.to_json(F.struct("input_mode", "source_text", "file_name", "deck_purpose", "slide_count"))).write.text(path)
+    return _digest(read_requests(spark, path)).withColumn("n_type_errors", F.size("type_errors").cast("long")).drop("type_errors")
 
 
 @query(duck("b_forms") + """ SELECT request_id, ifnull(input_mode, 'file') AS input_mode, file_name, ifnull(deck_purpose, 'management-review') AS deck_purpose,
@@ -99,9 +104,9 @@ def c8_short_id(spark, d):
 
 
 @query(duck("b_analyses") + " SELECT analysis_id, length(raw) AS n_chars, fault <> 1 AS is_json FROM b_analyses")
-def c9_read_analyses(spark, d):
+def c9_parse_analyses(spark, d):
     a = bind(spark, d, "b_analyses")
-    return a.select("analysis_id", F.length("raw").cast("long").alias("n_chars"), F.try_parse_json("raw").isNotNull().alias("is_json"))
+    return a.select("analysis_id", F.length("raw").cast("long").alias("n_chars"), parse_json(a, "raw").isNotNull().alias("is_json"))
 
 
 @query(duck("b_analyses") + " SELECT analysis_id, fault NOT IN (1, 4) AS minimum_ok FROM b_analyses")
@@ -123,10 +128,10 @@ def _valid(spark, d) -> DataFrame:
     return a.join(contract.analysis_violations(a).select("analysis_id").distinct(), "analysis_id", "left_anti")
 
 
-@query("""SELECT o_orderkey AS analysis_id, 0 AS fact_pos, 'f1' AS fact_id, 'Total' AS metric, o_orderkey::DOUBLE AS value, 'USD' AS unit, 'Q2 1996' AS period, 1.0::DOUBLE AS confidence
+@query("""SELECT o_orderkey AS analysis_id, 0 AS fact_pos, 'f1' AS fact_id, 'Total' AS metric, o_orderkey::DOUBLE AS value, 'USD' AS unit, 'Q2 1996' AS period, 17 AS page, 1.0::DOUBLE AS confidence
     FROM orders WHERE o_orderkey % 12 = 0""")
 def c12_explode_facts(spark, d):
-    return contract.explode_facts(_valid(spark, d)).drop("page")
+    return contract.explode_facts(_valid(spark, d))
 
 
 @query("""SELECT o_orderkey AS analysis_id, i AS sentence_pos, CASE i WHEN 0 THEN 'Order ' || o_orderkey ELSE 'Second sentence.' END AS sentence
@@ -171,14 +176,14 @@ def c16_warning_counts(spark, d):
 
 @query(_VALID + f" SELECT request_id, {_ID} AS id, status, slide_count FROM (SELECT *, 'queued' AS status FROM e) WHERE errors = ''")
 def c17_write_jobs(spark, d):
-    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    path = _folder(spark)
     write_jobs(_jobs(spark, d), path)
     return spark.read.schema("request_id long, id string, slide_count int, status string").json(path)
 
 
 @query(duck("b_analyses") + " SELECT CASE fault WHEN 1 THEN 'none' ELSE '0.1' END AS schema_version, count(*) AS n, sum(length(raw))::BIGINT AS n_chars FROM b_analyses GROUP BY 1")
 def c17_write_analyses(spark, d):
-    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    path = _folder(spark)
     write_analyses(bind(spark, d, "b_analyses"), path)
     back = spark.read.schema("value string, schema_version string").text(path)
     return back.groupBy("schema_version").agg(F.count("*").alias("n"), F.sum(F.length("value").cast("long")).alias("n_chars"))
@@ -213,8 +218,11 @@ def d3_mentions(spark, d):
     return sections.extract_mentions(_sections(spark, d))
 
 
+AMOUNT = "l_extendedprice * (1 - l_discount)"
+
+
 def _facts(spark, d, entity: str) -> DataFrame:
-    return facts.compute_facts(bind(spark, d, "b_sales"), F.col(entity), F.col("o_orderdate"), F.col("l_extendedprice") * (1 - F.col("l_discount")))
+    return facts.compute_facts(bind(spark, d, "b_sales"), F.col(entity), F.col("o_orderdate"), AMOUNT, 1 + F.col("qidx") % 20)
 
 
 def _facts_sql(entity: str) -> str:
@@ -223,9 +231,24 @@ def _facts_sql(entity: str) -> str:
         p AS (SELECT *, 'Q' || (qidx % 4 + 1) || ' ' || (qidx // 4) AS period FROM f)"""
 
 
-@query(_facts_sql("n_name") + " SELECT entity, 'Revenue' AS metric, 'USD' AS unit, period, qidx, value, input_rows, (1 + qidx % 20)::INT AS page FROM p")
+_FACT_ID = r"regexp_replace(sha256('Revenue' || chr(31) || entity || chr(31) || qidx)[1:32], '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\1-\2-\3-\4-\5')"
+
+
+@query(_facts_sql("n_name") + f""" SELECT {_FACT_ID} AS id, entity, 'Revenue' AS metric, 'USD' AS unit, period, qidx, value, 'sum(l_extendedprice * (1 - l_discount))' AS formula,
+    input_rows, (1 + qidx % 20)::INT AS page, 1.0::DOUBLE AS confidence FROM p""")
 def d4_facts(spark, d):
-    return _facts(spark, d, "n_name").drop("id", "formula", "confidence")
+    return _facts(spark, d, "n_name")
+
+
+@query(_facts_sql("n_name") + " SELECT entity AS analysis_id, count(*) AS n_facts, sum(value) AS total, min((1 + qidx % 20)::INT) AS first_page, true AS minimum_ok FROM p GROUP BY entity")
+def c9_read_analyses(spark, d):
+    """Analyses written as files of one document each and read by the source; a file's folder names its analysis."""
+    path, f = _folder(spark), _facts(spark, d, "n_name")
+    built = facts.build_analysis(f, facts.compute_trends(f))
+    built.select("analysis_id", F.col("raw").alias("value")).write.partitionBy("analysis_id").text(path)
+    read = contract.analysis_minimum_ok(read_analyses(spark, path)).withColumn("name", F.url_decode(F.regexp_extract("analysis_id", "analysis_id=([^/]*)/", 1)))
+    rows = contract.explode_facts(read).groupBy("analysis_id").agg(F.count("*").alias("n_facts"), F.sum("value").alias("total"), F.min("page").alias("first_page"))
+    return read.join(rows, "analysis_id").select(F.url_decode("name").alias("analysis_id"), "n_facts", "total", "first_page", "minimum_ok")
 
 
 def _trends_sql(entity: str) -> str:
@@ -420,10 +443,6 @@ def d23_rank_models(spark, d):
     return telemetry.rank_models(bind(spark, d, "b_model_runs"))
 
 
-def _folder(spark) -> str:
-    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-
-
 @query(_VALID + " SELECT count(*) FILTER (errors = '') AS accepted, count(*) FILTER (errors <> '') AS rejected FROM (SELECT DISTINCT input_mode, source_text, file_name, deck_purpose, slide_count, errors FROM e)")
 def d24_stream_intake(spark, d):
     """Requests written as JSON files twice over and taken in as a stream; each different one counts once."""
@@ -448,7 +467,7 @@ def _event_stream(spark, d) -> DataFrame:
 def d25_stream_progress(spark, d):
     out = _folder(spark)
     streams.stream_progress(_event_stream(spark, d), out, _folder(spark)).awaitTermination()
-    return spark.read.parquet(out).groupBy("job").agg(F.max_by(F.struct("stage", "n_events"), "batch").alias("x")).select("job", "x.stage", "x.n_events")
+    return streams.read_progress(spark, out)
 
 
 @query(duck("b_events") + """ SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, stage, count(*) AS n FROM b_events GROUP BY ALL

@@ -2,38 +2,38 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import kind_of, member
+from ..functions.columns import kind_of, member, parse_json
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors see; a temporary one only where none is set."""
+    """The folder in spark.checkpoint.dir, which all executors see. Where none is set, a temporary one if Spark runs in this process, else an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return sc.getCheckpointDir()
 
 
-def parse_json(text: Column) -> Column:
-    """A variant, or null for what isn't JSON."""
-    return F.try_parse_json(text)
-
-
 def parse_requests(df: DataFrame, json_col: str = "value") -> DataFrame:
     """Request columns from JSON objects, and ``type_errors``: the members of a wrong type.
 
-    slide_count may be an integer, a whole number or a string of digits; other columns pass through.
+    slide_count may be an integer, a whole number or a string of digits; one that no
+    int holds is of a wrong type. Of a repeated key the last value counts; other columns pass through.
     """
     rest = [c for c in df.columns if c != json_col]
-    v = df.select(*rest, parse_json(F.col(json_col)).alias("__v"))
+    v = df.select(*rest, parse_json(df, json_col).alias("__v"))
     get = lambda k: member(F.col("__v"), f"$.{k}")
     bad = [F.when(~F.coalesce(kind_of(get(k)).isin("string", "null"), F.lit(True)), F.lit(k)) for k in ("input_mode", "source_text", "file_name", "deck_purpose")]
     n, number = kind_of(get("slide_count")), member(F.col("__v"), "$.slide_count", "string")
-    count = F.when(n == "integer", number.try_cast("double").cast("int")).when((n == "string") & F.rlike(number, F.lit(r"^\s*[+-]?[0-9]+\s*$")), F.trim(number).try_cast("int"))
+    count = F.when(n == "integer", number.try_cast("double").try_cast("int")).when((n == "string") & F.rlike(number, F.lit(r"^\s*[+-]?[0-9]+\s*$")), F.trim(number).try_cast("int"))
     bad.append(F.when(n.isNotNull() & (n != "null") & count.isNull(), F.lit("slide_count")))
     root = F.when(~F.coalesce(kind_of(F.col("__v")) == "object", F.lit(False)), F.lit("body"))
     text = [F.when(kind_of(get(k)) == "string", member(F.col("__v"), f"$.{k}", "string")).alias(k) for k in ("input_mode", "source_text", "file_name", "deck_purpose")]
@@ -56,5 +56,5 @@ def write_jobs(jobs: DataFrame, path: str) -> None:
 
 def write_analyses(analyses: DataFrame, path: str) -> None:
     """Raw documents as lines of JSON text, by schema version."""
-    version = F.coalesce(F.try_variant_get(F.try_parse_json("raw"), "$.schemaVersion", "string"), F.lit("none"))
+    version = F.coalesce(F.try_variant_get(parse_json(analyses, "raw"), "$.schemaVersion", "string"), F.lit("none"))
     analyses.select(F.col("raw").alias("value"), version.alias("schema_version")).write.partitionBy("schema_version").text(path)

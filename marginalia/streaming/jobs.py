@@ -23,21 +23,33 @@ def stream_intake(spark: SparkSession, source: str, out: str, checkpoint: str, d
     fresh = parsed.withWatermark("arrived", delay).dropDuplicatesWithinWatermark(["request_key"])
 
     def route(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()  # read twice, parsed once
         accepted, rejected = req.route_requests(req.validate_requests(batch))
         req.enqueue_jobs(accepted, "request_key").drop("type_errors").write.mode("overwrite").parquet(f"{out}/accepted/batch={batch_id}")
         rejected.write.mode("overwrite").parquet(f"{out}/rejected/batch={batch_id}")
+        batch.unpersist()
 
     return fresh.writeStream.foreachBatch(route).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def stream_progress(events: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Running latest stage of each job of a stream (job, stage, ts, event_id): each batch writes the jobs it changed."""
-    from ..operators.telemetry import latest_job_status
+    """Progress of jobs from a stream (job, stage, ts, event_id): each batch writes what it has of each job, for ``read_progress`` to merge.
+
+    The stream keeps no state, so it doesn't grow with the jobs or with time, and late
+    events count whenever they come. A batch that is run again overwrites its folder.
+    """
 
     def keep(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        part = batch.groupBy("job").agg(F.max_by("stage", F.struct("ts", "event_id")).alias("stage"), F.max(F.struct("ts", "event_id")).alias("at"), F.count("*").alias("n_events"))
+        part.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    return events.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
 
-    return latest_job_status(events).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def read_progress(spark: SparkSession, out: str) -> DataFrame:
+    """(job, stage, n_events): the latest stage of each job over all batches so far."""
+    parts = spark.read.parquet(out)
+    return parts.groupBy("job").agg(F.max_by("stage", "at").alias("stage"), F.sum("n_events").alias("n_events"))
 
 
 def stage_windows(events: DataFrame, width: str = "1 day", delay: str = "1 hour") -> DataFrame:
