@@ -1,8 +1,8 @@
 """The analysis contract: checks, and facts, sentences and visuals as rows.
 
-Documents are parsed to variants. Rules of the root, of sentences and of facts are
-each one array of path and keyword over rows of plain columns, so the check needs
-no shuffle.
+A document is parsed once to a variant. Its root, sentences and facts become rows,
+and the rules of each one array of path and keyword over plain columns, so the
+check needs no shuffle.
 """
 
 from __future__ import annotations
@@ -25,73 +25,86 @@ def _rule(broken: Column, path: Column, keyword: str) -> Column:
 
 
 def _extra_keys(v: Column, names: tuple[str, ...]) -> Column:
-    return F.size(F.array_except(F.json_object_keys(F.to_json(v)), F.array(*map(F.lit, names)))) > 0
+    """Whether an object has other keys than ``names``; null for what is no object."""
+    keys = F.map_keys(F.try_variant_get(v, "$", "map<string,variant>"))
+    return F.size(F.array_except(keys, F.array(*map(F.lit, names)))) > 0
 
 
-def _kinds(rows: DataFrame, of: dict[str, Column]) -> DataFrame:
-    """``rows`` with m_, s_, d_ and k_ columns for each name: the variant, its schema, its value as a double, its kind."""
-    rows = rows.withColumns({f"m_{k}": v for k, v in of.items()})
-    rows = rows.withColumns({f"s_{k}": F.schema_of_variant(f"m_{k}") for k in of} | {f"d_{k}": F.try_variant_get(f"m_{k}", "$", "double") for k in of})
-    return rows.withColumns({f"k_{k}": kind_name(F.col(f"s_{k}"), F.col(f"d_{k}")) for k in of})
+#: Fixed value: schemas of facts whose members are all there, no others, and of the right types.
+SOUND_FACT = r"^OBJECT<confidence: (BIGINT|DOUBLE|DECIMAL\(\d+,\d+\)), id: STRING, metric: STRING, period: STRING, source: OBJECT<page: (BIGINT|DECIMAL\(\d+,0\))>, unit: STRING, value: (BIGINT|DOUBLE|DECIMAL\(\d+,\d+\))>$"
 
 
-def _string_rules(kind: Column, text: Column, path: Column) -> list[Column]:
-    return [_rule(kind != "string", path, "type"), _rule((kind == "string") & (F.length(text) < 1), path, "minLength")]
+def _sound(part: Column, item: Column) -> Column:
+    """Whether a fact or sentence surely breaks no rule, by its schema and a few values: most need no closer look."""
+    filled = lambda path: F.length(F.try_variant_get(item, path, "string")) > 0
+    number = lambda path: F.try_variant_get(item, path, "double")
+    fact = F.rlike(F.schema_of_variant(item), F.lit(SOUND_FACT)) & (number("$.source.page") >= 1) & number("$.confidence").between(0, 1)
+    for k in FACT_STRINGS:
+        fact = fact & filled(f"$.{k}")
+    return F.coalesce(F.when(part == "fact", fact).when(part == "sentence", (F.schema_of_variant(item) == "STRING") & filled("$")), F.lit(False))
 
 
-def _broken(rows: DataFrame, rules: list[Column]) -> DataFrame:
-    return rows.select("analysis_id", F.explode(F.array_compact(F.array(*rules))).alias("r")).select("analysis_id", "r.path", "r.keyword")
+def _kinds(rows: DataFrame, of: dict[str, Column]) -> DataFrame:
+    """``rows`` with m_, d_ and k_ columns for each name: the variant, its value as a double, its kind."""
+    rows = rows.withColumns({f"m_{k}": v for k, v in of.items()})
+    rows = rows.withColumns({f"s_{k}": F.schema_of_variant(f"m_{k}") for k in of} | {f"d_{k}": F.try_variant_get(f"m_{k}", "$", "double") for k in of})
+    return rows.withColumns({f"k_{k}": kind_name(F.col(f"s_{k}"), F.col(f"d_{k}")) for k in of})
 
 
-def _root_violations(v: DataFrame) -> DataFrame:
-    kind = lambda k: F.col(f"k_{k}")
-    rows = _kinds(v, {"root": F.col("v")} | {k: member(F.col("v"), f"$.{k}") for k in MEMBERS})
-    is_object = kind("root") == "object"
-    rules = [_rule(F.col("v").isNull(), F.lit(""), "parse"), _rule(~is_object, F.lit(""), "type"), _rule(is_object & _extra_keys(F.col("v"), MEMBERS), F.lit(""), "additionalProperties")]
-    rules += [_rule(is_object & kind(k).isNull(), F.lit(f"/{k}"), "required") for k in MEMBERS]
-    version = F.try_variant_get("v", "$.schemaVersion", "string")
-    rules.append(_rule(~((kind("schemaVersion") == "string") & (version == VERSION)), F.lit("/schemaVersion"), "const"))
-    rules += [_rule(kind(k) != "array", F.lit(f"/{k}"), "type") for k in LISTS]
-    return _broken(rows, rules)
+def _kind(k: str) -> Column:
+    return F.col(f"k_{k}")
 
 
-def _items(v: DataFrame, name: str) -> DataFrame:
-    """(analysis_id, pos, item): the members of an array of each document."""
-    return v.select("analysis_id", F.posexplode(F.try_variant_get("v", f"$.{name}", "array<variant>")).alias("pos", "item"))
+def _string_rules(kind: Column, text: Column, path: Column) -> list[Column]:
+    return [_rule(kind != "string", path, "type"), _rule((kind == "string") & (F.length(text) < 1), path, "minLength")]
 
 
-def _summary_violations(v: DataFrame) -> DataFrame:
-    rows = _kinds(_items(v, "executiveSummary"), {"item": F.col("item")})
-    return _broken(rows, _string_rules(F.col("k_item"), F.try_variant_get("item", "$", "string"), F.concat(F.lit("/executiveSummary/"), F.col("pos").cast("string"))))
+def _root_rules() -> list[Column]:
+    is_object, item = _kind("root") == "object", F.col("item")
+    rules = [_rule(item.isNull(), F.lit(""), "parse"), _rule(~is_object, F.lit(""), "type"), _rule(is_object & _extra_keys(item, MEMBERS), F.lit(""), "additionalProperties")]
+    rules += [_rule(is_object & _kind(k).isNull(), F.lit(f"/{k}"), "required") for k in MEMBERS]
+    rules.append(_rule(~((_kind("schemaVersion") == "string") & (F.try_variant_get(item, "$.schemaVersion", "string") == VERSION)), F.lit("/schemaVersion"), "const"))
+    return rules + [_rule(_kind(k) != "array", F.lit(f"/{k}"), "type") for k in LISTS]
 
 
-def _fact_violations(v: DataFrame) -> DataFrame:
+def _fact_rules() -> list[Column]:
     at = lambda tail="": F.concat(F.lit("/facts/"), F.col("pos").cast("string"), F.lit(tail))
-    kind, number = (lambda k: F.col(f"k_{k}")), (lambda k: F.col(f"d_{k}"))
-    numeric = lambda k: kind(k).isin("integer", "number")
-    rows = _kinds(_items(v, "facts"), {"fact": F.col("item")} | {k: member(F.col("item"), f"$.{k}") for k in FACT_MEMBERS} | {"page": member(F.col("item"), "$.source.page")})
-    is_object, has_source = kind("fact") == "object", kind("source") == "object"
-    rules = [_rule(~is_object, at(), "type"), _rule(is_object & _extra_keys(F.col("item"), FACT_MEMBERS), at(), "additionalProperties")]
-    rules += [_rule(is_object & kind(k).isNull(), at(f"/{k}"), "required") for k in FACT_MEMBERS]
+    numeric = lambda k: _kind(k).isin("integer", "number")
+    is_object, has_source, item, c = _kind("fact") == "object", _kind("source") == "object", F.col("item"), F.col("d_confidence")
+    rules = [_rule(~is_object, at(), "type"), _rule(is_object & _extra_keys(item, FACT_MEMBERS), at(), "additionalProperties")]
+    rules += [_rule(is_object & _kind(k).isNull(), at(f"/{k}"), "required") for k in FACT_MEMBERS]
     for k in FACT_STRINGS:
-        rules += _string_rules(kind(k), F.try_variant_get("item", f"$.{k}", "string"), at(f"/{k}"))
+        rules += _string_rules(_kind(k), F.try_variant_get(item, f"$.{k}", "string"), at(f"/{k}"))
     rules.append(_rule(~numeric("value"), at("/value"), "type"))
-    rules += [_rule(~has_source, at("/source"), "type"), _rule(has_source & _extra_keys(F.col("m_source"), ("page",)), at("/source"), "additionalProperties"), _rule(has_source & kind("page").isNull(), at("/source/page"), "required")]
-    rules += [_rule(kind("page") != "integer", at("/source/page"), "type"), _rule(numeric("page") & (number("page") < 1), at("/source/page"), "minimum")]
-    c = number("confidence")
-    rules += [_rule(~numeric("confidence"), at("/confidence"), "type"), _rule(numeric("confidence") & (c < 0), at("/confidence"), "minimum"), _rule(numeric("confidence") & (c > 1), at("/confidence"), "maximum")]
-    return _broken(rows, rules)
+    rules += [_rule(~has_source, at("/source"), "type"), _rule(has_source & _extra_keys(F.col("m_source"), ("page",)), at("/source"), "additionalProperties"), _rule(has_source & _kind("page").isNull(), at("/source/page"), "required")]
+    rules += [_rule(_kind("page") != "integer", at("/source/page"), "type"), _rule(numeric("page") & (F.col("d_page") < 1), at("/source/page"), "minimum")]
+    return [*rules, _rule(~numeric("confidence"), at("/confidence"), "type"), _rule(numeric("confidence") & (c < 0), at("/confidence"), "minimum"), _rule(numeric("confidence") & (c > 1), at("/confidence"), "maximum")]
 
 
 def analysis_violations(df: DataFrame, id_col: str = "analysis_id", raw_col: str = "raw") -> DataFrame:
     """(analysis_id, path, keyword): a row for each broken rule; what isn't JSON breaks the rule "parse".
 
-    Facts and sentences become rows, so that their rules are compiled as plain
-    columns; nothing is shuffled, but for small single files, which are dealt to all cores.
+    A document is parsed once; its root, sentences and facts become rows, so that rules
+    are compiled as plain columns. Nothing is shuffled, but for small single files,
+    which are dealt to all cores.
     """
     v = at_least_parallel(df.select(F.col(id_col).alias("analysis_id"), F.col(raw_col).alias("raw")))
     v = v.select("analysis_id", parse_json(v, "raw").alias("v"))
-    return _root_violations(v).union(_summary_violations(v)).union(_fact_violations(v))
+    part = lambda name, x, i: F.struct(F.lit(name).alias("part"), i.cast("int").alias("pos"), x.alias("item"))
+    items = lambda k, name: F.coalesce(F.transform(F.try_variant_get("v", f"$.{k}", "array<variant>"), lambda x, i: part(name, x, i)), F.array().cast("array<struct<part:string,pos:int,item:variant>>"))
+    parts = F.concat(F.array(part("root", F.col("v"), F.lit(0))), items("executiveSummary", "sentence"), items("facts", "fact"))
+    rows = v.select("analysis_id", F.explode(parts).alias("x")).select("analysis_id", "x.*").where(~_sound(F.col("part"), F.col("item")))
+    root, fact, sentence = (F.col("part") == p for p in ("root", "fact", "sentence"))
+    item = F.col("item")
+    rows = _kinds(rows, {"root": F.when(root, item), "fact": F.when(fact, item), "sentence": F.when(sentence, item)} | {k: F.when(root, member(item, f"$.{k}")) for k in MEMBERS} | {k: F.when(fact, member(item, f"$.{k}")) for k in FACT_MEMBERS} | {"page": F.when(fact, member(item, "$.source.page"))})
+    said = _string_rules(_kind("sentence"), F.try_variant_get(item, "$", "string"), F.concat(F.lit("/executiveSummary/"), F.col("pos").cast("string")))
+    some = lambda rules: F.array_compact(F.array(*rules))
+    return rows.select("analysis_id", F.explode(F.when(root, some(_root_rules())).when(fact, some(_fact_rules())).otherwise(some(said))).alias("r")).select("analysis_id", "r.path", "r.keyword")
+
+
+def _items(v: DataFrame, name: str) -> DataFrame:
+    """(analysis_id, pos, item): the members of an array of each document."""
+    return v.select("analysis_id", F.posexplode(F.try_variant_get("v", f"$.{name}", "array<variant>")).alias("pos", "item"))
 
 
 def analysis_minimum_ok(df: DataFrame, raw_col: str = "raw") -> DataFrame:
