@@ -37,7 +37,7 @@ SHINGLE_WORDS, MAX_BITS, SEED, BLOCK, AGREE = 4, 4, 42, 4096, 4
 MINIMA, BAND_ROWS, SIMILARITY = 128, 5, 0.8
 #: How far below the wanted share a sketch may be for its text to be a candidate: over four standard errors.
 MARGIN = 0.15
-#: Bits of the map that picks candidates' texts (8 MB at most, at any size), and bytes of shingle sets in a block.
+#: Bits of the maps that pick candidates' texts and shared cells, as a power of two (8 MB at most, at any size), and bytes of shingle sets in a block.
 MAP_BITS, BLOCK_BYTES = 26, 16 << 20
 _LANES = np.uint64(0x0001000100010001)
 
@@ -251,9 +251,11 @@ def _linker(keys: list[str], node: str, value: str, measure):
     return run
 
 
-def _group_links(rows: DataFrame, keys: list[str], node: str, value: str, measure, block: int, size: Column | None = None) -> DataFrame:
+def _group_links(rows: DataFrame, keys: list[str], node: str, value: str, measure, block: int, size: Column | None = None, pruned=None) -> DataFrame:
     """(a, b): edges that connect what all links among the ``rows`` of each key would; ``size`` gives a row's bytes.
 
+    ``pruned`` may give rows of the keys in a table, and a few others, more cheaply than a join.
+
     Keys of one block are linked in one task each. For a larger key each row is first
     compared with the key's smallest node: those that it links are its star. Rows of
     the star meet the blocks of the rest only, and those meet all blocks.
@@ -263,6 +265,7 @@ def _group_links(rows: DataFrame, keys: list[str], node: str, value: str, measur
     linked = lambda live: live.select(*deal, node, value).repartition(*deal).sortWithinPartitions(*deal).mapInArrow(links, "a long, b long")
     parts = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
     shared = written(rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(F.lit(0) if size is None else size).alias("bytes"), F.min(node).alias("first")).where("n > 1").withColumn("parts", parts))
+    rows = pruned(shared) if pruned else rows
     out = linked(rows.join(shared.where("parts = 1").select(*keys), keys).withColumns({"i": F.lit(0), "j": F.lit(0)}))
     large = shared.where("parts > 1").drop("bytes")
     total = large.agg(F.sum("n")).first()[0]
@@ -298,9 +301,25 @@ def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS, block: int = BLO
     odd = F.lit(0x5555555555555555)
     low, high = F.col("fp").bitwiseAND(odd), F.shiftrightunsigned(F.col("fp"), 1).bitwiseAND(odd)
     packed = low.bitwiseOR(high).bitwiseOR(F.shiftleft(low.bitwiseAND(high), 1))  # the counts of each two bits, as 00, 01, 11
-    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("combo"), F.col("packed").bitwiseAND(F.lit(_signed(m))).alias("cell")) for c, m in enumerate(_cell_masks(max_bits))]))
-    rows = _spread(fps.select("rep", "fp"), "rep").withColumn("packed", packed).select("rep", "fp", cells.alias("k")).select("k.combo", "k.cell", "rep", "fp")
-    return _group_links(rows, ["combo", "cell"], "rep", "fp", _close_bits(max_bits), block)
+    own = [F.col("packed").bitwiseAND(F.lit(_signed(m))) for m in _cell_masks(max_bits)]
+    spread = _spread(fps.select("rep", "fp"), "rep").withColumn("packed", packed)
+    as_rows = lambda df, keep: df.select("rep", "fp", F.explode(keep(F.array(*[F.struct(F.lit(c).alias("combo"), x.alias("cell")) for c, x in enumerate(own)]))).alias("k")).select("k.combo", "k.cell", "rep", "fp")
+
+    def pruned(shared: DataFrame) -> DataFrame:
+        """Rows whose cell is in ``shared``, by a map of bits: cells of one fingerprint aren't shuffled again."""
+        bits = fps.sparkSession.sparkContext.broadcast(_bit_map(shared.select(_slot("combo", "cell").alias("s"))))
+
+        n = len(own)
+
+        @F.arrow_udf("array<boolean>")
+        def hit(slots: pa.Array) -> pa.Array:
+            at = slots.flatten().to_numpy(zero_copy_only=False)
+            return pa.ListArray.from_arrays(pa.array(np.arange(len(slots) + 1, dtype=np.int32) * n), pa.array((bits.value[at >> 6] >> (at & 63) & 1).astype(bool)))
+
+        live = spread.withColumn("hit", hit(F.array(*[_slot(F.lit(c), x) for c, x in enumerate(own)])))
+        return as_rows(live.where(F.array_contains("hit", True)), lambda k: F.transform(F.filter(F.arrays_zip(k.alias("k"), F.col("hit").alias("hit")), lambda x: x["hit"]), lambda x: x["k"]))
+
+    return _group_links(as_rows(spread, lambda k: k), ["combo", "cell"], "rep", "fp", _close_bits(max_bits), block, None, pruned)
 
 
 def sketch_links(sketches: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
@@ -343,20 +362,28 @@ def _named(fps: DataFrame, classes: DataFrame, key: str) -> DataFrame:
     return own.union(rows.where("doc_id is null").select("doc_id", "fp", F.lit(None).cast("long").alias("component_id")))
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (doc_id) with an id in ``ids`` (node), and few others: by a map of bits, so texts aren't shuffled."""
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << MAP_BITS))
-    words = ids.select(slot("node").alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("bits")).toArrow()
+def _slot(*keys) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(1 << MAP_BITS))
+
+
+def _bit_map(slots: DataFrame) -> np.ndarray:
+    """A map of 2 ** MAP_BITS bits, of which those in column s are set: 8 MB at most, at any size."""
+    words = slots.groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("bits")).toArrow()
     bits = np.zeros(1 << (MAP_BITS - 6), np.int64)
     bits[words.column("w").to_numpy()] = words.column("bits").to_numpy()
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    return bits
+
+
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (doc_id) with an id in ``ids`` (node), and few others: by a map of bits, so texts aren't shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(_bit_map(ids.select(_slot("node").alias("s"))))
 
     @F.arrow_udf("boolean")
     def hit(s: pa.Array) -> pa.Array:
         at = s.to_numpy(zero_copy_only=False)
         return pa.array((shared.value[at >> 6] >> (at & 63) & 1).astype(bool))
 
-    return docs.where(hit(slot("doc_id")))
+    return docs.where(hit(_slot("doc_id")))
 
 
 def set_links(sets: DataFrame, similarity: float = SIMILARITY, margin: float = MARGIN, block: int = BLOCK) -> DataFrame:
