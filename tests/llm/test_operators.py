@@ -562,6 +562,37 @@ def test_quality_held_out(spark):
     assert quality.quality_scores(docs.limit(0), labels).count() == 0
 
 
+def brute_quality(rows, labels):
+    """Score of each row, by one matrix of all labelled rows, a direct solution, and the min-max form of isotonic regression."""
+    import pyarrow as pa
+
+    s = quality.statistics(*textkit.buffers(pa.array([t for _, t in rows]))).astype(np.float32).astype(float)
+    at = [(k, fold(i), labels[i]) for k, (i, _) in enumerate(rows) if i in labels and fold(i)]
+    x, f, y = s[[k for k, _, _ in at]], np.array([g for _, g, _ in at]), np.array([v for _, _, v in at], float)
+    mean, sd = x.mean(0), np.maximum(x.std(0), 1e-6)
+    rng = np.random.default_rng(quality.SEED)
+    freq, phase = rng.normal(size=(x.shape[1], quality.FEATURES)) * np.sqrt(2 * quality.GAMMA), rng.uniform(0, 2 * np.pi, quality.FEATURES)
+    z = lambda v: np.c_[np.ones(len(v)), np.sqrt(2 / quality.FEATURES) * np.cos(np.clip((v - mean) / sd, -6, 6) @ freq + phase)]
+    fit = f < 4
+    a = z(x[fit])
+    w = np.linalg.solve(a.T @ a + quality.RIDGE * fit.sum() * np.eye(a.shape[1]), a.T @ y[fit])
+    bins = defaultdict(list)
+    for r, t in zip(z(x[~fit]) @ w, y[~fit], strict=True):
+        bins[min(max(int(np.floor((r + 0.5) / 2 * quality.BINS)), 0), quality.BINS - 1)].append((r, t))
+    knots, n, p = zip(*[(np.mean([r for r, _ in b]), len(b), sum(t for _, t in b)) for _, b in sorted(bins.items())], strict=True)
+    share = lambda i, j: sum(p[i:j]) / sum(n[i:j])
+    values = [max(min(share(i, j) for j in range(k + 1, len(n) + 1)) for i in range(k + 1)) for k in range(len(n))]
+    return np.interp(z(s) @ w, knots, values)
+
+
+def test_quality_against_brute_force(spark):
+    docs, labels, truth = learned(spark)
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    want = sorted(zip([str(i) for i, _ in rows], brute_quality(rows, {i: v[1] for i, v in truth.items()}), strict=True))
+    got = sorted((str(r["doc_id"]), r["score"]) for r in quality.quality_scores(docs, labels).collect())
+    assert [i for i, _ in got] == [i for i, _ in want] and np.allclose([x for _, x in got], [x for _, x in want], atol=1e-6)
+
+
 def test_pool_adjacent():
     assert quality.pool_adjacent(np.array([1.0, 1, 2, 1]), np.array([0.0, 1, 0, 1])).tolist() == [0, pytest.approx(1 / 3), pytest.approx(1 / 3), 1]
 
@@ -626,23 +657,102 @@ def test_cover_and_pack():
     assert a.tolist() == [1, 300] and b.tolist() == [-5]
 
 
-def test_pipeline(spark):
+@pytest.fixture(scope="module")
+def pipeline_tables(spark, tmp_path_factory):
+    """Documents of all the kinds that stages look for: junk, shared lines, near copies, benchmark passages, nulls, empty texts, repeated rows."""
+    rnd = random.Random(23)
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(600)]
+    some = lambda n: " ".join(rnd.choice(words) for _ in range(n))
+    items = [(k, some(rnd.randint(12, 30))) for k in range(6)]
+    rows = [(i, "WORD!! " * rnd.randint(30, 50) + some(4) if i % 3 == 0 else some(rnd.randint(60, 140))) for i in range(420)]
+    rows += [(1000 + i, f"{some(70)}\nAll Rights reserved here \n{some(30)}") for i in range(14)]
+    base = some(260).split()
+    for i in range(12):
+        near = list(base)
+        near[i * 20] = "changed"
+        rows.append((1100 + i, " ".join(near)))
+    half = [*base[:130], *some(130).split()]
+    rows += [(1120, " ".join(half)), (1121, " ".join(base).upper()), (1130, some(80)), (1131, rows[1][1]), (1, rows[1][1]), (1140, None), (1141, ""), (1142, " \n"), (None, some(90)), (None, some(90)), (None, "WORD!! " * 40)]
+    rows += [(1200 + k, f"{some(50)} {text} {some(40)}") for k, text in items]
+    labels = [(i, int(i % 3 > 0), 0) for i in range(420)] + [(None, 1, 0), (7, None, None)]
+    d = str(tmp_path_factory.mktemp("tables"))
+    spark.createDataFrame([(i, t, "en", "s", len(t or ""), "clash", 1, 2) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, n_lines string, component_id int, __bad int").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    return d, rows, {i: q for i, q, _ in labels if i is not None and q is not None}, items
+
+
+def brute_stages(rows, labels, items):
+    """Rows that each stage keeps, by plain loops over all rows and pairs."""
+    score = brute_quality(rows, labels)
+    bad = {i for (i, _), x in zip(rows, score, strict=True) if i is not None and x < 0.3}
+    rows = [r for r in rows if r[0] not in bad]
+    yield "quality", rows
+    key = lambda line: line.strip(" \t\n\x0b\x0c\r").lower()
+    seen = defaultdict(set)
+    for at, (i, t) in enumerate(rows):
+        for x in (t or "").split("\n"):
+            seen[key(x)].add(("row", at) if i is None else i)
+    rows = [(i, "\n".join(x for x in (t or "").split("\n") if not (key(x) and len(seen[key(x)]) >= 10))) for i, t in rows]
+    yield "line_dedup", rows
+    sets = [{" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := t.lower().split()) else set() for _, t in rows]
+    share = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    links = [(rows[a][0], rows[b][0]) for a in range(len(rows)) for b in range(a) if None not in (rows[a][0], rows[b][0]) and (sets[a] & sets[b] or not (sets[a] | sets[b])) and share(sets[a], sets[b]) >= 0.8]
+    root = roots({i for i, _ in rows if i is not None}, links)
+    rows = [r for r in rows if r[0] is None or root[r[0]] == r[0]]
+    yield "simhash", rows
+    rows = [r for r in rows if r[0] is None or not any(text in r[1] for _, text in items)]
+    yield "decontamination", rows
+
+
+def test_pipeline_against_brute_force(spark, pipeline_tables, tokenizer):
+    import corpus_pipeline
+
+    d, rows, labels, items = pipeline_tables
+    _, enc = tokenizer
+    stages, docs = dict(corpus_pipeline.STAGES), spark.read.parquet(f"{d}/documents.parquet")
+    sizes = [len(rows)]
+    for name, kept in brute_stages(rows, labels, items):
+        docs = common.written(stages[name](spark, docs, d))
+        assert docs.columns == corpus_pipeline.COLUMNS
+        assert sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=repr) == sorted(kept, key=repr), name
+        sizes.append(len(kept))
+    assert sizes[0] - sizes[1] > 100 and sizes[2] - sizes[3] >= 14 and sizes[3] - sizes[4] == len(items)
+    assert docs.where("n_chars <> length(text)").count() == 0
+    digest = lambda b: hashlib.sha256(b).hexdigest()
+    want = [(i, len(ids), digest(np.array(ids, "<u4").tobytes()), digest(t.encode())) for i, t in kept for ids in [enc.encode_ordinary(t)]]
+    assert sorted((tuple(r) for r in corpus_pipeline.run(spark, d).collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_pipeline_stages_on_empty_tables(spark, pipeline_tables):
     import corpus_pipeline
 
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    kept = {r["doc_id"] for r in docs.select("doc_id").collect()}
-    table = docs
+    d = pipeline_tables[0]
+    none = spark.read.parquet(f"{d}/documents.parquet").limit(0)
     for name, stage in corpus_pipeline.STAGES:
-        table = stage(spark, table, SF)
-        ids = {r["doc_id"] for r in table.collect()}
-        assert ids <= kept and len(ids) == table.count()
-        if name != "bpe":
-            assert table.columns == corpus_pipeline.COLUMNS
-        if name == "simhash":
-            before = docs
-        kept = ids
-    out = {r["doc_id"]: r["decoded_sha256"] for r in corpus_pipeline.run(spark, SF).collect()}
-    assert set(out) == kept
-    lines = {r["doc_id"]: r["text"] for r in line_dedup.drop_common_lines(docs.where(docs["doc_id"].isin(list(kept)))).collect()}
-    same = sum(hashlib.sha256(lines[i].encode()).hexdigest() == h for i, h in out.items())
-    assert same > 0.5 * len(out)
+        assert stage(spark, none, d).count() == 0, name
+
+
+def test_long_texts(spark, tokenizer):
+    """A text of 20 MB goes whole through each operator on texts, beside a short one."""
+    ranks, enc = tokenizer
+    rnd = random.Random(2)
+    line = " ".join(f"w{rnd.randrange(5000)}" for _ in range(2000))
+    passage = " ".join(f"p{k}" for k in range(60))
+    text = "\n".join(f"{k} {line}" for k in range(1700)) + f"\n{passage} mail a@b.org"
+    assert len(text) > 18_000_000
+    rows = [(1, f"short {passage}"), (2, text)]
+    df = spark.createDataFrame([(i, t, "a", "b", 1) for i, t in rows], DOCS).repartition(2)
+    assert {r["doc_id"]: r["n_lines"] for r in line_dedup.drop_common_lines(df).collect()} == {1: 1, 2: 1701}
+    assert {r["doc_id"]: r["n_removed"] for r in substring_dedup.remove_repeats(df).select("doc_id", "n_removed").collect()} == {1: 0, 2: 60}
+    got = bpe.encode(df, ranks)
+    assert {r["doc_id"]: r["n_tokens"] for r in got.select("doc_id", "n_tokens").collect()} == {i: len(enc.encode_ordinary(t)) for i, t in rows}
+    assert {r["doc_id"]: r["n"] for r in pii.find_pii(df).selectExpr("doc_id", "size(spans) as n").collect()} == {1: 0, 2: 1}
+    assert [r["doc_id"] for r in decontaminate.contaminated_pairs(df, spark.createDataFrame([(5, passage)], "item_id long, text string")).collect()] in ([1, 2], [2, 1])
+    assert simhash.near_copy_components(df, 5).count() == 2 and simhash.simhash_components(df).count() == 2
+    stats = quality.document_statistics(df).where("doc_id = 2").first()["s"]
+    assert abs(stats[0] - np.log1p(len(text.encode()))) < 1e-3
+    model = toxicity.ToxicityModel(np.zeros(toxicity.DIMENSIONS), -20.0)
+    assert toxicity.score_toxicity(df, model).count() == 2
+    talk = spark.createDataFrame([(1, 0, "a", text), (1, 1, "b", f"> {passage} mail a@b.org\nyes")], "conv_id long, turn long, role string, text string")
+    assert [r["parent_turn"] for r in quotes.reply_threads(talk).where("turn = 1").select("parent_turn").collect()] == [0]
