@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.llm import bpe, decontaminate, line_dedup, quality, queries, simhash
-from marginalia.llm.common import table, written
+from marginalia.llm.common import discard, table, written
 
 #: Fixed: the columns of documents, which all stages but the last return.
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -25,7 +25,7 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose fingerprints are linked, the one of the smallest id stays."""
+    """Of near copies, texts linked by sharing 0.8 or more of their shingles of five words, the one of the smallest id stays. Fingerprints and sketches give the candidates."""
     return simhash.keep_one(docs, words=5).select(COLUMNS)
 
 
@@ -48,12 +48,13 @@ STAGES = [
     ("decontamination", drop_benchmark_leaks),
     ("bpe", encode),
 ]
-#: SQL can't express the classifier, the fingerprints or the merges; tests compare stages with brute force.
+#: SQL can't express the classifier, the sketches or the merges: tests/llm compares each stage's rows with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir))
+        before, docs = docs, written(stage(spark, docs, sf_dir))
+        discard(before)
     return docs
