@@ -246,6 +246,9 @@ def test_embedding_dedup(spark, monkeypatch, hot):
     root = roots({r[0] for r in rows if r[0] is not None}, links)
     want = [(r[0], n[a], root.get(r[0]), r[0] is not None and root[r[0]] == r[0]) for a, r in enumerate(rows)]
     assert got == sorted(want, key=repr)
+    clash = df.selectExpr("*", "'x' as cls", "1 as n", "2 as n_links", "'y' as component_id", "3 as h1", "4 as kept")
+    again = sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.embedding_components(clash).collect()), key=repr)
+    assert again == got
     assert embedding_dedup.embedding_components(df.limit(0)).count() == 0
 
 
@@ -410,6 +413,10 @@ def test_quotes(spark):
     assert got[(1, 5)] == (None, 5, "Hm.")
     assert got[(2, 1)] == (None, 1, "") and got[(2, 0)][0] is None and got[(None, 0)] == (None, 0, "") and got[(3, 0)][:2] == (None, 0)
     assert len(got) == len(rows) and quotes.reply_threads(df.limit(0)).count() == 0
+    clash = df.selectExpr("*", "'x' as body", "1 as quotes", "2 as parent_turn", "'y' as n", "3 as by")
+    assert {(r["conv_id"], r["turn"]): (r["parent_turn"], r["thread_turn"], r["body"]) for r in quotes.reply_threads(clash).collect()} == got
+    assert quotes.conversation_records(quotes.reply_threads(df.union(df))).count() == quotes.conversation_records(quotes.reply_threads(df)).count() == 7
+    assert quotes.conversation_records(quotes.reply_threads(df.limit(0))).count() == 0
 
 
 def test_short_quotes(spark):
