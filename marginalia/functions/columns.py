@@ -39,12 +39,6 @@ def parse_json(df: DataFrame, text: str) -> Column:
     return F.try_parse_json(text)
 
 
-def at_least_parallel(df: DataFrame) -> DataFrame:
-    """``df``, dealt to all cores if it has fewer partitions than there are: small single files would be read in one task."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 def member(v: Column, path: str, kind: str = "variant") -> Column:
     return F.try_variant_get(v, path, kind)
 

@@ -1,0 +1,11 @@
+"""Operators of report jobs: functions from DataFrames to DataFrames.
+
+The modules are shipped to executors by value, so a job needs no installed
+copy of this package on the workers.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import at_least_parallel, kind_name, kind_of, member, parse_json
+from ..functions.columns import kind_name, kind_of, member, parse_json
 
 #: Fixed values of the analysis contract.
 VERSION = "0.1"
@@ -85,11 +85,9 @@ def analysis_violations(df: DataFrame, id_col: str = "analysis_id", raw_col: str
     """(analysis_id, path, keyword): a row for each broken rule; what isn't JSON breaks the rule "parse".
 
     A document is parsed once; its root, sentences and facts become rows, so that rules
-    are compiled as plain columns. Nothing is shuffled, but for small single files,
-    which are dealt to all cores.
+    are compiled as plain columns. Nothing is shuffled.
     """
-    v = at_least_parallel(df.select(F.col(id_col).alias("analysis_id"), F.col(raw_col).alias("raw")))
-    v = v.select("analysis_id", parse_json(v, "raw").alias("v"))
+    v = df.select(F.col(id_col).alias("analysis_id"), parse_json(df, raw_col).alias("v"))
     part = lambda name, x, i: F.struct(F.lit(name).alias("part"), i.cast("int").alias("pos"), x.alias("item"))
     items = lambda k, name: F.coalesce(F.transform(F.try_variant_get("v", f"$.{k}", "array<variant>"), lambda x, i: part(name, x, i)), F.array().cast("array<struct<part:string,pos:int,item:variant>>"))
     parts = F.concat(F.array(part("root", F.col("v"), F.lit(0))), items("executiveSummary", "sentence"), items("facts", "fact"))

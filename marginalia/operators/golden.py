@@ -6,8 +6,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import at_least_parallel
-
 #: Kinds of provenance that may be used, and the number of fixtures aimed at.
 PROVENANCE = ("synthetic", "licensed", "anonymized", "opted-in")
 TARGET, TOLERANCE = 20, 1e-6
@@ -75,7 +73,7 @@ def forbidden_hits(claims: DataFrame, texts: DataFrame, block_chars: int = BLOCK
                     which += hits
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(which, pa.int64())), batch.column("doc_id").take(pa.array(rows, pa.int64()))], names=["claim_id", "doc_id"])
 
-        part = at_least_parallel(texts.select("doc_id", "text")).mapInArrow(run, f"claim_id {kinds['claim_id']}, doc_id {kinds['doc_id']}")
+        part = texts.select("doc_id", "text").mapInArrow(run, f"claim_id {kinds['claim_id']}, doc_id {kinds['doc_id']}")
         found = part if found is None else found.union(part)
     return found.distinct()
 

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import at_least_parallel, not_blank
+from ..functions.columns import not_blank
 
 LINES_PER_PAGE = 10
 #: Pairs of query and term that go to the tasks in one pass; queries and sections that are scored together there.
@@ -74,7 +74,7 @@ def _scores(sections: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                         take = pa.array(at + r)
                         yield pa.RecordBatch.from_arrays([ids.take(pa.array(which + s)), batch.column("doc_id").take(take), batch.column("line_no").take(take), pa.array(score[at, which].astype(np.int64))], names=["query_id", "doc_id", "line_no", "score"])
 
-        part = at_least_parallel(sections.select("doc_id", "line_no", "text")).mapInArrow(run, schema)
+        part = sections.select("doc_id", "line_no", "text").mapInArrow(run, schema)
         found = part if found is None else found.union(part)
     return found
 

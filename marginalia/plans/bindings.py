@@ -60,10 +60,20 @@ SQL = {
 }
 
 
+#: Inputs that are parsed or searched at length, and so are dealt to all cores.
+DEALT = ("b_analyses", "b_texts")
+
+
+def scan(spark: SparkSession, path: str, dealt: bool) -> DataFrame:
+    """A table; ``dealt`` to all cores if its files make fewer partitions than there are, as one small file does."""
+    df, cores = spark.read.parquet(path), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if dealt and df.rdd.getNumPartitions() < cores else df
+
+
 def bind(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The bound input ``name`` over the tables in ``sf_dir``."""
     text = SQL[name]
-    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in set(re.findall(r"(?<!\{)\{(\w+)\}", text))}
+    tables = {t: scan(spark, f"{sf_dir}/{t}.parquet", name in DEALT) for t in set(re.findall(r"(?<!\{)\{(\w+)\}", text))}
     return spark.sql(text, **tables)
 
 
