@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 #: Bytes and rows of one Arrow batch handed to a Python worker; the bytes hold whatever a row's length.
 BATCH_BYTES, BATCH_ROWS = 4 << 20, 10_000
 #: A key with over one in HOT_KEYS of the rows, and over HOT_ROWS, is handled apart.
-HOT_KEYS, HOT_ROWS = 10_000, 500
+HOT_KEYS, HOT_ROWS = 10_000, 100
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
