@@ -129,14 +129,6 @@ def bytes_to_strings(data: np.ndarray, off: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_string(), len(off) - 1, [None, pa.py_buffer(np.ascontiguousarray(off, np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
-def cover(starts: np.ndarray, length: int, n: int) -> np.ndarray:
-    """Which of ``n`` places lie in one of the stretches of ``length`` places from ``starts``."""
-    marks = np.zeros(n + 1, np.int64)
-    np.add.at(marks, starts, 1)
-    np.add.at(marks, np.minimum(np.asarray(starts) + length, n), -1)
-    return np.cumsum(marks[:-1]) > 0
-
-
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays as bytes, equal places of all numbers together, which compresses well."""
     return b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() if len(a) else b"" for a in arrays)

@@ -659,7 +659,7 @@ def test_noisy_or_training():
 
 
 def test_cover_and_pack():
-    assert textkit.cover(np.array([1, 3]), 2, 6).tolist() == [False, True, True, True, True, False]
+    assert substring_dedup._covered([{"pos": 1, "length": 1}, {"pos": 3, "length": 2}], 0, 2, 7).tolist() == [False, True, True, True, True, True, False]
     a, b = textkit.unpack(textkit.pack(np.array([1, 300], np.uint32), np.array([-5], np.int64)), (np.uint32, 2), (np.int64, 1))
     assert a.tolist() == [1, 300] and b.tolist() == [-5]
 
