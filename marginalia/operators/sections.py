@@ -14,7 +14,7 @@ from ..functions.columns import not_blank
 
 LINES_PER_PAGE = 10
 #: Pairs of query and term that go to the tasks in one pass; queries and sections that are scored together there.
-BLOCK_TERMS, BLOCK_QUERIES, ROWS = 4_000_000, 512, 4096
+BLOCK_TERMS, BLOCK_QUERIES, ROWS = 1_000_000, 512, 4096
 WORDS = re.compile("[a-z]+")
 FIGURE = r"[$€£]?[0-9][0-9,]*(?:[.][0-9]+)?%?"
 MARKUP = r"<[A-Za-z/!][^>]*>"
