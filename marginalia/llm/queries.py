@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, embedding_dedup, line_dedup, pii, quality, quotes, simhash, substring_dedup, toxicity
+from . import bpe, decontaminate, embedding_dedup, licenses, line_dedup, merkle, pii, quality, quotes, simhash, substring_dedup, toxicity, whitening
 from .common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -78,8 +78,20 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified_manifest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_decontamination, op2_simhash, op3_toxicity, op4_line_dedup, op5_bpe, op6_embedding_dedup, op7_pii, op8_chat_quotes, op9_substring_dedup, op10_quality]
+    own = [op1_decontamination, op2_simhash, op3_toxicity, op4_line_dedup, op5_bpe, op6_embedding_dedup, op7_pii, op8_chat_quotes, op9_substring_dedup, op10_quality, op11_licenses, op12_whitening, op13_merkle]
     return {f.__name__: f for f in own}
 
 
@@ -143,5 +155,34 @@ ORACLES = {
 }
 
 
+def _merkle_sql() -> str:
+    """Trees, siblings and folds by recursion; DuckDB has no crc32, so the id's bytes are folded bit by bit."""
+    hashed = lambda text: "sha256(" + " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    tree = lambda name, base: f"""{name}(tree, level, i, h, n) AS (SELECT * FROM ({base}) UNION ALL
+          SELECT tree, any_value(level) + 1, i // 16, sha256(string_agg(h, '' ORDER BY i)), any_value((n + 15) // 16) FROM {name} WHERE n > 1 GROUP BY tree, i // 16)"""
+    runs = lambda name, of: f"{name} AS (SELECT tree, level, i // 16 AS run, list(h ORDER BY i) AS hs FROM {of} WHERE n > 1 GROUP BY ALL)"
+    fold = lambda base, of: f"""SELECT * FROM ({base}) UNION ALL SELECT f.k, f.tree, f.level + 1, f.i // 16, sha256(array_to_string(hs[:f.i % 16] || [f.h] || hs[f.i % 16 + 2:], '')),
+          f.s || array_to_string(hs[:f.i % 16] || hs[f.i % 16 + 2:], '') FROM {of} f JOIN runs r ON r.tree = f.tree AND r.level = f.level AND r.run = f.i // 16"""
+    crc = "xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT), lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295)"
+    return f"""
+        WITH RECURSIVE d AS (SELECT *, coalesce('s' || source, '') AS tree, {hashed("text")} AS leaf,
+            CASE WHEN {crc} % 5 = 0 THEN {hashed("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS changed FROM documents),
+        k AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY tree) AS n, row_number() OVER () AS k FROM d),
+        {tree("t", "SELECT tree, 0 AS level, i, leaf AS h, n FROM k")},
+        subroots AS (SELECT tree AS name, h, row_number() OVER (ORDER BY tree) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1),
+        {tree("u", "SELECT '/' AS tree, 0 AS level, i, h, n FROM subroots")},
+        {runs("below", "t")}, {runs("above", "u")}, runs AS (SELECT * FROM below UNION ALL SELECT * FROM above),
+        f(k, tree, level, i, h, s) AS ({fold("SELECT k, tree, 0 AS level, i, coalesce(changed, leaf) AS h, '' AS s FROM k", "f")}),
+        done AS (SELECT k, tree, arg_max(h, level) AS h, arg_max(s, level) AS s FROM f GROUP BY ALL),
+        g(k, tree, level, i, h, s) AS ({fold("SELECT k, '/' AS tree, 0 AS level, b.i, done.h, done.s FROM done JOIN subroots b ON b.name = done.tree", "g")}),
+        ended AS (SELECT k, arg_max(h, level) AS h, arg_max(s, level) AS s FROM g GROUP BY k),
+        root AS (SELECT h FROM u WHERE n = 1)
+        SELECT k.doc_id, k.leaf, b.h AS subroot, root.h AS root, sha256(ended.s) AS proof_sha256, ended.h AS folded_root, ended.h = root.h AS verified
+        FROM k JOIN subroots b ON b.name = k.tree JOIN ended USING (k), root"""
+
+
+ORACLES["op13_merkle"] = _merkle_sql()
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
