@@ -31,12 +31,18 @@ def parse_period(c: Column) -> Column:
 
 
 def parse_json(df: DataFrame, text: str) -> Column:
-    """A variant of the JSON in column ``text`` of ``df``, or null for what isn't JSON; of a repeated key the last value counts.
+    """A variant of the JSON document in column ``text`` of ``df``, or null for what isn't one; of a repeated key the last value counts.
 
-    Sets spark.sql.variant.allowDuplicateKeys, without which documents that repeat a key count as no JSON.
+    Spark's parser stops after the first value, so the text is read as the one member of
+    an array, and again of an object: nothing that follows a value fits into both.
+
+    Sets spark.sql.variant.allowDuplicateKeys for the session, without which documents that repeat a key count as no JSON.
     """
     df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-    return F.try_parse_json(text)
+    listed = F.try_parse_json(F.concat(F.lit("["), F.col(text), F.lit("]")))
+    named = F.try_parse_json(F.concat(F.lit('{"v":'), F.col(text), F.lit("}")))
+    alone = (F.size(F.try_variant_get(listed, "$", "array<variant>")) == 1) & (F.size(F.map_keys(F.try_variant_get(named, "$", "map<string,variant>"))) == 1)
+    return F.when(alone, F.try_variant_get(listed, "$[0]", "variant"))
 
 
 def member(v: Column, path: str, kind: str = "variant") -> Column:
@@ -56,3 +62,13 @@ def kind_of(v: Column) -> Column:
     """``kind_name`` of a variant."""
     once = F.struct(F.schema_of_variant(v).alias("s"), F.try_variant_get(v, "$", "double").alias("d"))
     return F.transform(F.array(once), lambda x: kind_name(x["s"], x["d"]))[0]  # inside lambdas Spark evaluates each mention of an expression anew
+
+
+def string_of(v: Column, path: str) -> Column:
+    """The string at ``path`` of a variant; null if it is missing or of another type."""
+    return F.when(F.schema_of_variant(member(v, path)) == "STRING", member(v, path, "string"))
+
+
+def number_of(v: Column, path: str) -> Column:
+    """The number at ``path`` of a variant as a double; null if it is missing or of another type."""
+    return F.when(F.rlike(F.schema_of_variant(member(v, path)), F.lit("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")), member(v, path, "double"))

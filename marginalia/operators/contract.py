@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import kind_name, kind_of, member, parse_json
+from ..functions.columns import kind_name, kind_of, member, number_of, parse_json, string_of
 
 #: Fixed values of the analysis contract.
 VERSION = "0.1"
@@ -113,26 +113,30 @@ def analysis_minimum_ok(df: DataFrame, raw_col: str = "raw") -> DataFrame:
     return df.withColumn("minimum_ok", F.coalesce(ok, F.lit(False)))
 
 
+def _parsed(df: DataFrame, id_col: str, raw_col: str) -> DataFrame:
+    return df.select(F.col(id_col).alias("analysis_id"), parse_json(df, raw_col).alias("v"))
+
+
 def explode_facts(df: DataFrame, id_col: str = "analysis_id", raw_col: str = "raw") -> DataFrame:
     """A row for each fact, its place kept and its page flat: null for members that a document lacks or has in another type. A page of 17.0 is 17."""
-    v = df.select(F.col(id_col).alias("analysis_id"), parse_json(df, raw_col).alias("v"))
-    get = lambda path, kind: F.try_variant_get("item", path, kind)
-    rows = _items(v, "facts").withColumn("p", get("$.source.page", "double"))
+    item = F.col("item")
+    rows = _items(_parsed(df, id_col, raw_col), "facts").withColumn("p", number_of(item, "$.source.page"))
     page = F.when(F.col("p") == F.floor("p"), F.col("p").try_cast("int"))
-    text = [get(f"$.{k}", "string") for k in FACT_STRINGS]
-    return rows.select("analysis_id", F.col("pos").alias("fact_pos"), text[0].alias("fact_id"), text[1].alias("metric"), get("$.value", "double").alias("value"), text[2].alias("unit"), text[3].alias("period"), page.alias("page"), get("$.confidence", "double").alias("confidence"))
+    text = [string_of(item, f"$.{k}") for k in FACT_STRINGS]
+    return rows.select("analysis_id", F.col("pos").alias("fact_pos"), text[0].alias("fact_id"), text[1].alias("metric"), number_of(item, "$.value").alias("value"), text[2].alias("unit"), text[3].alias("period"), page.alias("page"), number_of(item, "$.confidence").alias("confidence"))
 
 
 def explode_summary(df: DataFrame, id_col: str = "analysis_id", raw_col: str = "raw") -> DataFrame:
-    said = F.from_json(F.col(raw_col), "struct<executiveSummary:array<string>>")["executiveSummary"]
-    return df.select(F.col(id_col).alias("analysis_id"), F.posexplode(said).alias("sentence_pos", "sentence"))
+    """A row for each member of the summary, its place kept; sentence is null for what is no string."""
+    said = _items(_parsed(df, id_col, raw_col), "executiveSummary")
+    return said.select("analysis_id", F.col("pos").alias("sentence_pos"), string_of(F.col("item"), "$").alias("sentence"))
 
 
 def explode_visuals(df: DataFrame, id_col: str = "analysis_id", raw_col: str = "raw") -> DataFrame:
-    """A row for each fact that a visual names; members of other shapes are read as far as they fit."""
-    visuals = F.from_json(F.col(raw_col), "struct<recommendedVisuals:array<struct<type:string,factIds:array<string>>>>")["recommendedVisuals"]
-    rows = df.select(F.col(id_col).alias("analysis_id"), F.posexplode(visuals).alias("visual_pos", "v"))
-    return rows.select("analysis_id", "visual_pos", F.col("v.type").alias("visual_type"), F.posexplode("v.factIds").alias("ref_pos", "fact_id"))
+    """A row for each reference of a visual, its place kept. Visuals may be of any shape: ones without a list factIds have none; a reference that is no string has a null fact_id."""
+    visuals = _items(_parsed(df, id_col, raw_col), "recommendedVisuals").select("analysis_id", F.col("pos").alias("visual_pos"), string_of(F.col("item"), "$.type").alias("visual_type"), F.try_variant_get("item", "$.factIds", "array<variant>").alias("refs"))
+    rows = visuals.select("analysis_id", "visual_pos", "visual_type", F.posexplode("refs").alias("ref_pos", "ref"))
+    return rows.select("analysis_id", "visual_pos", "visual_type", "ref_pos", string_of(F.col("ref"), "$").alias("fact_id"))
 
 
 def resolve_visual_facts(visuals: DataFrame, facts: DataFrame) -> DataFrame:
@@ -142,4 +146,5 @@ def resolve_visual_facts(visuals: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 def dangling_visual_refs(visuals: DataFrame, facts: DataFrame) -> DataFrame:
+    """References to no fact of their analysis; those that are no string too."""
     return visuals.join(facts.select("analysis_id", "fact_id").distinct(), ["analysis_id", "fact_id"], "left_anti").select("analysis_id", "visual_pos", "ref_pos", "fact_id")

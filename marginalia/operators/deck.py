@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ranks import placed
+
 SLIDE_ERROR = "slideCount must be a non-negative integer"
 
 
@@ -29,11 +31,11 @@ def count_warnings(df: DataFrame) -> DataFrame:
 def compile_deckspec(items: DataFrame, slide_counts: DataFrame, per_slide: int) -> DataFrame:
     """Slides (job, slide_no, overflow, n_items, longest, items) of items (job, ord, text), in order.
 
-    Slides past the job's slide_count (job, slide_count) are marked overflow.
+    Slides past the job's slide_count (job, slide_count) are marked overflow. Items of one
+    job are numbered over many tasks and meet by slide only.
     """
-    rn = F.row_number().over(Window.partitionBy("job").orderBy("ord"))
-    placed = items.withColumn("slide_no", (1 + F.floor((rn - 1) / per_slide)).cast("int"))
-    slides = placed.groupBy("job", "slide_no").agg(F.sort_array(F.collect_list(F.struct("ord", "text"))).alias("o"))
+    numbered = placed(items.select("job", "ord", "text"), ["job"], ["ord", "text"])
+    slides = numbered.withColumn("slide_no", (1 + F.floor(F.col("before") / per_slide)).cast("int")).groupBy("job", "slide_no").agg(F.sort_array(F.collect_list(F.struct("ord", "text"))).alias("o"))
     slides = slides.select("job", "slide_no", F.size("o").alias("n_items"), F.array_max(F.transform("o", lambda x: F.length(x["text"]))).alias("longest"), F.transform("o", lambda x: x["text"]).alias("items"))
     return slides.join(slide_counts, "job").withColumn("overflow", F.col("slide_no") > F.col("slide_count"))
 
@@ -52,9 +54,9 @@ def layout_failures(fitted: DataFrame) -> DataFrame:
 
 
 def bound_repairs(attempts: DataFrame, max_attempts: int, job: str, *order: str) -> DataFrame:
-    """Attempts numbered in order within their job; the first ``max_attempts`` run, others are refused."""
-    n = F.row_number().over(Window.partitionBy(job).orderBy(*order))
-    return attempts.withColumn("attempt", n).withColumn("decision", F.when(F.col("attempt") <= max_attempts, "run").otherwise("refused"))
+    """Attempts numbered in order within their job; the first ``max_attempts`` run, others are refused. A job's attempts are numbered over many tasks."""
+    numbered = placed(attempts, [job], [*order])
+    return numbered.withColumn("attempt", (F.col("before") + 1).cast("int")).drop("before", "total").withColumn("decision", F.when(F.col("attempt") <= max_attempts, "run").otherwise("refused"))
 
 
 def latest_artifacts(artifacts: DataFrame, job: str, created: str, id_col: str) -> DataFrame:

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
+from .grams import containing
+
 #: Kinds of provenance that may be used, and the number of fixtures aimed at.
 PROVENANCE = ("synthetic", "licensed", "anonymized", "opted-in")
 TARGET, TOLERANCE = 20, 1e-6
-#: Code points of claims that go to the tasks in one pass.
-BLOCK_CHARS = 16 << 20
+#: Copies of a row that are made from one row at once.
+COPIES = 10_000
 
 
 def admit_fixtures(fixtures: DataFrame) -> DataFrame:
@@ -41,53 +43,41 @@ def fact_accuracy(scored: DataFrame) -> DataFrame:
     return by.select("fixture_id", "n", "n_match", ratio(F.col("n")).alias("accuracy"), ratio(F.col("n") - F.col("n_missing")).alias("precision"), ratio(F.col("n") - F.col("n_unexpected")).alias("recall"))
 
 
-def forbidden_hits(claims: DataFrame, texts: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def forbidden_hits(claims: DataFrame, texts: DataFrame) -> DataFrame:
     """(claim_id, doc_id): texts (doc_id, text) that hold a claim (claim_id, claim) verbatim.
 
-    Claims go to the tasks as an automaton that finds all of them in one pass over
-    each text, so claims of any length need no key, and nothing but the pairs is
-    shuffled. Of more than ``block_chars`` of claims, blocks are handled with a pass
-    each. Empty claims and nulls hit nothing; a pair comes once.
+    Found by joins on each claim's rarest gram. Empty claims and nulls hit nothing; a
+    pair comes once.
     """
-    c = claims.where(F.length("claim") > 0).select("claim_id", "claim").distinct()
-    passes = -(-(c.agg(F.sum(F.length("claim").cast("long"))).first()[0] or 0) // block_chars) or 1
-    kinds = dict(claims.dtypes) | dict(texts.dtypes)
-    found = None
-    for n in range(passes):
-        own = c.where(F.pmod(F.xxhash64("claim"), F.lit(passes)) == n).toArrow()
-        shared = texts.sparkSession.sparkContext.broadcast((own.column("claim_id").combine_chunks(), own.column("claim").to_pylist()))
-
-        def run(batches, shared=shared):
-            import ahocorasick
-
-            ids, names = shared.value
-            automaton = ahocorasick.Automaton()
-            for i, name in enumerate(names):
-                automaton.add_word(name, [*automaton.get(name, ()), i])
-            automaton.make_automaton()
-            for batch in batches:
-                rows, which = [], []
-                for r, text in enumerate(batch.column("text").to_pylist() if names else ()):
-                    hits = {i for _, own in automaton.iter(text) for i in own} if text else ()
-                    rows += [r] * len(hits)
-                    which += hits
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(which, pa.int64())), batch.column("doc_id").take(pa.array(rows, pa.int64()))], names=["claim_id", "doc_id"])
-
-        part = texts.select("doc_id", "text").mapInArrow(run, f"claim_id {kinds['claim_id']}, doc_id {kinds['doc_id']}")
-        found = part if found is None else found.union(part)
-    return found.distinct()
+    return containing(claims.select("claim_id", "claim"), texts.select("doc_id", "text"), []).select("claim_id", "doc_id").distinct()
 
 
 def missing_findings(required: DataFrame, summaries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Required findings (fixture_id, finding) in no summary (fixture_id, text) of their fixture; and the share found per fixture."""
-    found = required.join(summaries, "fixture_id").where(F.contains("text", "finding")).select("fixture_id", "finding").distinct()
-    missing = required.join(found, ["fixture_id", "finding"], "left_anti")
-    flagged = required.join(found.withColumn("hit", F.lit(1)), ["fixture_id", "finding"], "left")
+    """Required findings (fixture_id, finding) in no summary (fixture_id, text) of their fixture; and the share found per fixture.
+
+    Found by joins on the fixture and each finding's rarest gram, so a fixture of many
+    findings and summaries isn't all their pairs. A null or empty finding is in none; of
+    repeated findings each row counts.
+    """
+    asked = required.select("fixture_id", F.col("finding").alias("claim"))
+    found = containing(asked, summaries.select("fixture_id", "text"), ["fixture_id"]).select("fixture_id", F.col("claim").alias("finding")).distinct()
+    found = written(found)
+    on = [required["fixture_id"].eqNullSafe(found["fixture_id"]), required["finding"] == found["finding"]]
+    missing = required.join(found, on, "left_anti")
+    flagged = required.join(found.select("fixture_id", "finding", F.lit(1).alias("hit")), on, "left").select(required["fixture_id"], "hit")
     return missing, flagged.groupBy("fixture_id").agg((F.count("hit") / F.count("*")).alias("coverage"))
 
 
 def contract_diff(expected: DataFrame, actual: DataFrame) -> DataFrame:
-    """Rows that only one side has, as often as it has them more, with the side."""
+    """Rows that only one side has, as often as it has them more, with the side.
+
+    A row counts up on one side and down on the other, so both meet in one shuffle, added
+    up before it; rows come back as often as the sum says, in stretches of COPIES.
+    """
     cols = expected.columns
-    side = lambda a, b, name: a.select(cols).exceptAll(b.select(cols)).withColumn("side", F.lit(name))
-    return side(expected, actual, "expected_only").unionByName(side(actual, expected, "actual_only"))
+    signed = expected.select(*cols, F.lit(1).alias("__n")).unionByName(actual.select(*cols, F.lit(-1).alias("__n")))
+    left = signed.groupBy(*cols).agg(F.sum("__n").alias("__n")).where("__n <> 0")
+    side = F.when(F.col("__n") > 0, "expected_only").otherwise("actual_only")
+    stretches = F.explode(F.sequence(F.lit(0).cast("long"), F.abs("__n") - 1, F.lit(COPIES).cast("long")))
+    within = F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.abs("__n") - F.col("__from"), F.lit(COPIES))))
+    return left.withColumn("side", side).withColumn("__from", stretches).withColumn("__k", within).select(*cols, "side")

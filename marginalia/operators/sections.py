@@ -2,20 +2,15 @@
 
 from __future__ import annotations
 
-import re
-
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import not_blank
+from ..sources.tables import discard, written
 
 LINES_PER_PAGE = 10
-#: Pairs of query and term that go to the tasks in one pass; queries and sections that are scored together there.
-BLOCK_TERMS, BLOCK_QUERIES, ROWS = 1_000_000, 512, 4096
-WORDS = re.compile("[a-z]+")
+#: The part of a query's terms that is looked up first, and how many times more in each further round at most.
+FIRST_PART, MORE_TERMS = 3, 4
 FIGURE = r"[$€£]?[0-9][0-9,]*(?:[.][0-9]+)?%?"
 MARKUP = r"<[A-Za-z/!][^>]*>"
 
@@ -31,69 +26,60 @@ def terms(col) -> F.Column:
     return F.array_distinct(F.filter(F.split(F.lower(col), "[^a-z]+"), lambda t: t != ""))
 
 
-def _terms_of(text: pa.Array) -> list[set[str]]:
-    return [set(WORDS.findall(t.lower())) if t else set() for t in text.to_pylist()]
-
-
-def _best(scores: np.ndarray, place: np.ndarray, k: int) -> np.ndarray:
-    """Rows of the ``k`` largest scores above zero, of equals those of the least places."""
-    at = np.flatnonzero(scores)
-    if len(at) > k:
-        least = np.partition(scores[at], len(at) - k)[len(at) - k]
-        at = at[scores[at] >= least]
-    return at[np.lexsort((place[at], -scores[at].astype(np.int64)))][:k]
-
-
-def _scores(sections: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, doc_id, line_no, score): for each query and batch of sections the ``k`` best. The terms of BLOCK_TERMS at most go to the tasks at once."""
-    q = queries.select("query_id", terms(F.col("text")).alias("terms"))
-    passes = -(-(q.agg(F.sum(F.size("terms"))).first()[0] or 0) // BLOCK_TERMS) or 1
-    kinds = dict(sections.dtypes) | dict(queries.dtypes)
-    schema = f"query_id {kinds['query_id']}, doc_id {kinds['doc_id']}, line_no {kinds['line_no']}, score bigint"
-    found = None
-    for n in range(passes):
-        own = q.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == n).toArrow()
-        shared = sections.sparkSession.sparkContext.broadcast((own.column("query_id").combine_chunks(), own.column("terms").to_pylist()))
-
-        def run(batches, shared=shared):
-            ids, lists = shared.value
-            for batch in batches:
-                held = _terms_of(batch.column("text"))
-                place = np.empty(len(held), np.int64)
-                place[pc.sort_indices(pa.table([batch.column("doc_id"), batch.column("line_no")], ["d", "l"]), [("d", "ascending"), ("l", "ascending")]).to_numpy()] = np.arange(len(held))
-                for s in range(0, len(lists), BLOCK_QUERIES):
-                    known = {t: i for i, t in enumerate(dict.fromkeys(t for ts in lists[s : s + BLOCK_QUERIES] for t in ts))}
-                    has = np.zeros((len(known) + 1, len(lists[s : s + BLOCK_QUERIES])), np.uint16)
-                    for j, ts in enumerate(lists[s : s + BLOCK_QUERIES]):
-                        has[[known[t] for t in ts], j] = 1
-                    for r in range(0, len(held), ROWS):
-                        rows = [[known[t] for t in ts if t in known] or [len(known)] for ts in held[r : r + ROWS]]
-                        score = np.add.reduceat(has[np.concatenate(rows)], np.cumsum([0, *map(len, rows[:-1])]), 0, np.uint16)
-                        best = [_best(score[:, j], place[r : r + ROWS], k) for j in range(score.shape[1])]
-                        at, which = np.concatenate(best), np.repeat(np.arange(len(best)), [len(b) for b in best])
-                        take = pa.array(at + r)
-                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(which + s)), batch.column("doc_id").take(take), batch.column("line_no").take(take), pa.array(score[at, which].astype(np.int64))], names=["query_id", "doc_id", "line_no", "score"])
-
-        part = sections.select("doc_id", "line_no", "text").mapInArrow(run, schema)
-        found = part if found is None else found.union(part)
-    return found
+def _best(scored: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best of each query with their rank; each task keeps ``k`` a query before they are shuffled."""
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id", "line_no")
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _retrieve(sections: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best sections of each query, by its terms from the rarest on, as many as it takes.
+
+    A section without any of a query's j rarest terms, of m that the sections hold, scores
+    m - j at most. Rounds look up the sections of ever more terms; each section is scored
+    once, where its rarest shared term is looked up. Once the k-th best score is above
+    m - j, what is left can't reach it, and the query is done.
+    """
+    held = written(sections.select("doc_id", "line_no", terms(F.col("text")).alias("held")).where(F.size("held") > 0).withColumn("section", F.monotonically_increasing_id()))
+    asked = queries.select("query_id", F.explode(terms(F.col("text"))).alias("term")).distinct()
+    posting = held.select("section", F.explode("held").alias("term"))
+    counts = posting.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("n", "term"))
+    asked = written(asked.join(counts, "term").select("query_id", "term", place.alias("place")))
+    lists = written(asked.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "term"))), lambda x: x["term"]).alias("terms"), F.count("*").alias("m")))
+    best, tables = None, [asked]
+    state = lists.select("query_id", F.lit(0).cast("long").alias("low"), F.ceil(F.col("m") / FIRST_PART).alias("high"), F.lit(1).cast("long").alias("least"))
+    while state is not None:
+        looked_up = written(asked.join(state, "query_id").where("place > low and place <= high").select("query_id", "term", "place", "least"))
+        met = posting.join(looked_up, "term").groupBy("query_id", "section").agg(F.min("place").alias("place"), F.first("least").alias("least"))
+        pairs = met.join(held, "section").where(F.size("held") >= F.col("least")).join(lists.select("query_id", "terms"), "query_id").withColumn("shared", F.array_intersect("terms", "held"))
+        first = F.element_at("terms", F.col("place").cast("int")) == F.col("shared")[0]
+        found = pairs.where(first).select("query_id", "doc_id", "line_no", F.size("shared").cast("long").alias("score"))
+        best = written(_best(found if best is None else found.unionByName(best.drop("rank")), k))
+        kth = best.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(1).alias("kth"))
+        state = state.join(lists.select("query_id", "m"), "query_id").join(kth, "query_id", "left").withColumn("least", F.coalesce("kth", "least"))
+        state = written(state.select("query_id", F.col("high").alias("low"), F.least(F.col("high") * MORE_TERMS, F.col("m") - F.col("least") + 1).alias("high"), "least").where("high > low"))
+        tables += [looked_up, state, best]
+        if not state.limit(1).count():
+            state = None
+    discard(lists, held, *[t for t in tables if t is not best])
+    return best
 
 
 def retrieve_sections(sections: DataFrame, queries: DataFrame, k: int, scope: str = "all", job_col: str = "doc_id") -> DataFrame:
     """The ``k`` sections of each query that hold most of its different terms, of equals the first by doc_id and line_no.
 
-    scope "all" scores each section in its task against the queries' terms, which go
-    there in blocks, and only the best ``k`` of each task's batches are shuffled. scope
-    "job" looks only into sections whose ``job_col`` is the query's, by a join on both.
+    scope "all" looks up a query's rarest terms first and stops once no other section can
+    be among the best; sections and queries meet by joins, which Catalyst broadcasts or
+    shuffles by size. scope "job" looks only into sections whose ``job_col`` is the
+    query's, by a join on both. Rows that repeat a query_id are one query of all their
+    terms; sections without any of a query's terms, null texts too, aren't found.
     """
     if scope == "all":
-        scored = _scores(sections, queries, k)
-    else:
-        q = queries.select("query_id", job_col, F.explode(terms(F.col("text"))).alias("term"))
-        s = sections.select(*dict.fromkeys(["doc_id", "line_no", job_col]), F.explode(terms(F.col("text"))).alias("term"))
-        scored = s.join(q, ["term", job_col]).groupBy("query_id", "doc_id", "line_no").agg(F.count("*").alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id", "line_no")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        return _retrieve(sections, queries, k)
+    q = queries.select("query_id", job_col, F.explode(terms(F.col("text"))).alias("term")).distinct()
+    s = sections.select(*dict.fromkeys(["doc_id", "line_no", job_col]), F.explode(terms(F.col("text"))).alias("term"))
+    return _best(s.join(q, ["term", job_col]).groupBy("query_id", "doc_id", "line_no").agg(F.count("*").alias("score")), k)
 
 
 def extract_mentions(sections: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ SQL = {
         FROM {documents}""",
     "b_analyses": f"""
         SELECT o_orderkey AS analysis_id, CAST(o_orderkey % 12 AS INT) AS fault,
-               CASE WHEN o_orderkey % 12 = 1 THEN 'not json' ELSE concat(
+               CASE WHEN o_orderkey % 24 = 1 THEN 'not json' ELSE concat(
                  '{{{{"schemaVersion":', CASE WHEN o_orderkey % 12 = 4 THEN '0.1' ELSE '"0.1"' END,
                  ',"executiveSummary":["', CASE WHEN o_orderkey % 12 = 5 THEN '' ELSE concat('Order ', CAST(o_orderkey AS STRING)) END, '","Second sentence."]',
                  ',"facts":[{{{{', {STRINGS}, '"value":', CASE WHEN o_orderkey % 12 = 7 THEN '"12"' ELSE CAST(o_orderkey AS STRING) END,
@@ -33,7 +33,9 @@ SQL = {
                  ',"period":"Q2 1996","source":{{{{"page":', CASE WHEN o_orderkey % 12 = 8 THEN '0' ELSE '17.0' END,
                  '}}}},"confidence":', CASE WHEN o_orderkey % 12 = 9 THEN '1.1' ELSE '1' END, '}}}}],"trends":', CASE WHEN o_orderkey % 12 = 10 THEN '{{{{}}}}' ELSE '[]' END,
                  CASE WHEN o_orderkey % 12 = 3 THEN '' ELSE ',"risks":[]' END, CASE WHEN o_orderkey % 12 = 2 THEN ',"html":1' ELSE '' END,
-                 ',"opportunities":[],"recommendedVisuals":[{{{{"type":"line","factIds":["f1"', CASE WHEN o_orderkey % 5 = 0 THEN ',"f9"' ELSE '' END, ']}}}}]}}}}') END AS raw
+                 ',"opportunities":[],"recommendedVisuals":[', CASE WHEN o_orderkey % 7 = 0 THEN '5,' ELSE '' END,
+                 '{{{{"type":"line","factIds":["f1"', CASE WHEN o_orderkey % 5 = 0 THEN ',"f9"' ELSE '' END, CASE WHEN o_orderkey % 11 = 0 THEN ',7' ELSE '' END, ']}}}}]}}}}',
+                 CASE WHEN o_orderkey % 48 = 13 THEN ' junk' WHEN o_orderkey % 48 = 37 THEN ']' ELSE '' END) END AS raw
         FROM {{orders}}""".replace("{{{{", "{{").replace("}}}}", "}}"),
     "b_sales": """
         SELECT r_name, n_name, c_custkey, o_orderdate, l_extendedprice, l_discount

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import job_short_id, parse_json
 from ..operators import contract, deck, facts, golden, requests, sections, telemetry
-from ..sources.json_io import read_analyses, read_requests, shared_folder, write_analyses, write_jobs
+from ..sources.json_io import read_analyses, read_requests, write_analyses, write_jobs
+from ..sources.tables import new_folder as _folder
+from ..sources.tables import written
 from ..streaming import jobs as streams
 from .bindings import bind, duck
 
@@ -31,10 +32,6 @@ def query(sql: str | None = None):
     return register
 
 
-def _folder(spark) -> str:
-    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-
-
 DIGEST = "sha256(coalesce(source_text, '')) AS source"
 
 
@@ -42,11 +39,13 @@ def _digest(df: DataFrame) -> DataFrame:
     return df.withColumn("source", F.sha2(F.coalesce("source_text", F.lit("")), 256)).drop("source_text")
 
 
-@query(duck("b_requests") + f" SELECT input_mode, file_name, deck_purpose, slide_count, 0::BIGINT AS n_type_errors, {DIGEST} FROM b_requests")
+@query(duck("b_requests") + """, r AS (SELECT *, request_id % 9 = 0 AS bad FROM b_requests) SELECT CASE WHEN NOT bad THEN input_mode END AS input_mode, CASE WHEN NOT bad THEN file_name END AS file_name,
+    CASE WHEN NOT bad THEN deck_purpose END AS deck_purpose, CASE WHEN NOT bad THEN slide_count END AS slide_count, bad::BIGINT AS n_type_errors, sha256(CASE WHEN bad THEN '' ELSE coalesce(source_text, '') END) AS source FROM r""")
 def c1_parse_requests(spark, d):
-    """Requests written as lines of JSON and read by the source."""
+    """Requests written as lines of JSON and read by the source; on every ninth line something follows the request."""
     path = _folder(spark)
-    bind(spark, d, "b_requests").select(F.to_json(F.struct("input_mode", "source_text", "file_name", "deck_purpose", "slide_count"))).write.text(path)
+    more = F.when(F.col("request_id") % 9 > 0, "").when(F.col("request_id") % 2 == 0, " {}").otherwise("}")
+    bind(spark, d, "b_requests").select(F.concat(F.to_json(F.struct("input_mode", "source_text", "file_name", "deck_purpose", "slide_count")), more)).write.text(path)
     return _digest(read_requests(spark, path)).withColumn("n_type_errors", F.size("type_errors").cast("long")).drop("type_errors")
 
 
@@ -140,14 +139,23 @@ def c13_explode_summary(spark, d):
     return contract.explode_summary(_valid(spark, d))
 
 
-@query("SELECT o_orderkey AS analysis_id, 0 AS visual_pos, 0 AS ref_pos, 'f1' AS fact_id, 'Total' AS metric, o_orderkey::DOUBLE AS value FROM orders WHERE o_orderkey % 12 = 0")
+_VISUAL = "SELECT o_orderkey AS analysis_id, CASE o_orderkey % 7 WHEN 0 THEN 1 ELSE 0 END AS visual_pos"
+
+
+def _resolved(spark, d, how) -> DataFrame:
+    valid = written(_valid(spark, d))
+    return how(contract.explode_visuals(valid), contract.explode_facts(valid))
+
+
+@query(_VISUAL + ", 0 AS ref_pos, 'f1' AS fact_id, 'Total' AS metric, o_orderkey::DOUBLE AS value FROM orders WHERE o_orderkey % 12 = 0")
 def c14_resolve_visuals(spark, d):
-    return contract.resolve_visual_facts(contract.explode_visuals(_valid(spark, d)), contract.explode_facts(_valid(spark, d)))
+    return _resolved(spark, d, contract.resolve_visual_facts)
 
 
-@query("SELECT o_orderkey AS analysis_id, 0 AS visual_pos, 1 AS ref_pos, 'f9' AS fact_id FROM orders WHERE o_orderkey % 12 = 0 AND o_orderkey % 5 = 0")
+@query(f"""{_VISUAL}, 1 AS ref_pos, 'f9' AS fact_id FROM orders WHERE o_orderkey % 12 = 0 AND o_orderkey % 5 = 0
+    UNION ALL {_VISUAL}, CASE o_orderkey % 5 WHEN 0 THEN 2 ELSE 1 END, NULL FROM orders WHERE o_orderkey % 12 = 0 AND o_orderkey % 11 = 0""")
 def c14_dangling_visuals(spark, d):
-    return contract.dangling_visual_refs(contract.explode_visuals(_valid(spark, d)), contract.explode_facts(_valid(spark, d)))
+    return _resolved(spark, d, contract.dangling_visual_refs)
 
 
 @query("""SELECT doc_id AS request_id, CASE WHEN n >= 0 AND n = floor(n) THEN 'pending' END AS status, CASE WHEN n >= 0 AND n = floor(n) THEN n::INT END AS slides,
@@ -392,27 +400,29 @@ def d17_fact_accuracy(spark, d):
 _HITS = duck("b_texts", "b_claims") + ", hits AS (SELECT claim_id, doc_id FROM b_claims JOIN b_texts ON contains(b_texts.text, claim))"
 
 
-def _hits(spark, d) -> DataFrame:
-    return golden.forbidden_hits(bind(spark, d, "b_claims").select("claim_id", "claim"), bind(spark, d, "b_texts"))
+def _claims(spark, d) -> DataFrame:
+    return bind(spark, d, "b_claims").select("claim_id", "claim")
 
 
 @query(_HITS + " SELECT claim_id AS finding_id FROM b_claims WHERE claim_id NOT IN (SELECT claim_id FROM hits)")
 def d18_missing_findings(spark, d):
-    """Required findings that no document of the corpus holds, by the keyed search of d19."""
-    return bind(spark, d, "b_claims").join(_hits(spark, d), "claim_id", "left_anti").select(F.col("claim_id").alias("finding_id"))
+    """Required findings of one fixture, the whole corpus, that no document holds."""
+    need = _claims(spark, d).select(F.lit(0).alias("fixture_id"), F.col("claim").alias("finding"), F.col("claim_id").alias("finding_id"))
+    return golden.missing_findings(need, bind(spark, d, "b_texts").select(F.lit(0).alias("fixture_id"), "text"))[0].select("finding_id")
 
 
-@query(duck("b_texts", "b_claims") + _LINES + """, r AS (SELECT doc_id AS fixture_id, claim AS finding FROM b_texts JOIN b_claims ON claim_id = doc_id % 40)
+@query(duck("b_texts", "b_claims") + """, r AS (SELECT doc_id AS fixture_id, claim AS finding FROM b_texts JOIN b_claims ON claim_id = doc_id % (SELECT count(*) FROM b_claims))
     SELECT r.fixture_id, avg(CASE WHEN contains(b_texts.text, finding) THEN 1.0 ELSE 0.0 END)::DOUBLE AS coverage FROM r JOIN b_texts ON fixture_id = doc_id GROUP BY 1""")
 def d18_finding_coverage(spark, d):
-    texts = bind(spark, d, "b_texts").withColumnRenamed("doc_id", "fixture_id")
-    need = texts.select("fixture_id", (F.col("fixture_id") % 40).alias("claim_id")).join(bind(spark, d, "b_claims").select("claim_id", F.col("claim").alias("finding")), "claim_id").drop("claim_id")
+    """A finding for each document as a fixture, all of them in turn."""
+    texts, claims = bind(spark, d, "b_texts").withColumnRenamed("doc_id", "fixture_id"), _claims(spark, d)
+    need = texts.select("fixture_id", (F.col("fixture_id") % claims.count()).alias("claim_id")).join(claims.withColumnRenamed("claim", "finding"), "claim_id").drop("claim_id")
     return golden.missing_findings(need, texts)[1]
 
 
 @query(_HITS + " SELECT * FROM hits")
 def d19_forbidden_hits(spark, d):
-    return _hits(spark, d)
+    return golden.forbidden_hits(_claims(spark, d), bind(spark, d, "b_texts"))
 
 
 @query(_facts_sql("n_name") + """, a AS (SELECT entity, period, value * (CASE WHEN qidx % 7 = 0 THEN 2 ELSE 1 END) AS value FROM p WHERE qidx % 11 <> 0), b AS (SELECT entity, period, value FROM p)

@@ -10,8 +10,9 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from marginalia.functions import ranks
 from marginalia.functions.columns import job_short_id, parse_period
-from marginalia.operators import contract, deck, facts, golden, requests, sections, telemetry
+from marginalia.operators import contract, deck, facts, golden, grams, requests, sections, telemetry
 from marginalia.plans import queries
 from marginalia.plans.queries import ORACLES, QUERIES
 from marginalia.sources.json_io import parse_requests, read_analyses, read_requests
@@ -124,20 +125,57 @@ def test_preflight(spark):
     assert deck.preflight_report(spark.createDataFrame([("10",)], "slide_count string")).first()["error"] == deck.SLIDE_ERROR
 
 
-@pytest.mark.parametrize("block", [1 << 20, 10])
-def test_claims_short_and_long(spark, block):
-    claims = spark.createDataFrame([(1, "one two"), (2, "two three four five six seven"), (3, ""), (4, None), (5, "hree four five six seven eig"), (6, "one two"), (7, "é"), (8, "🙂 c")], "claim_id int, claim string")
-    texts = spark.createDataFrame([(1, "one two three four five six seven eight"), (2, "nothing"), (3, None), (4, ""), (5, "né one two🙂 c"), (5, "né again")], "doc_id int, text string")
-    got = [(r["claim_id"], r["doc_id"]) for r in golden.forbidden_hits(claims, texts, block).collect()]
-    assert sorted(got) == [(1, 1), (1, 5), (2, 1), (5, 1), (6, 1), (6, 5), (7, 5), (8, 5)]
+@pytest.mark.parametrize("step", [1 << 20, 5])
+def test_claims_short_and_long(spark, monkeypatch, step):
+    monkeypatch.setattr(grams, "STEP", step)
+    claims = spark.createDataFrame([(1, "one two"), (2, "two three four five six seven"), (3, ""), (4, None), (5, "hree four five six seven eig"), (6, "one two"), (7, "é"), (8, "🙂 c"), (9, "four fiv six seven"), (10, "e")], "claim_id int, claim string")
+    texts = spark.createDataFrame([(1, "one two three four five six seven eight"), (2, "nothing"), (3, None), (4, ""), (5, "né one two🙂 c"), (5, "né again"), (6, "one t"), (7, "wo")], "doc_id int, text string").repartition(1)
+    got = [(r["claim_id"], r["doc_id"]) for r in golden.forbidden_hits(claims, texts).collect()]
+    assert sorted(got) == [(1, 1), (1, 5), (2, 1), (5, 1), (6, 1), (6, 5), (7, 5), (8, 5), (10, 1), (10, 5), (10, 6)]
     assert golden.forbidden_hits(claims.limit(0), texts).count() == 0 and golden.forbidden_hits(claims, texts.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("small", [False, True])
-def test_retrieval_by_scope(spark, monkeypatch, small):
-    if small:
-        for k, v in {"BLOCK_TERMS": 30, "BLOCK_QUERIES": 3, "ROWS": 7}.items():
-            monkeypatch.setattr(sections, k, v)
+@pytest.mark.parametrize("bits", [26, 6])
+def test_claims_by_brute_force(spark, monkeypatch, bits):
+    """Over texts of few letters every gram is common; with a small map all grams leave the tasks."""
+    monkeypatch.setattr(grams, "MAP_BITS", bits)
+    rnd = random.Random(6)
+    word = lambda n: "".join(rnd.choices("abé ", k=n))
+    texts = [(i % 70, word(rnd.choice([0, 3, 20, 200]))) for i in range(80)] + [(1, "ab" * 40), (None, "abé ab"), (2, None)]
+    claims = [(i, t[k : k + rnd.choice([1, 4, 8, 9, 30])]) for i, (_, t) in enumerate(texts) if t for k in [rnd.randrange(len(t))]] + [(900, "abababababab"), (901, "no such thing"), (902, None)]
+    got = [tuple(r) for r in golden.forbidden_hits(spark.createDataFrame(claims, "claim_id int, claim string"), spark.createDataFrame(texts, "doc_id int, text string")).collect()]
+    want = {(c, d) for c, claim in claims for d, text in texts if claim and text is not None and claim in text}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_findings_by_fixture(spark):
+    rnd = random.Random(11)
+    word = lambda n: "".join(rnd.choices("ab ", k=n))
+    summaries = [(rnd.choice([1, 2, 3, None]), word(rnd.choice([5, 40]))) for _ in range(60)] + [(4, None)]
+    required = [(rnd.choice([1, 2, 3, 4, 5, None]), word(rnd.choice([1, 3, 6, 9]))) for _ in range(80)] + [(1, ""), (1, None), (2, "aa"), (2, "aa")]
+    missing, coverage = golden.missing_findings(spark.createDataFrame(required, "fixture_id int, finding string"), spark.createDataFrame(summaries, "fixture_id int, text string"))
+    found = lambda f, x: bool(x) and any(g == f and t is not None and x in t for g, t in summaries)
+    order = lambda rows: sorted(rows, key=repr)
+    assert order((r["fixture_id"], r["finding"]) for r in missing.collect()) == order(r for r in required if not found(*r))
+    want = {f: [found(*r) for r in required if r[0] == f] for f in {r[0] for r in required}}
+    assert {r["fixture_id"]: r["coverage"] for r in coverage.collect()} == {f: sum(x) / len(x) for f, x in want.items()}
+
+
+def test_diff_is_of_multisets(spark, monkeypatch):
+    monkeypatch.setattr(golden, "COPIES", 3)
+    frame = lambda rows: spark.createDataFrame(rows, "a int, b string")
+    e, a = [(1, "x")] * 11 + [(2, None)] * 3 + [(3, "z")], [(1, "x")] * 4 + [(2, None)] * 5 + [(None, None)]
+    got = sorted((tuple(r) for r in golden.contract_diff(frame(e), frame(a)).collect()), key=repr)
+    assert got == sorted([(1, "x", "expected_only")] * 7 + [(3, "z", "expected_only")] + [(2, None, "actual_only")] * 2 + [(None, None, "actual_only")], key=repr)
+    plan = golden.contract_diff(frame(e), frame(a))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+@pytest.mark.parametrize("part", [3, 100])
+def test_retrieval_by_scope(spark, monkeypatch, part):
+    """With 100, a single term is looked up first: rounds follow."""
+    monkeypatch.setattr(sections, "FIRST_PART", part)
+    monkeypatch.setattr(sections, "MORE_TERMS", 2)
     rnd = random.Random(9)
     words = ["ab", "cd", "ef", "gh", "ij", "kl", "mn"]
     rows = [(d, n, d % 3, " ".join(rnd.choices([*words, "Ab!", "é", "7"], k=rnd.randint(0, 6)))) for d in range(30) for n in range(4)] + [(99, 0, 1, None)]
@@ -154,6 +192,71 @@ def test_retrieval_by_scope(spark, monkeypatch, small):
     assert sections.retrieve_sections(s, q.limit(0), 3).count() == 0 and sections.retrieve_sections(s.limit(0), q, 3).count() == 0
 
 
+def test_retrieval_of_long_queries(spark):
+    """Scores of more terms than 16 bits count, and of a query that many sections hold almost whole."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda i: "".join(letters[i // 26**p % 26] for p in range(4))
+    text = " ".join(word(i) for i in range(70_000))
+    rows = [(1, 0, text), (2, 0, text[: 5 * 65_536]), (3, 0, text[:50]), *[(10 + k, 0, text[5 * k : 5000]) for k in range(9)]]
+    s = spark.createDataFrame(rows, "doc_id int, line_no int, text string")
+    got = sections.retrieve_sections(s, spark.createDataFrame([(1, text), (2, text[:5000])], "query_id int, text string"), 4).collect()
+    assert sorted((r["query_id"], r["rank"], r["doc_id"], r["score"]) for r in got) == [(1, 1, 1, 70_000), (1, 2, 2, 65_536), (1, 3, 10, 1000), (1, 4, 11, 999), (2, 1, 1, 1000), (2, 2, 2, 1000), (2, 3, 10, 1000), (2, 4, 11, 999)]
+
+
+def test_numbers_over_many_tasks(spark):
+    """Of one job with most rows no task has more than a part."""
+    rnd = random.Random(7)
+    rows = [(None if i % 10 == 0 else "hot" if i % 10 < 9 else f"j{i}", rnd.randrange(300), i, rnd.randrange(5)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "job string, ts int, id int, w int").repartition(3)
+    got = {r["id"]: (r["before"], r["total"]) for r in ranks.placed(df, ["job"], ["ts", "id"]).collect()}
+    sums = {r["id"]: (r["before"], r["total"]) for r in ranks.placed(df, ["job"], ["ts", "id"], "w").collect()}
+    for job in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == job), key=lambda r: (r[1], r[2]))
+        for k, r in enumerate(own):
+            assert got[r[2]] == (k, len(own)) and sums[r[2]] == (sum(x[3] for x in own[:k]), sum(x[3] for x in own))
+    repairs = deck.bound_repairs(df, 3, "job", "ts", "id").where("job = 'hot'").orderBy("ts", "id").limit(4).collect()
+    assert [(r["attempt"], r["decision"]) for r in repairs] == [(1, "run"), (2, "run"), (3, "run"), (4, "refused")]
+    spread = ranks.placed(df, ["job"], ["ts", "id"]).where("job = 'hot'").groupBy(F.spark_partition_id()).count().collect()
+    assert len(spread) > 1
+    assert ranks.placed(df.limit(0), ["job"], ["ts"]).count() == 0
+
+
+def test_exact_percentiles(spark):
+    rnd = random.Random(2)
+    rows = [(rnd.choice(["a", "b", None]), rnd.choice([None, 0.5, rnd.random() * 9, -3.25])) for _ in range(500)] + [("one", 4.0), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(3)
+    got = {r["g"]: tuple(r)[1:] for r in telemetry.exact_percentiles(df, "g", "v", (0.5, 0.95, 0.0, 1.0)).collect()}
+    want = {r["g"]: tuple(r["p"]) for r in df.groupBy("g").agg(F.percentile("v", F.array(*map(F.lit, (0.5, 0.95, 0.0, 1.0)))).alias("p")).collect() if r["p"]}
+    assert got.keys() == want.keys() and all(abs(x - y) < 1e-12 for g in got for x, y in zip(got[g], want[g], strict=True))
+    events = df.select(F.col("g").alias("stage"), F.lit(1).alias("job"), F.col("v").alias("value"))
+    assert {r["stage"]: r["p50"] for r in telemetry.stage_telemetry(events).collect()}["none"] is None
+
+
+def test_text_after_a_document(spark):
+    raw = json.dumps(VALID)
+    bad = [f"{raw} junk", raw + "}", raw + "]", raw + "] 5", f"{raw},{raw}", f'{raw}, "v": {raw}', "", "  ", f"[{raw}", f"{raw} {raw}", raw + "//"]
+    good = [raw, f"  {raw}\n", raw.replace(":", " : ")]
+    df = spark.createDataFrame(list(enumerate(bad + good)), "analysis_id int, raw string")
+    got = {r["analysis_id"]: (r["path"], r["keyword"]) for r in contract.analysis_violations(df).collect()}
+    assert got == {i: ("", "parse") for i in range(len(bad))}
+    assert {r["analysis_id"] for r in contract.analysis_minimum_ok(df).where("minimum_ok").collect()} == set(range(len(bad), len(bad) + len(good)))
+    asked = '{"input_mode":"text","source_text":"a","deck_purpose":"board-update","slide_count":10}'
+    for text, errors in ((asked, []), (asked + " junk", ["body"]), (asked + asked, ["body"]), (asked + "}", ["body"])):
+        row = requests.validate_requests(parse_requests(spark.createDataFrame([(text,)], "value string"))).first()
+        assert [e for e in row["errors"] if e == "body"] == errors and bool(row["errors"]) == bool(errors)
+
+
+def test_visuals_and_sentences_of_any_shape(spark):
+    raw = ['{"recommendedVisuals":[5,{"type":"t","factIds":["f1",7,null,"f2"]},{"type":3},[],{"factIds":"f1"}],"executiveSummary":["a",5,{"b":1},null]}', '{"recommendedVisuals":{}}', "no json"]
+    df = spark.createDataFrame(list(enumerate(raw)), "analysis_id int, raw string")
+    visuals = contract.explode_visuals(df)
+    assert [tuple(r) for r in visuals.collect()] == [(0, 1, "t", 0, "f1"), (0, 1, "t", 1, None), (0, 1, "t", 2, None), (0, 1, "t", 3, "f2")]
+    assert [tuple(r) for r in contract.explode_summary(df).collect()] == [(0, 0, "a"), (0, 1, None), (0, 2, None), (0, 3, None)]
+    found = spark.createDataFrame([(0, 0, "f1", "m", 1.0)], "analysis_id int, fact_pos int, fact_id string, metric string, value double")
+    assert contract.resolve_visual_facts(visuals, found).count() == 1
+    assert sorted(r["ref_pos"] for r in contract.dangling_visual_refs(visuals, found).collect()) == [1, 2, 3]
+
+
 def test_formula_tells_what_was_computed(spark):
     rows = spark.createDataFrame([("a", datetime.date(2021, 5, 1), 2.0, 3.0)], "e string, d date, x double, y double")
     got = facts.compute_facts(rows, F.col("e"), F.col("d"), "x * y + 1", F.lit(12), "Area", "m2").first()
