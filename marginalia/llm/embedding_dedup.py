@@ -40,7 +40,7 @@ def principal_axes(classes: DataFrame, axes: int = AXES, sample: int = AXES_SAMP
 
     Any orthonormal axes give right results: the sample only decides how much is skipped.
     """
-    got = classes.orderBy(F.xxhash64("cls")).limit(sample).select("embedding").toArrow().column(0).to_pylist()
+    got = classes.orderBy(F.xxhash64("label", "embedding")).limit(sample).select("embedding").toArrow().column(0).to_pylist()
     by: dict[int, list] = {}
     for v in got:
         by.setdefault(len(v), []).append(v)
@@ -236,12 +236,14 @@ def embedding_links(classes: DataFrame, min_cosine: float = MIN_COSINE, axes: in
                 if held is None:
                     held = r
                     continue
+                if (held["x"], held["y"]) != (r["x"], r["y"]) or held["blk"] == r["blk"]:
+                    raise ValueError("blocks of a pair must come together, each once")
                 yield from _block_links(held, r, basis, axes, eps, min_cosine, leaf)
                 held = None
 
     data = ["blk", "size", "kind", "ids", "counts", "vectors"]
     sides = pairs.select("x", "y", F.explode(F.array("x", "y")).alias("blk"))
-    met = blocks.select(*data).join(sides, "blk").repartition("x", "y").sortWithinPartitions("x", "y", "blk").select(*data)
+    met = blocks.select(*data).join(sides, "blk").repartition("x", "y").sortWithinPartitions("x", "y", "blk").select("x", "y", *data)
     return blocks.select(*data).mapInArrow(within, _LINKS).union(met.mapInArrow(between, _LINKS))
 
 
@@ -253,7 +255,7 @@ def embedding_components(vectors: DataFrame, min_cosine: float = MIN_COSINE, id_
     vectors that are empty, zero or hold null or non-finite components, link with
     nothing and are their own component (null where the id is null, and then not
     kept). Vectors of different lengths never link. Rows repeated with one id count
-    as separate vectors. Other columns are left out, so their names can't clash. An
+    as separate vectors, equal or not: classes of equal vectors have names of their own. Other columns are left out, so their names can't clash. An
     empty table gives an empty table. Rows find their class again by 128 bits of hash.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).alias("embedding"))
@@ -261,14 +263,16 @@ def embedding_components(vectors: DataFrame, min_cosine: float = MIN_COSINE, id_
     able = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & finite, F.lit(False))
     hashes = [F.xxhash64(F.lit(k), "label", "embedding").alias(f"h{k}") for k in (1, 2)]
     keyed = rows.where(able)
-    classes = written(keyed.groupBy("label", "embedding").agg(F.min("vec_id").alias("cls"), F.count("*").alias("n")))
+    classes = written(keyed.groupBy("label", "embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")).withColumn("cls", F.monotonically_increasing_id()))
     found = written(embedding_links(classes, min_cosine))
     sums = found.where("other is null").groupBy("cls").agg(F.sum("n_links").alias("linked"))
     parts = connected(found.where("other is not null").select(F.col("cls").alias("a"), F.col("other").alias("b")))
-    named = classes.select(*hashes, "cls", "n").join(sums, "cls", "left").join(parts, F.col("cls") == F.col("node"), "left")
-    named = written(named.select("h1", "h2", "n", (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "cls").alias("component_id")))
+    named = classes.select(*hashes, "cls", "id", "n").join(sums, "cls", "left").join(parts, F.col("cls") == F.col("node"), "left")
+    named = written(named.select("h1", "h2", "id", "n", (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "cls").alias("part")))
+    least = named.groupBy("part").agg(F.min("id").alias("component_id"), F.count("*").alias("n"))
+    named = join_hot(named.withColumnRenamed("n", "rows"), least, ["part"], named.count()).select("h1", "h2", "n_links", "component_id", F.col("rows").alias("n"))
     discard(found)
     total = classes.agg(F.sum("n")).first()[0] or 0
-    linked = join_hot(keyed.select("vec_id", *hashes), named, ["h1", "h2"], total).select("vec_id", "n_links", "component_id")
+    linked = join_hot(keyed.select("vec_id", *hashes), written(named), ["h1", "h2"], total).select("vec_id", "n_links", "component_id")
     alone = rows.where(~able).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(alone).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
 from .components import connected
 
 #: Code points that a normalised quoted passage needs: short messages are answered too.
@@ -33,31 +34,40 @@ def _norm(text: Column) -> Column:
 
 
 def _passages(lines: Column) -> Column:
-    """(level, text) of each maximal run of lines of one level."""
+    """(level, text) of each maximal run of quoted lines of one level: lines split where the level changes, each run joined once."""
 
-    def step(acc: Column, x: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        grown = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["level"].alias("level"), F.concat_ws(" ", last["text"], x["text"]).alias("text"))))
-        return F.when((F.size(acc) > 0) & (last["level"] == x["level"]), grown).otherwise(F.concat(acc, F.array(x)))
+    def of(x: Column) -> Column:
+        changes = F.transform(x, lambda line, i: F.when((i == 0) | (F.element_at(x, F.greatest(i, F.lit(1)))["level"] != line["level"]), i + 1))
+        starts = F.filter(changes, lambda i: i.isNotNull())
+        ends = F.concat(F.slice(starts, 2, F.size(x)), F.array(F.size(x) + 1))
+        runs = F.filter(F.arrays_zip(starts.alias("s"), ends.alias("e")), lambda r: F.element_at(x, r["s"])["level"] > 0)
+        return F.transform(runs, lambda r: F.struct(F.element_at(x, r["s"])["level"].alias("level"), F.array_join(F.transform(F.slice(x, r["s"], r["e"] - r["s"]), lambda y: y["text"]), " ").alias("text")))
 
-    return F.aggregate(lines, F.array().cast("array<struct<level:int,text:string>>"), step)
+    return F.transform(F.array(lines), of)[0]  # inside lambdas Spark evaluates each mention of an expression anew
+
+
+def _different(quotes: Column) -> Column:
+    """The different (level, text), as strings meanwhile: of these Spark makes a hash set, of structs it compares all pairs."""
+    named = F.array_distinct(F.transform(quotes, lambda q: F.concat_ws(":", q["level"].cast("string"), q["text"])))
+    return F.transform(named, lambda s: F.struct(F.substring_index(s, ":", 1).cast("int").alias("level"), F.substr(s, F.instr(s, ":") + 1).alias("text")))
 
 
 def parse_quotes(messages: DataFrame, text_col: str = "text") -> DataFrame:
     """``messages`` with body (its own lines, blank ends stripped) and quotes: (level, text) of each quoted run and line.
 
     A null text is empty; one without quotes is its own body as it stands. Texts of any
-    length are taken whole; the runs of a text are folded in time that grows with the
-    square of their number. Columns named body or quotes are replaced.
+    length are taken whole, in time that grows with their lines. Columns named body or
+    quotes are replaced.
     """
-    quoted = F.rlike(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(r"(?m)^\s*>"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    lines = _lines(text)
+    quoted = F.rlike(text, F.lit(r"(?m)^\s*>"))
+    split = messages.withColumn("__text", text).withColumn("__lines", F.when(quoted, _lines(F.col("__text"))))
+    lines = F.col("__lines")
     own = F.array_join(F.transform(F.filter(lines, lambda x: x["level"] == 0), lambda x: x["text"]), "\n")
-    runs = F.filter(_passages(lines), lambda x: x["level"] > 0)
     single = F.filter(lines, lambda x: x["level"] > 0)
     none = F.array().cast("array<struct<level:int,text:string>>")
-    return messages.withColumn("body", F.when(quoted, F.regexp_replace(own, r"^\s+|\s+$", "")).otherwise(text)).withColumn("quotes", F.when(quoted, F.array_distinct(F.concat(runs, single))).otherwise(none))
+    body = F.when(lines.isNotNull(), F.regexp_replace(own, r"^\s+|\s+$", "")).otherwise(F.col("__text"))
+    return split.withColumn("body", body).withColumn("quotes", F.when(lines.isNotNull(), _different(F.concat(_passages(lines), single))).otherwise(none)).drop("__text", "__lines")
 
 
 def reply_threads(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", min_quote: int = MIN_QUOTE) -> DataFrame:
@@ -72,7 +82,7 @@ def reply_threads(messages: DataFrame, conv_col: str = "conv_id", turn_col: str
     are their own thread; repeated rows come back each, with equal links. An empty
     table gives an empty table.
     """
-    m = parse_quotes(messages.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text")))
+    m = written(parse_quotes(messages.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))).drop("text"))
     quoting = m.where(F.size("quotes") > 0).select("conv_id", "turn", F.explode("quotes").alias("q")).select("conv_id", "turn", F.col("q.level").alias("level"), _norm(F.col("q.text")).alias("t")).where(F.length("t") >= min_quote).distinct()
     quoting = quoting.select("conv_id", F.col("turn").alias("by"), "level", F.length("t").alias("n"), F.xxhash64("t").alias("h"), F.hash("t").alias("h2"))
     convs = quoting.select("conv_id").distinct()

@@ -252,6 +252,26 @@ def test_embedding_dedup(spark, monkeypatch, hot):
     assert embedding_dedup.embedding_components(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block_bytes", [4 << 20, 640])
+def test_embedding_ids_on_several_vectors(spark, monkeypatch, block_bytes):
+    """An id may stand on different vectors, in one label or several: each is a vector of its own. Small blocks make many pairs of blocks."""
+    real = embedding_dedup.embedding_links
+    monkeypatch.setattr(embedding_dedup, "embedding_links", lambda classes, cosine: real(classes, cosine, 4, block_bytes, 4))
+    rnd = np.random.default_rng(9)
+    base = rnd.normal(size=(40, 8))
+    vec = [b + rnd.normal(size=8) * s for b in base for s in (0.0, 0.02)]
+    ids = [*range(40), *range(40)]
+    rnd.shuffle(ids)
+    rows = [(int(i), v.tolist(), k // 2 % 3) for k, (i, v) in enumerate(zip(ids, vec, strict=True))] + [(5, vec[0].tolist(), 0), (5, vec[0].tolist(), 0)]
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.embedding_components(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    u = [np.array(v) / np.linalg.norm(v) for _, v, _ in rows]
+    links = [(a, b) for a in range(len(rows)) for b in range(a) if rows[a][2] == rows[b][2] and u[a] @ u[b] >= 0.98]
+    root = roots(range(len(rows)), links)
+    least = {r: min(rows[k][0] for k in range(len(rows)) if root[k] == r) for r in set(root.values())}
+    want = sorted((rows[k][0], sum(k in p for p in links), least[root[k]], rows[k][0] == least[root[k]]) for k in range(len(rows)))
+    assert got == want and len(links) > 40
+
+
 @pytest.mark.parametrize("block", [1, 16, 1000])
 def test_embedding_blocks(spark, block):
     rnd = np.random.default_rng(6)
@@ -763,3 +783,15 @@ def test_long_texts(spark, tokenizer):
     assert toxicity.score_toxicity(df, model).count() == 2
     talk = spark.createDataFrame([(1, 0, "a", text), (1, 1, "b", f"> {passage} mail a@b.org\nyes")], "conv_id long, turn long, role string, text string")
     assert [r["parent_turn"] for r in quotes.reply_threads(talk).where("turn = 1").select("parent_turn").collect()] == [0]
+
+
+def test_long_quoted_texts(spark):
+    """20 MB of quotes, in one run and in runs of one line: time grows with the lines."""
+    said = "\n".join(f"{k} line of some words to quote" for k in range(600_000))
+    short = said[:2_000_000].rsplit("\n", 1)[0]
+    runs = "\n".join(">" * (1 + k % 3) + f" {line}" for k, line in enumerate(short.split("\n")))
+    talk = [(1, 0, "a", said), (1, 1, "b", "> " + said.replace("\n", "\n> ") + "\nyes"), (2, 0, "a", short), (2, 1, "b", runs + "\nno")]
+    assert len(talk[1][3]) > 18_000_000
+    began = time.time()
+    got = {(r["conv_id"], r["turn"]): (r["parent_turn"], r["n_quotes"], r["body"][-3:]) for r in quotes.reply_threads(spark.createDataFrame(talk, "conv_id long, turn long, role string, text string")).collect()}
+    assert got[1, 1] == (0, 600_001, "yes") and got[2, 1][0] == 0 and got[2, 1][2] == "no" and time.time() - began < 240
