@@ -46,14 +46,15 @@ def ranked(rows: DataFrame, *order: str) -> DataFrame:
     """
     keys = ["tree", *order]
     at = F.monotonically_increasing_id()
-    placed = written(rows.repartitionByRange(shuffle_partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys).withColumn("at", at))
+    source = written(rows)  # read twice: for the bounds of the ranges, and to be dealt
+    placed = written(source.repartitionByRange(shuffle_partitions(source.sparkSession), *keys).sortWithinPartitions(*keys).withColumn("at", at))
     placed_part = placed.withColumn("part", F.shiftright("at", 33))
     runs = placed_part.groupBy("tree", "part").agg(F.min("at").alias("first"), F.count("*").alias("c"))
     w = Window.partitionBy("tree")
     before = F.coalesce(F.sum("c").over(w.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = runs.select("tree", "part", (before - F.col("first")).alias("shift"), F.sum("c").over(w).alias("n"))
     out = written(placed_part.join(starts, ["tree", "part"]).withColumn("rank", F.col("at") + F.col("shift")).drop("at", "part", "shift"))
-    discard(placed)
+    discard(source, placed)
     return out
 
 
