@@ -33,9 +33,27 @@ def written(df: DataFrame) -> DataFrame:
     return back
 
 
+def _at(spark: SparkSession, path: str):
+    """The path and its file system, as Hadoop has them."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def finished(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in ``path`` that a job has written to its end."""
+    at, files = _at(spark, path)
+    if not files.exists(at):
+        return []
+    names = [s.getPath().getName() for s in files.listStatus(at) if s.isDirectory()]
+    return sorted(n for n in names if files.exists(_at(spark, f"{path}/{n}/_SUCCESS")[0]))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at, files = _at(spark, path)
+    files.delete(at, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Removes tables that ``written`` made and nothing reads any more."""
     for df in tables:
-        spark = df.sparkSession
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.written_path)
-        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+        remove(df.sparkSession, df.written_path)

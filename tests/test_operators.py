@@ -269,18 +269,27 @@ def test_stage_telemetry_at_scale(spark):
     assert exact["p50"] == 500.5 and abs(near["p50"] - 500.5) <= 1 and abs(near["p95"] - exact["p95"]) <= 1 and near["total"] == exact["total"] == 500500.0
 
 
-def test_progress_stream_over_batches(spark, tmp_path):
+@pytest.mark.parametrize("idle_ms", [86_400_000, 1])
+def test_progress_stream_over_batches(spark, tmp_path, monkeypatch, idle_ms):
+    """Late and redelivered events over twenty batches: rows, files and state stay bounded; with 1 ms a job is forgotten between batches."""
+    monkeypatch.setattr(jobs, "COMPACT", 4)
     stages = ["extraction", "retrieval", "analysis", "repair"]
     rnd = random.Random(4)
     rows = [(i, datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=rnd.randrange(5000)), rnd.randrange(9), rnd.choice(stages)) for i in range(300)]
     schema = "event_id long, ts timestamp, job long, stage string"
-    for k in range(6):  # late events too: no batch is in order
-        spark.createDataFrame(rows[k::6], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in"))
-    query = jobs.stream_progress(stream, str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+    for k in range(20):  # no batch is in order, and each brings some events of those before again
+        again = rnd.sample([r for b in range(k) for r in rows[b::20]], min(k, 5))
+        spark.createDataFrame(rows[k::20] + again, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = jobs.stream_progress(stream, str(tmp_path / "out"), str(tmp_path / "checkpoint"), idle_ms=idle_ms)
     query.awaitTermination()
     done = [p for p in query.recentProgress if p["numInputRows"]]
-    assert len(done) == 3 and all(p["stateOperators"] == [] for p in done)
+    assert len(done) == 20 and query.exception() is None
+    kept = done[-1]["stateOperators"][0]["numRowsTotal"]
+    assert kept <= 9 * 4  # a value and a timer, in two indexes, for each job
+    folders = [f for kind in ("base", "batch") for f in os.listdir(tmp_path / "out" / kind) if not f.startswith((".", "_"))]
+    assert len(folders) <= 1 + jobs.COMPACT
+    assert spark.read.parquet(*[str(p) for p in (tmp_path / "out" / "base").iterdir() if p.is_dir()]).count() <= 2 * 9
     got = {tuple(r) for r in jobs.read_progress(spark, str(tmp_path / "out")).collect()}
     assert got == {tuple(r) for r in telemetry.latest_job_status(spark.createDataFrame(rows, schema)).collect()} and len(got) == 9
 
