@@ -151,8 +151,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", tex
     """(doc_id, n_tokens, ids) of each row: ids as little-endian unsigned 32-bit integers in a binary.
 
     The same ids as the tokenizer's library gives without special tokens. Null and
-    empty texts have no ids. Repeated rows come back each; null ids stay null. An
-    empty table gives an empty table.
+    empty texts have no ids. Repeated rows come back each; null ids stay null. A text
+    of any length is encoded whole, in one task. An empty table gives an empty table.
     """
     spark = docs.sparkSession
     bounded_batches(spark)

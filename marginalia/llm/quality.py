@@ -202,8 +202,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label_col: str = "quality
     """(doc_id, held_out, score, predicted) for each row of ``docs``, scored from its whole text.
 
     Null and empty texts are scored by the statistics of no text. A null id has no
-    fold and counts as held out. Repeated rows get the same score each; an empty
-    table gives an empty table.
+    fold and counts as held out. Repeated rows get the same score each; the statistics
+    of a text of any length are made in one task. An empty table gives an empty table.
     """
     stats = written(document_statistics(docs, id_col, text_col))
     scored = score_quality(stats, fit_quality(stats, labels, label_col))

@@ -310,7 +310,8 @@ def remove_repeats(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id",
     windows are judged on the input. The words that stay are joined by one space.
     Null and empty texts have no words. Rows of a null id neither lose words nor
     make others lose any. Repeated rows are judged against other ids only, each by
-    its own text. An empty table gives an empty table.
+    its own text. A text of any length is cut where it is read, and put together again
+    in one task. An empty table gives an empty table.
     """
     if words < 2:
         raise ValueError("words must be 2 or more")
