@@ -1,7 +1,9 @@
 """Benchmark decontamination by templates.
 
 Texts become tokens in which numbers, names and units are typed placeholders
-(slots); neighbouring names, and numbers in several words, are one slot. Hashes of
+(slots), by lists of English, German, French and Spanish words; neighbouring names,
+and numbers in several words, are one slot. Names begin with a capital within a
+sentence; German nouns, told by the article before them, are literals. Hashes of
 windows of template tokens are joined between documents and benchmark items; a pair
 of document and item is contaminated if an alignment covers enough of the item's
 tokens and its slots are consistent: each value of the item stands for one value of
@@ -27,12 +29,48 @@ WINDOW, MIN_LITERALS, COVERAGE = 8, 4, 0.5
 SLACK, LEAST_SLACK = 0.5, 4
 #: Hashes of benchmark windows that go to the executors at once (32 MB); more are handled in blocks, with a pass each.
 BLOCK_WINDOWS = 4_000_000
-#: Measures that count as a unit after a number.
-UNITS = "mm cm m km in ft yd mi mile miles metre metres meter meters kilometre kilometres kilometer kilometers inch inches foot feet yard yards g kg mg lb lbs oz gram grams kilogram kilograms pound pounds ounce ounces ton tons tonne tonnes ml l litre litres liter liters gallon gallons cup cups s sec min h hr hrs second seconds minute minutes hour hours day days week weeks month months year years percent dollar dollars euro euros cent cents degree degrees mph kmh"
-#: Written numbers.
-NUMBERS = "two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million"
+#: Measures that count as a unit after a number, short ones and then English, German, French and Spanish ones.
+UNITS = """
+mm cm m km in ft yd mi g kg mg lb lbs oz ml l s sec min h hr hrs mph kmh
+mile miles metre metres meter meters kilometre kilometres kilometer kilometers inch inches foot feet yard yards gram grams kilogram kilograms pound pounds ounce ounces ton tons tonne tonnes litre litres liter liters gallon gallons cup cups second seconds minute minutes hour hours day days week weeks month months year years percent dollar dollars euro euros cent cents degree degrees
+metern kilometern zentimeter gramm kilogramm pfund tonnen sekunde sekunden minuten stunde stunden tag tage tagen woche wochen monat monate monaten jahr jahre jahren prozent grad
+mètre mètres kilomètre kilomètres centimètres gramme grammes kilogramme kilogrammes livre livres seconde secondes heure heures jour jours semaine semaines mois ans année années degré degrés
+metro metros kilómetro kilómetros centímetros gramo gramos kilo kilos kilogramos libra libras tonelada toneladas litro litros segundo segundos minuto minutos hora horas día días semana semanas mes meses año años grado grados
+"""
+#: Written numbers under twenty, in the same order of languages. Ones that are common words of another language are left out.
+SMALL_NUMBERS = """
+two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen
+zwei drei vier fünf sechs sieben acht neun zehn elf zwölf dreizehn vierzehn fünfzehn sechzehn siebzehn achtzehn neunzehn
+deux trois quatre cinq sept huit dix onze douze treize quatorze quinze seize
+dos tres cuatro cinco seis siete ocho nueve diez doce trece catorce quince dieciséis diecisiete dieciocho diecinueve
+"""
+#: Written tens.
+TENS = """
+twenty thirty forty fifty sixty seventy eighty ninety
+zwanzig dreißig vierzig fünfzig sechzig siebzig achtzig neunzig
+vingt vingts trente quarante cinquante soixante
+veinte treinta cuarenta cincuenta sesenta setenta ochenta noventa
+"""
 #: Written numbers that "one" makes a number with, and that "and" goes on from.
-LARGE_NUMBERS = "hundred thousand million"
+LARGE_NUMBERS = "hundred thousand million hundert tausend millionen mille millions mil millón millones"
+#: Spanish hundreds.
+HUNDREDS = "cien ciento doscientos trescientos cuatrocientos quinientos seiscientos setecientos ochocientos novecientos"
+#: Words for one, and words that join the parts of a number after a large one or after tens.
+ONES, AFTER_LARGE, AFTER_TENS = "one eins ein eine un une uno una", "and und", "et y"
+#: German articles; a capital after them, or after them and an inflected word, begins a noun and no name.
+ARTICLES = "der die das den dem ein eine einen einem einer eines im am zum zur vom"
+#: Endings of inflected words.
+INFLECTED = ("e", "en", "er", "es", "em")
+
+
+def _written_numbers() -> str:
+    """All written numbers, with the German and Spanish ones that are one word of several."""
+    german, tens = SMALL_NUMBERS.split("\n")[2].split()[:8], TENS.split("\n")[2].split()
+    joined = [f"{one}und{ten}" for one in ("ein", *german) for ten in tens] + [f"{one}{large}" for one in ("ein", *german) for large in ("hundert", "tausend")]
+    spanish = [f"veinti{one}" for one in "uno un dós trés cuatro cinco séis siete ocho nueve".split()]
+    return " ".join([SMALL_NUMBERS, TENS, LARGE_NUMBERS, HUNDREDS, *joined, *spanish])
+
+
 _NUMBER, _NAME, _UNIT = (np.uint64(x) for x in (0x6E756D626572, 0x6E616D65, 0x756E6974))
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
@@ -52,6 +90,16 @@ def _known(words: str) -> np.ndarray:
     return np.sort(tk.span_hashes(data, off[:-1], off[1:]))
 
 
+_NUMBERS, _LARGE, _TENS, _ONES, _AFTER_LARGE, _AFTER_TENS, _UNITS, _ARTICLES = (_known(x) for x in (_written_numbers(), LARGE_NUMBERS, TENS, ONES, AFTER_LARGE, AFTER_TENS, UNITS, ARTICLES))
+
+
+def _inflected(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Whether each token ends as INFLECTED words do and is longer than three bytes."""
+    last, second = data[end - 1], data[np.maximum(end - 2, 0)]
+    e = ord("e")
+    return (end - start > 3) & ((last == e) | ((second == e) & np.isin(last, [ord(x[1]) for x in INFLECTED if len(x) == 2])))
+
+
 def _capital(data: np.ndarray, start: np.ndarray) -> np.ndarray:
     """Bytes of the capital letter at each start (Latin, Greek or Cyrillic), 0 if there is none."""
     lead, second = data[start], data[np.minimum(start + 1, len(data) - 1)]
@@ -76,16 +124,20 @@ def template(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     apart = np.r_[0, np.cumsum(_APART[data])]
     close = ~opens & np.r_[False, apart[start[1:]] == apart[end[:-1]]]  # only blanks or hyphens before it
     before, after = (lambda x: np.r_[False, x[:-1]] & close), (lambda x: np.r_[(x & close)[1:], False])
-    word, large = is_in(_known(NUMBERS)), is_in(_known(LARGE_NUMBERS))
-    word |= (is_in(_known("one")) & after(large)) | (is_in(_known("and")) & before(large) & after(word))
+    word, large, tens = is_in(_NUMBERS), is_in(_LARGE), is_in(_TENS)
+    link, one = (is_in(_AFTER_LARGE) & before(large)) | (is_in(_AFTER_TENS) & before(tens)), is_in(_ONES)
+    word |= one & (after(large) | before(tens) | before(link))
+    word |= link & after(word)
     number = digit[start] | word
-    unit = np.r_[False, number[:-1]] & ~opens & ~number & is_in(_known(UNITS))
+    unit = np.r_[False, number[:-1]] & ~opens & ~number & is_in(_UNITS)
     stops = np.r_[0, np.cumsum(_STOP[data])]
     sentence_start = opens | np.r_[True, stops[start[1:]] > stops[end[:-1]]]
     capital = _capital(data, start)
     after_it = np.minimum(start + capital, n - 1)
     low_second = (capital > 0) & (end - start > capital) & ~_UPPER[data[after_it]] & (data[after_it] > 57)
-    name = low_second & ~sentence_start & ~number & ~unit
+    article, inflected = is_in(_ARTICLES), (capital == 0) & _inflected(data, start, end)
+    noun = before(article) | before(inflected & before(article))
+    name = low_second & ~sentence_start & ~number & ~unit & ~noun
     h = np.where(number, _NUMBER, np.where(unit, _UNIT, np.where(name, _NAME, h)))
     goes_on = (name & before(name)) | (number & before(number) & (word | before(word)))
     return start, end, plain, h, ~(number | unit | name), goes_on, sentence_start, first

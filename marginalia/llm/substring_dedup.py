@@ -5,7 +5,7 @@ of 25 in the reference document. So aligned blocks are the index, and every
 rolling window of 25 words probes it. Blocks and windows are dealt to buckets by
 their hash, packed into a few bytes each, and matched there in arrays. Hits are
 extended to exact repeats: the 50-word windows around them are dealt in the same
-way, each bucket first learns the smallest document of each window, then marks
+way, each bucket, of which there are as many as the text needs, first learns the smallest document of each window, then marks
 those of larger ones; overlapping marks join to maximal repeats. What documents in
 one piece of a task's input share is settled there, and one of them stands for all
 in the bucket, so a passage that a third of all documents hold fills no bucket.
@@ -25,6 +25,10 @@ from .common import bounded_batches, join_hot, shuffle_partitions, written
 
 WORDS = 50
 _MERGE_AT, _GROUP_BYTES = 1 << 20, 4 << 20
+#: Text for each partition of dealt blocks or windows, where shuffle partitions would get more, and for each bucket of
+#: blocks and of windows. An index holds about 40 bytes a block or window, so about 150 MB of a bucket's blocks; of its
+#: windows as much where a fifth of all text is near hits.
+PARTITION_BYTES, BLOCK_BUCKET_BYTES, WINDOW_BUCKET_BYTES = 512 << 20, 512 << 20, 128 << 20
 
 
 _DEALT = "bucket int, kind int, docs int, windows int, data binary"
@@ -184,15 +188,20 @@ def _mark_repeats(batches):
     return _bucketwise(batches, np.uint64, rows, marks, lambda index: ())
 
 
-def anchor_hits(moved: DataFrame, words: int = WORDS) -> DataFrame:
+def _to_buckets(dealt: DataFrame, parts: int) -> DataFrame:
+    """Rows of _DEALT by bucket, several buckets a partition one after another; a task holds one bucket's index at a time."""
+    return dealt.repartitionById(parts, F.col("bucket") % parts).sortWithinPartitions("bucket", "kind")
+
+
+def anchor_hits(moved: DataFrame, words: int, parts: int, buckets: int) -> DataFrame:
     """(doc_id, pos, length): runs of starts of windows of words // 2 words that equal an aligned block or occur twice nearby; they are candidates only."""
-    block, parts = words // 2, shuffle_partitions(moved.sparkSession)
+    block = words // 2
 
     def run(batches):
         for batch in _pieces(batches):
-            yield _deal_anchors(*tk.buffers(_texts(batch)), np.asarray(batch.column("doc_id")), block, parts)
+            yield _deal_anchors(*tk.buffers(_texts(batch)), np.asarray(batch.column("doc_id")), block, buckets)
 
-    return moved.select("doc_id", "z").mapInArrow(run, _DEALT).repartitionById(parts, F.col("bucket")).sortWithinPartitions("bucket", "kind").mapInArrow(_match_anchors, "doc_id long, pos int, length int")
+    return _to_buckets(moved.select("doc_id", "z").mapInArrow(run, _DEALT), parts).mapInArrow(_match_anchors, "doc_id long, pos int, length int")
 
 
 def _digests(words: bytes) -> tuple[int, int]:
@@ -202,8 +211,9 @@ def _digests(words: bytes) -> tuple[int, int]:
 
 
 def _whole(text: pa.Array) -> pa.Array:
-    w = [_digests(b" ".join((t or "").encode().split())) for t in text.to_pylist()]
-    return pa.StructArray.from_arrays([pa.array([x[k] for x in w], pa.int64()) for k in (0, 1)], names=["version", "check"])
+    words = [b" ".join((t or "").encode().split()) for t in text.to_pylist()]
+    w = [(*_digests(b), len(b)) for b in words]
+    return pa.StructArray.from_arrays([pa.array([x[k] for x in w], pa.int64()) for k in range(3)], names=["version", "check", "size"])
 
 
 def _squeezed(text: pa.Array) -> pa.Array:
@@ -316,17 +326,19 @@ def remove_repeats(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id",
     if words < 2:
         raise ValueError("words must be 2 or more")
     bounded_batches(docs.sparkSession)
-    parts = shuffle_partitions(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    wholes = written(rows.where("doc_id is not null").select("doc_id", F.arrow_udf(_whole, "struct<version:bigint,check:bigint>")("text").alias("h")).select("doc_id", "h.version", "h.check"))
+    wholes = written(rows.where("doc_id is not null").select("doc_id", F.arrow_udf(_whole, "struct<version:bigint,check:bigint,size:bigint>")("text").alias("h")).select("doc_id", "h.version", "h.check", "h.size"))
+    total = wholes.agg(F.count("*").alias("rows"), F.coalesce(F.sum("size"), F.lit(0)).alias("size")).first()
+    parts = max(shuffle_partitions(docs.sparkSession), -(-total["size"] // PARTITION_BYTES))
+    blocks, spans = (parts * max(1, -(-total["size"] // (size * parts))) for size in (BLOCK_BUCKET_BYTES, WINDOW_BUCKET_BYTES))
     firsts = wholes.groupBy("version", "check").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first < last").select("version", "check", "first", "n")
-    copies = join_hot(wholes, firsts, ["version", "check"], wholes.count()).where("doc_id > first").groupBy(F.col("doc_id").alias("copy_id")).agg(F.collect_set("version").alias("copies"))
+    copies = join_hot(wholes.drop("size"), firsts, ["version", "check"], total["rows"]).where("doc_id > first").groupBy(F.col("doc_id").alias("copy_id")).agg(F.collect_set("version").alias("copies"))
     moved = rows.select("doc_id", F.arrow_udf(_squeezed, "struct<z:binary,version:bigint>")("text").alias("s")).select("doc_id", "s.version", "s.z").repartition("doc_id")
     kept = moved.where("doc_id is not null").join(copies, moved["doc_id"] == copies["copy_id"], "left").where(~F.coalesce(F.array_contains("copies", F.col("version")), F.lit(False))).select("doc_id", "version", "z")
     run = F.struct("pos", "length")
-    places = anchor_hits(kept, words).groupBy(F.col("doc_id").alias("id")).agg(F.collect_set(run).alias("places"))
+    places = anchor_hits(kept, words, parts, blocks).groupBy(F.col("doc_id").alias("id")).agg(F.collect_set(run).alias("places"))
     near = kept.join(places, kept["doc_id"] == places["id"]).select("doc_id", "version", "z", "places")
-    windows = near.mapInArrow(_deal_windows(words, parts), _DEALT).repartitionById(parts, F.col("bucket")).sortWithinPartitions("bucket", "kind")
+    windows = _to_buckets(near.mapInArrow(_deal_windows(words, spans), _DEALT), parts)
     marked = windows.mapInArrow(_mark_repeats, "doc_id long, version long, pos int, length int")
     by_row = marked.groupBy("doc_id", "version").agg(F.collect_set(run).alias("runs")).groupBy(F.col("doc_id").alias("marked_id")).agg(F.collect_list(F.struct("version", "runs")).alias("marks"))
     out = moved.join(by_row, moved["doc_id"] == by_row["marked_id"], "left").join(copies, moved["doc_id"] == copies["copy_id"], "left").select("doc_id", _removed(words)("z", "version", "marks", "copies").alias("r"))

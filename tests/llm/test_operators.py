@@ -1,6 +1,7 @@
 """Each operator against a brute-force version on small fixtures, and its edge cases."""
 
 import hashlib
+import itertools
 import random
 import re
 import time
@@ -8,6 +9,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -201,6 +203,10 @@ def test_substring_dedup(spark, monkeypatch, hot):
     monkeypatch.setattr(common, "HOT_ROWS", hot)
     monkeypatch.setattr(common, "HOT_KEYS", 50 if hot == 2 else 10_000)
     monkeypatch.setattr(substring_dedup, "_GROUP_BYTES", 4 << 20 if hot == 500 else 6_000)
+    if hot == 2:
+        monkeypatch.setattr(substring_dedup, "PARTITION_BYTES", 40_000)
+        monkeypatch.setattr(substring_dedup, "BLOCK_BUCKET_BYTES", 2_000)
+        monkeypatch.setattr(substring_dedup, "WINDOW_BUCKET_BYTES", 500)
     rows = corpus()
     rows.append(rows[3])
     got = sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["text"]) for r in substring_dedup.remove_repeats(frame(spark, [*rows, (None, "a b")])).collect()), key=repr)
@@ -531,6 +537,97 @@ def test_decontamination_against_brute_force(spark):
     assert {(r["doc_id"], r["item_id"]) for r in got} == set(want) and 100 < len(want) < 1000
 
 
+def typed_words(rnd, n, words):
+    """n words with slots among them, none of a slot type beside another of it; each as (text, type), where a literal's type is its text."""
+    out = []
+    while len(out) < n:
+        kind = rnd.random()
+        out.append((x := rnd.choice(words), x))
+        if kind < 0.18:
+            out.append((str(rnd.randint(2, 9)), "0"))
+        elif kind < 0.30:
+            out += [(str(rnd.randint(2, 9)), "0"), (rnd.choice(["kg", "km", "Stunden"]), "u")]
+        elif kind < 0.52:
+            out.append((rnd.choice(["Anna", "Tom", "Zoë", "Öner"]), "N"))
+    return out
+
+
+def asked_again(rnd, item):
+    """The item with other slot values: throughout, or with one place or two names confused."""
+    change = {x: x if kind not in "0uN" else rnd.choice({"0": ["31", "47", "8"], "u": ["miles", "años", "kg"], "N": ["Bob", "Eve", "Ivo", "Tom"]}[kind]) for x, kind in item}
+    out = [(change[x], kind if kind in "0uN" else change[x]) for x, kind in item]
+    if rnd.random() < 0.3 and (slots := [k for k, x in enumerate(out) if x[1] == "0"]):
+        out[rnd.choice(slots)] = ("999", "0")
+    return out
+
+
+def fits(pairs):
+    values, names = defaultdict(set), defaultdict(set)
+    for kind, i, d in pairs:
+        values[kind, i.lower()].add(d.lower())
+        if kind == "N":
+            names[d.lower()].add(i.lower())
+    return all(len(v) == 1 for v in [*values.values(), *names.values()])
+
+
+def test_decontamination_with_slots_against_brute_force(spark):
+    """Numbers, units and names: the best consistent set of nearby shifts of each pair, by trying all sets."""
+    rnd = random.Random(45)
+    words = [f"v{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(80)]
+    items = {k: typed_words(rnd, rnd.choice([8, 9, 12, 20, 30]), words) for k in range(30)}
+    docs = {}
+    for d in range(200):
+        docs[d] = typed_words(rnd, 6, words)
+        for _ in range(2):
+            part = asked_again(rnd, rnd.choice(list(items.values())))
+            if rnd.random() < 0.4:
+                at = rnd.randrange(len(part))
+                part[at:at] = [("put", "put"), ("in", "in")]
+            docs[d] += part + typed_words(rnd, rnd.randint(1, 8), words)
+    want, inconsistent = set(), 0
+    for i, item in items.items():
+        n = len(item)
+        sizes = {min(n, 8)} | ({(n - 1) // 2} if n > 8 and 4 <= (n - 1) // 2 <= 8 else set())
+        windows = [(a, size, sum(kind not in "0uN" for _, kind in item[a : a + size]) >= 4) for size in sizes for a in range(n - size + 1)]
+        for d, doc in docs.items():
+            by = defaultdict(lambda: (set(), set()))
+            for a, size, rich in windows:
+                own = item[a : a + size]
+                for b in range(len(doc) - size + 1):
+                    there = doc[b : b + size]
+                    if all(x[1] == y[1] and (rich or x[0].lower() == y[0].lower()) for x, y in zip(own, there, strict=True)):
+                        by[b - a][0].add((a, size))
+                        by[b - a][1].update((x[1], x[0], y[0]) for x, y in zip(own, there, strict=True) if x[1] in "0uN")
+            needed, slack = max(n / 2, min(n, 8)), max(4, n // 2)
+            covers = lambda shifts: len({k for s in shifts for a, size in by[s][0] for k in range(a, a + size)})  # noqa: E731,B023
+            good = [s for s in by if fits(by[s][1])]
+            inconsistent += covers(by) >= needed > covers(good)
+            for s in good:
+                near = [x for x in good if x != s and abs(x - s) <= slack]
+                for k in range(len(near) + 1):
+                    if any(covers([s, *more]) >= needed and fits(set().union(*(by[x][1] for x in (s, *more)))) for more in itertools.combinations(near, k)):
+                        want.add((d, i))
+    text = lambda x: " ".join(w for w, _ in x)
+    got = decontaminate.contaminated_pairs(frame(spark, [(d, text(x)) for d, x in docs.items()]), spark.createDataFrame([(i, text(x)) for i, x in items.items()], "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want
+    assert len(want) > 60 and inconsistent > 20
+
+
+def test_templates_of_four_languages():
+    def typed(text):
+        data, off = textkit.buffers(pa.array([text]))
+        start, end, _, h, _, goes_on, _, _ = decontaminate.template(data, off)
+        kinds = {int(decontaminate._NUMBER): "0", int(decontaminate._UNIT): "u", int(decontaminate._NAME): "N"}
+        return " ".join(kinds.get(int(x), bytes(data[s:e]).decode()) for x, s, e, g in zip(h, start, end, goes_on, strict=True) if not g)
+
+    assert typed("it took twenty-one days and two hundred and five men") == "it took 0 u and 0 men"
+    assert typed("es dauerte fünfundzwanzig Stunden und dreihundert Tage") == "es dauerte 0 u und 0 u"
+    assert typed("il marche vingt et un kilomètres en quatre-vingt-dix minutes") == "il marche 0 u en 0 u"
+    assert typed("corre treinta y cinco kilómetros en veintidós días y medio") == "corre 0 u en 0 u y medio"
+    assert typed("dann sieht Anna den Hund und das kleine Haus von Peter") == "dann sieht N den Hund und das kleine Haus von N"
+    assert typed("one man and one dog, once a hundred") == "one man and one dog once a 0"
+
+
 def test_decontamination_of_edited_copies(spark):
     words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(400)]
     rnd = random.Random(8)
