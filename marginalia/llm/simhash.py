@@ -3,10 +3,11 @@
 A fingerprint's bits are cut into 32 segments of two; its embedding is the number
 of set bits in each segment. The Manhattan distance of two embeddings never
 exceeds the Hamming distance of the fingerprints, so it is a lower bound. The
-segments are dealt into max_bits + AGREE groups: if the Manhattan distance is at
-most max_bits, at least AGREE groups agree in every count, so each pair within that
-range shares one of the grid cells that fix AGREE groups. Cells are joined; within
-them pairs over the range by Manhattan distance are left out, and the others are
+segments are dealt into max_bits + a groups: if the Manhattan distance is at most
+max_bits, at least a groups agree in every count, so each pair within that range
+shares one of the grid cells that fix a groups. More groups make more cells of a
+fingerprint and fewer strangers in each; a follows the number of fingerprints (see
+``agreeing``), and no choice of it loses a link. Cells are joined; within them pairs over the range by Manhattan distance are left out, and the others are
 verified on the fingerprints. Inside a cell only a spanning forest of the links is
 given out. A cell of over BLOCK members first links all that are close to its
 smallest member, its star; only the members outside the star then meet the others,
@@ -22,6 +23,7 @@ them. Whole sets of shingle hashes then decide within each component of candidat
 from __future__ import annotations
 
 from itertools import accumulate, combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,9 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, discard, join_hot, shuffle_partitions, written
 from .components import connected
 
-SHINGLE_WORDS, MAX_BITS, SEED, BLOCK, AGREE = 4, 4, 42, 4096, 4
+SHINGLE_WORDS, MAX_BITS, SEED, BLOCK = 4, 4, 42, 4096
+#: Groups of segments that a cell fixes: at least and at most; and how many strangers can be compared in the time of one row in a cell.
+LEAST_AGREE, MOST_AGREE, COMPARED = 4, 12, 32
 #: Minima of a sketch, how many make a band, and the least share of common shingles. Two texts of similarity 0.8 share no band in 5 of 100,000 cases.
 MINIMA, BAND_ROWS, SIMILARITY = 128, 5, 0.8
 #: How far below the wanted share a sketch may be for its text to be a candidate: over four standard errors.
@@ -134,10 +138,24 @@ def shingle_set(text: Column, words: int) -> Column:
     return run(text)
 
 
-def _cell_masks(max_bits: int) -> list[int]:
-    """Over embeddings packed in two bits a segment: a mask for each choice of AGREE groups of segments."""
-    groups = [sum(3 << (2 * s) for s in part.tolist()) for part in np.array_split(np.arange(32), max_bits + AGREE)]
-    return [sum(chosen) for chosen in combinations(groups, AGREE)]
+def agreeing(count: int, max_bits: int = MAX_BITS) -> int:
+    """How many groups a cell of the grid fixes, for ``count`` fingerprints: the choice of least work.
+
+    A choice of a groups out of max_bits + a makes a row for each combination, and each
+    row meets ``count`` / 2 ** bits strangers, as each segment fixed holds 1.5 bits. With
+    four bits, cells of four groups do up to about 500 million fingerprints.
+    """
+
+    def work(a: int) -> float:
+        return comb(max_bits + a, a) * (1 + count / 2 ** (1.5 * 32 * a / (max_bits + a)) / COMPARED)
+
+    return min(range(LEAST_AGREE, MOST_AGREE + 1), key=work)
+
+
+def _cell_masks(max_bits: int, agree: int) -> list[int]:
+    """Over embeddings packed in two bits a segment: a mask for each choice of ``agree`` groups of segments."""
+    groups = [sum(3 << (2 * s) for s in part.tolist()) for part in np.array_split(np.arange(32), max_bits + agree)]
+    return [sum(chosen) for chosen in combinations(groups, agree)]
 
 
 def _signed(x: int) -> int:
@@ -295,18 +313,20 @@ def _spread(rows: DataFrame, member: str) -> DataFrame:
     return rows.repartition(shuffle_partitions(rows.sparkSession), F.xxhash64(member))
 
 
-def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
-    """(a, b): links between the fingerprints in ``fps`` (columns rep, fp, all different), by rep, that connect what all links would."""
+def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK, agree: int | None = None) -> DataFrame:
+    """(a, b): links between the fingerprints in ``fps`` (columns rep, fp, all different), by rep, that connect what all links would; ``agree`` overrides ``agreeing``."""
     bounded_batches(fps.sparkSession)
     odd = F.lit(0x5555555555555555)
     low, high = F.col("fp").bitwiseAND(odd), F.shiftrightunsigned(F.col("fp"), 1).bitwiseAND(odd)
     packed = low.bitwiseOR(high).bitwiseOR(F.shiftleft(low.bitwiseAND(high), 1))  # the counts of each two bits, as 00, 01, 11
-    own = [F.col("packed").bitwiseAND(F.lit(_signed(m))) for m in _cell_masks(max_bits)]
+    own = [F.col("packed").bitwiseAND(F.lit(_signed(m))) for m in _cell_masks(max_bits, agree or agreeing(fps.count(), max_bits))]
     spread = _spread(fps.select("rep", "fp"), "rep").withColumn("packed", packed)
     as_rows = lambda df, keep: df.select("rep", "fp", F.explode(keep(F.array(*[F.struct(F.lit(c).alias("combo"), x.alias("cell")) for c, x in enumerate(own)]))).alias("k")).select("k.combo", "k.cell", "rep", "fp")
 
     def pruned(shared: DataFrame) -> DataFrame:
-        """Rows whose cell is in ``shared``, by a map of bits: cells of one fingerprint aren't shuffled again."""
+        """Rows whose cell is in ``shared``, by a map of bits: cells of one fingerprint aren't shuffled again. All rows where the map would be over half full and leave out little."""
+        if shared.count() > 1 << (MAP_BITS - 1):
+            return as_rows(spread, lambda k: k)
         bits = fps.sparkSession.sparkContext.broadcast(_bit_map(shared.select(_slot("combo", "cell").alias("s"))))
 
         n = len(own)

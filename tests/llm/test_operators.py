@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import time
@@ -79,12 +80,13 @@ def fingerprint(text, k=4):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-@pytest.mark.parametrize("block", [4096, 3])
-def test_simhash(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "agree", "map_bits"), [(4096, None, 26), (3, None, 26), (4096, 7, 26), (4096, None, 6)])
+def test_simhash(spark, monkeypatch, block, agree, map_bits):
     rows = corpus()
     rows += [rows[0], (None, "a b c d")]
     real = simhash.fingerprint_links
-    monkeypatch.setattr(simhash, "fingerprint_links", lambda fps, bits: real(fps, bits, block))
+    monkeypatch.setattr(simhash, "MAP_BITS", map_bits)
+    monkeypatch.setattr(simhash, "fingerprint_links", lambda fps, bits: real(fps, bits, block, agree))
     got = {(r["doc_id"], r["fp"] % (1 << 64)): r["component_id"] for r in simhash.simhash_components(frame(spark, rows)).collect()}
     fps = {i: fingerprint(t) for i, t in rows if i is not None}
     assert set(got) == {(i, f) for i, f in fps.items()} | {(None, fingerprint("a b c d"))}
@@ -158,16 +160,18 @@ def test_simhash_long_document():
         assert int(got[i]) == sum(1 << b for b in range(64) if 2 * int(((part >> np.uint64(b)) & np.uint64(1)).sum()) > len(part))
 
 
-def test_manhattan_cells_lose_no_link():
+@pytest.mark.parametrize(("max_bits", "agree"), [(4, 4), (4, 6), (4, 12), (3, 5)])
+def test_manhattan_cells_lose_no_link(max_bits, agree):
     rnd = random.Random(3)
-    masks = simhash._cell_masks(4)
+    masks = simhash._cell_masks(max_bits, agree)
+    assert len(set(masks)) == math.comb(max_bits + agree, agree)
     odd = 0x5555555555555555
     packed = lambda x: (x & odd) | (x >> 1 & odd) | (x & x >> 1 & odd) << 1
     counts = lambda x: [(x >> 2 * k & 1) + (x >> 2 * k + 1 & 1) for k in range(32)]
     for _ in range(300):
         a = rnd.getrandbits(64)
         b = a
-        for k in rnd.sample(range(64), rnd.randint(0, 4)):
+        for k in rnd.sample(range(64), rnd.randint(0, max_bits)):
             b ^= 1 << k
         assert any(packed(a) & m == packed(b) & m for m in masks)
         c = rnd.getrandbits(64)
@@ -175,6 +179,13 @@ def test_manhattan_cells_lose_no_link():
         assert manhattan == (packed(a) ^ packed(c)).bit_count() <= (a ^ c).bit_count()
 
 
+def test_cells_follow_the_number_of_fingerprints():
+    chosen = [simhash.agreeing(10**k) for k in range(16)]
+    assert chosen == sorted(chosen) and chosen[0] == chosen[8] == simhash.LEAST_AGREE < chosen[10] < chosen[12] <= simhash.MOST_AGREE
+    strangers = [10**k / 2 ** (48 * a / (4 + a)) for k, a in enumerate(chosen)]
+    assert max(strangers[:13]) < 100
+
+
 @pytest.mark.parametrize("hot", [500, 2])
 def test_line_dedup(spark, monkeypatch, hot):
     monkeypatch.setattr(common, "HOT_ROWS", hot)
