@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import kind_of, member, parse_json
+from ..functions.columns import kind_of, member, with_json
 
 
 def parse_requests(df: DataFrame, json_col: str = "value") -> DataFrame:
@@ -15,7 +15,7 @@ def parse_requests(df: DataFrame, json_col: str = "value") -> DataFrame:
     int holds is of a wrong type. Of a repeated key the last value counts; other columns pass through.
     """
     rest = [c for c in df.columns if c != json_col]
-    v = df.select(*rest, parse_json(df, json_col).alias("__v"))
+    v = with_json(df, json_col, "__v").select(*rest, "__v")
     get = lambda k: member(F.col("__v"), f"$.{k}")
     bad = [F.when(~F.coalesce(kind_of(get(k)).isin("string", "null"), F.lit(True)), F.lit(k)) for k in ("input_mode", "source_text", "file_name", "deck_purpose")]
     n, number = kind_of(get("slide_count")), member(F.col("__v"), "$.slide_count", "string")
@@ -42,5 +42,5 @@ def write_jobs(jobs: DataFrame, path: str) -> None:
 
 def write_analyses(analyses: DataFrame, path: str) -> None:
     """Raw documents as lines of JSON text, by schema version."""
-    version = F.coalesce(F.try_variant_get(parse_json(analyses, "raw"), "$.schemaVersion", "string"), F.lit("none"))
-    analyses.select(F.col("raw").alias("value"), version.alias("schema_version")).write.partitionBy("schema_version").text(path)
+    version = F.coalesce(F.try_variant_get("__v", "$.schemaVersion", "string"), F.lit("none"))
+    with_json(analyses, "raw", "__v").select(F.col("raw").alias("value"), version.alias("schema_version")).write.partitionBy("schema_version").text(path)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from marginalia.functions import ranks
 from marginalia.functions.columns import job_short_id, parse_period
 from marginalia.operators import contract, deck, facts, golden, grams, requests, sections, telemetry
-from marginalia.plans import queries
+from marginalia.plans import bindings, queries
 from marginalia.plans.queries import ORACLES, QUERIES
 from marginalia.sources.json_io import parse_requests, read_analyses, read_requests
 from marginalia.streaming import jobs
@@ -324,3 +324,37 @@ def test_valid_analyses_are_judged_by_the_contract(spark, monkeypatch):
     monkeypatch.setattr(queries, "bind", lambda *_: moved)
     valid = {r["analysis_id"] for r in moved.where("fault = 1").collect()}
     assert valid and {r["analysis_id"] for r in queries.c12_explode_facts(spark, SF).collect()} == valid
+
+
+def _analyses(spark):
+    """A sound document and ones with a member dropped, added or replaced at every place, and other texts."""
+    fact = {"id": "f1", "metric": "m", "value": 1, "unit": "u", "period": "p", "source": {"page": 1}, "confidence": 1}
+    doc = {"schemaVersion": "0.1", "executiveSummary": ["a", "b"], "facts": [fact, dict(fact, id="f2")], "trends": [], "risks": [], "opportunities": [], "recommendedVisuals": []}
+    texts = [json.dumps(doc), "", " ", "null", "[]", "{}", "7", '"a"', "{} {}", "{}] {}", "{}} {}", '{},"x"', '{},"x"] {}', " " + json.dumps(doc) + " "]
+    spots = [(lambda d: d, k) for k in doc] + [(lambda d: d["facts"][1], k) for k in fact] + [(lambda d: d["facts"][1]["source"], "page"), (lambda d: d["executiveSummary"], 1), (lambda d: d["facts"], 0)]
+    for at, k in spots:
+        for x in (None, "", "x", 0, -1, 1.5, 2.0, 1e300, 10**20, True, [], {}, {"page": 3}, {"page": 3, "y": 1}, [1], "drop", "add"):
+            d = json.loads(texts[0])
+            if x == "drop":
+                at(d).pop(k)
+            elif x == "add" and isinstance(at(d), dict):
+                at(d)["more"] = 1
+            else:
+                at(d)[k] = x
+            texts.append(json.dumps(d))
+    return spark.createDataFrame(list(enumerate(texts)), "analysis_id long, raw string").repartition(4).cache()
+
+
+def test_valid_analyses_break_no_rule_and_are_not_shuffled(spark):
+    a = _analyses(spark)
+    bad = {r["analysis_id"] for r in contract.analysis_violations(a).select("analysis_id").distinct().collect()}
+    valid = contract.valid_analyses(a)
+    assert {r["analysis_id"] for r in valid.collect()} == {r["analysis_id"] for r in a.collect()} - bad
+    assert valid.columns == a.columns and "Join" not in valid._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_analyses_are_dealt_by_rows(spark):
+    path = f"{SF}/orders.parquet"
+    n = spark.read.parquet(path).count()
+    assert bindings.scan(spark, path, True, 100).rdd.getNumPartitions() == -(-n // 100) > spark.sparkContext.defaultParallelism
+    assert bindings.scan(spark, path, True).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
