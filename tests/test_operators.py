@@ -360,7 +360,7 @@ def test_analyses_are_dealt_by_rows(spark):
     assert bindings.scan(spark, path, True).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
 
 
-@pytest.mark.parametrize("name", ["c11_contract_violations", "c14_resolve_visuals", "c13_explode_summary", "c10_minimum_check"])
+@pytest.mark.parametrize("name", ["c11_contract_violations", "c14_resolve_visuals", "c13_explode_summary", "c10_minimum_check", "c14_dangling_visuals"])
 def test_analyses_are_parsed_once_and_judged_without_a_join(spark, monkeypatch, name):
     written = []
     monkeypatch.setattr(queries, "written", lambda df: written.append(df) or df)
