@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..sources.tables import discard, written
 
 #: Bytes of a gram, bits of the map of grams as a power of two, bytes of text handled at once.
-GRAM, MAP_BITS, STEP = 8, 26, 1 << 20
+GRAM, MAP_BITS, STEP = 8, 26, 1 << 18
 U64 = np.uint64
 
 

@@ -7,6 +7,7 @@ import random
 import re
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -367,3 +368,9 @@ def test_analyses_are_parsed_once_and_judged_without_a_join(spark, monkeypatch,
     df = QUERIES[name](spark, SF)
     plan = (written or [df])[0]._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("parseJson") == (2 if name == "c13_explode_summary" else 1) and "Join" not in plan  # c13 parses sound ones again, for their sentences
+
+
+def test_gram_pieces_are_small():
+    texts = pa.array(["ab" * 400_000, "", "xyz" * 100_000])
+    got = list(grams._rolling(texts, [8]))
+    assert max(len(g) for _, _, g in got) <= 1 << 18 and sum(len(g) for _, _, g in got) == 800_000 - 7 + 300_000 - 7
